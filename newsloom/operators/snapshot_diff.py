@@ -26,12 +26,13 @@ def squeezed(c: Column) -> Column:
 
 
 def final_deliveries(rows: DataFrame, *, date: str, delivered: str) -> DataFrame:
-    """(date, delivered, next): the last delivery of each date and the date after it.
+    """(date, delivered, step, next): the last delivery of each date, its own step (null for the first) and that of the date after it.
 
     One row per date, which does not grow with the rows of a snapshot.
     """
     d = rows.where(F.col(date).isNotNull()).groupBy(F.col(date).alias("date")).agg(F.max(F.col(delivered)).alias("delivered"))
-    return d.withColumn("next", F.lead("date").over(Window.orderBy("date")))
+    w = Window.orderBy("date")
+    return d.withColumn("step", F.when(F.lag("date").over(w).isNotNull(), F.col("date"))).withColumn("next", F.lead("date").over(w))
 
 
 def snapshot_changes(
@@ -57,16 +58,14 @@ def snapshot_changes(
     sides = [F.xxhash64(c).alias(f"h_{name}") for name, c in compared.items()]
     r = rows.select(F.col(date).alias("date"), F.col(delivered).alias("delivered"), F.col(row_id).alias("id"), key.alias("key"), is_record.alias("ok"), *sides).where("ok and key is not null").drop("ok")
     r = r.join(F.broadcast(dates) if _few(dates) else dates, ["date", "delivered"])
-    first = dates.agg(F.min("date").alias("first"))
-    tagged = r.withColumn("side", F.explode(F.array(F.struct(F.col("date").alias("step"), F.lit(True).alias("new")), F.struct(F.col("next").alias("step"), F.lit(False).alias("new")))))
+    tagged = r.select("key", "id", *(f"h_{n}" for n in compared), F.explode(F.array(F.struct("step", F.lit(True).alias("new")), F.struct(F.col("next").alias("step"), F.lit(False).alias("new")))).alias("side"))
     tagged = tagged.where("side.step is not null").select("key", "id", F.col("side.step").alias("step"), F.col("side.new").alias("new"), *(f"h_{n}" for n in compared))
     one = F.struct("id", *(f"h_{n}" for n in compared))
     both = tagged.groupBy("step", "key").agg(F.min(F.when(F.col("new"), one)).alias("b"), F.min(F.when(~F.col("new"), one)).alias("a"))
     kinds = F.when(F.col("a").isNull(), F.array(F.lit("added"))).when(F.col("b").isNull(), F.array(F.lit("removed"))).otherwise(
         F.array_compact(F.array(*(F.when(F.col(f"a.h_{n}") != F.col(f"b.h_{n}"), F.lit(n)) for n in compared)))
     )
-    out = both.select(F.col("step").alias("snap_date"), "key", F.explode(kinds).alias("change_kind"))
-    return out.join(F.broadcast(first), F.col("snap_date") != F.col("first")).drop("first")
+    return both.select(F.col("step").alias("snap_date"), "key", F.explode(kinds).alias("change_kind"))
 
 
 def _few(dates: DataFrame, most: int = 100_000) -> bool:
