@@ -67,12 +67,15 @@ def nearest_in_time(
     x = u.select(*key, "t", "id", "isl", F.last(other, ignorenulls=True).over(back).alias("p"))
     x = x.select("t", "id", "isl", "p", F.last(other, ignorenulls=True).over(ahead).alias("n")).where("isl = 1")
 
-    def candidate(c: str):
-        gap = F.abs(F.col("t") - F.col(f"{c}.t"))
-        return F.when(gap <= tolerance_ns, F.struct(gap.alias("gap"), F.col(f"{c}.t").alias("t"), F.col(f"{c}.id").alias("id")))
-
-    best = x.select("id", F.least(candidate("p"), candidate("n")).alias("m")).where("m is not null")
-    return best.groupBy("id").agg(F.min("m").alias("m")).select(F.col("id").alias(left_id), F.col("m.id").alias("match_id"))
+    def rank(c: str):
+        """Distance first, then the earlier of two times: unique to a time, so plain longs order candidates."""
+        late = F.col(f"{c}.t") > F.col("t")
+        return F.abs(F.col("t") - F.col(f"{c}.t")) * 2 + late.cast("long")
+
+    near = lambda c: F.when(rank(c) <= 2 * tolerance_ns + 1, rank(c))
+    best = x.select("id", near("p").alias("rp"), near("n").alias("rn"), F.col("p.id").alias("ip"), F.col("n.id").alias("in"))
+    best = best.where("rp is not null or rn is not null").select("id", F.least("rp", "rn").alias("r"), F.when(F.col("rn").isNull() | (F.col("rp") <= F.col("rn")), F.col("ip")).otherwise(F.col("in")).alias("m"))
+    return best.groupBy("id").agg(F.min_by("m", "r").alias("match_id")).select(F.col("id").alias(left_id), "match_id")
 
 
 def _hot_buckets(l: DataFrame, r: DataFrame, most: int) -> list[tuple]:  # noqa: E741
