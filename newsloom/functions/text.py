@@ -130,9 +130,9 @@ def html_text(s: str | None, separator: str = " ") -> str | None:
             space()
         elif m["entity"]:
             c = decode_entity(m["entity"])
-            if c in "    ":
+            if c in "\u00a0\u2002\u2003\u2009":
                 space()
-            elif c not in "­‌‍":
+            elif c not in "\u00ad\u200c\u200d":
                 out.append(c)
         elif m["cdata"] is not None:
             inner = html_text(m["cdata"], separator)
@@ -188,7 +188,7 @@ def html_core(c: Column) -> Column:
 def money(c: Column) -> Column:
     """12.3B, 4.5M, 6.7K or plain, rounded half up; null stays null."""
     at = lambda unit, name: F.format_string(f"%.1f{name}", F.floor(c / (unit / 10) + 0.5) / 10)
-    return F.when(c >= 1e9, at(1e9, "B")).when(c >= 1e6, at(1e6, "M")).when(c >= 1e3, at(1e3, "K")).otherwise(F.format_string("%.0f", F.floor(c + 0.5).cast("double")))
+    return F.when(c.isNull(), None).when(c >= 1e9, at(1e9, "B")).when(c >= 1e6, at(1e6, "M")).when(c >= 1e3, at(1e3, "K")).otherwise(F.format_string("%.0f", F.floor(c + 0.5).cast("double")))
 
 
 def split_trimmed(c: Column, sep: str) -> Column:
