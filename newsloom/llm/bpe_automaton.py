@@ -32,7 +32,7 @@ TOKENIZER_DIR = "/opt/tokenizers"
 # Fixed value: the public pre-split pattern of this vocabulary.
 WORDS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words whose ids a worker keeps; beyond that it starts anew. Only a speed matter.
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 NEVER = 1 << 60
 
 

@@ -31,7 +31,7 @@ SHINGLE = 5
 BLOCK_WINDOWS = 1_000_000
 #: Words that are fingerprinted at a time; longer texts are slid over in pieces.
 PIECE = 1 << 15
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 300_000
 WORD = re.compile(r"[^\W_]+")
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 
