@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions import names, text, times, urls
 from newsloom.operators import journal, market, ordered, phrases, reference
+from newsloom.operators import stories as stories_ops
 from newsloom.runtime import table
 
 S = 1_000_000_000
@@ -194,6 +195,17 @@ def quote_spread(spark, d):
     return table(spark, d, "signals").select("signal_id", F.round(F.coalesce(market.spread_pct(F.col("bid"), F.col("ask")), F.lit(0.0)), 6).alias("spread"))
 
 
+@query(
+    "q62_prints_during",
+    f"""select t.print_id from (select print_id, ticker, ts_ns from tape where ticker is not null and ts_ns is not null) t
+    asof join (select distinct ticker, t_news_recv_ns as o from signals where t_news_recv_ns is not null) s on t.ticker = s.ticker and t.ts_ns > s.o where t.ts_ns - s.o <= {90 * 60 * S}""",
+)
+def prints_during(spark, d):
+    """Prints in the ninety minutes after the latest story of their ticker."""
+    t = table(spark, d, "tape").where("ticker is not null and ts_ns is not null").select("print_id", "ticker", "ts_ns")
+    return stories_ops.during(t, stories(spark, d).select("ticker", "t_news_recv_ns"), key="ticker", event_time="ts_ns", opened="t_news_recv_ns", length=90 * 60 * S).select("print_id")
+
+
 # ---- sequential operators ----------------------------------------------------------------------
 
 

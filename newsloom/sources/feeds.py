@@ -127,3 +127,33 @@ def rebuild_filings(index: DataFrame, pages: DataFrame, base_url: str, delay_ns:
 
 
 __all__ = ["rss_items", "filing_entries", "halt_items", "filing_title", "index_page", "exhibit_href", "exhibit_headline", "rebuild_filings", "item_id", "decode_entities"]
+
+
+# Halt codes and what they mean; all others are "Other".
+HALT_REASONS = {
+    "T1": "News pending", "T2": "News released", "T3": "News and resumption times", "T5": "Single-stock trading pause", "T6": "Extraordinary market activity", "T7": "Quotation-only period", "T8": "ETF halt",
+    "T12": "Additional information requested", "H4": "Non-compliance", "H9": "Not current", "H10": "SEC trading suspension", "H11": "Regulatory concern", "O1": "Operations halt", "IPO1": "IPO not yet trading",
+    "IPOQ": "IPO released for quotation", "IPOE": "IPO positioning window extension", "M1": "Corporate action", "M2": "Quotation not available", "LUDP": "Volatility trading pause (LULD)", "LUDS": "Volatility trading pause, straddle",
+    "MWC1": "Market-wide circuit breaker L1", "MWC2": "Market-wide circuit breaker L2", "MWC3": "Market-wide circuit breaker L3", "MWC0": "Market-wide circuit breaker carryover", "R4": "Qualification issues resolved",
+    "R9": "Filing requirements satisfied", "C3": "Issuer news not forthcoming", "C4": "Qualifications halt ended", "C9": "Qualifications halt concluded", "C11": "Halt concluded by other authority", "R1": "New issue available", "D": "Security deletion",
+}
+
+
+def halt_reason(code: Column) -> Column:
+    return F.coalesce(F.create_map(*(F.lit(x) for kv in HALT_REASONS.items() for x in kv))[ascii_upper(trimmed(code))], F.lit("Other"))
+
+
+def feed_summary(items: DataFrame, *, feed: str, published_ns: str) -> DataFrame:
+    """(feed, items, newest_ns) per feed, for a look at what a set of documents holds."""
+    return items.groupBy(feed).agg(F.count(F.lit(1)).alias("items"), F.max(published_ns).alias("newest_ns"))
+
+
+def index_url(base: str, day: Column) -> Column:
+    """Address of a day's filing index."""
+    return F.concat(F.lit(base.rstrip("/") + "/edgar/daily-index/"), F.date_format(day, "yyyy"), F.lit("/QTR"), F.quarter(day).cast("string"), F.lit("/master."), F.date_format(day, "yyyyMMdd"), F.lit(".idx"))
+
+
+def weekdays(spark: SparkSession, first: str, last: str) -> DataFrame:
+    """(day) from first to last inclusive, without Saturdays and Sundays."""
+    days = spark.range(1).select(F.explode(F.sequence(F.lit(first).cast("date"), F.lit(last).cast("date"))).alias("day"))
+    return days.where(~F.dayofweek("day").isin(1, 7))
