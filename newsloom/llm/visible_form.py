@@ -111,8 +111,13 @@ def visible(text: str) -> str:
     return pattern.sub(lambda m: arcs[m[0]], text)
 
 
+#: 128-bit digests as two longs each: of the raw text and of its visible form.
+RAW, LOOK = ("raw_a", "raw_b"), ("look_a", "look_b")
+
+
 def digests(batches: Iterator) -> Iterator:
-    """(id, text) to (id, raw, look): 128-bit digests of the text and of its visible form."""
+    """(id, text) to (id, raw, look), digests as pairs of longs."""
+    import numpy as np
     import pyarrow as pa
 
     md5 = lambda x: hashlib.md5(x.encode("utf-8", "surrogatepass"), usedforsecurity=False).digest()
@@ -120,30 +125,33 @@ def digests(batches: Iterator) -> Iterator:
         texts = b.column(1).to_pylist()
         raw = [md5(t) for t in texts]
         look = [r if (v := visible(t)) is t else md5(v) for t, r in zip(texts, raw, strict=True)]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(raw, pa.binary()), pa.array(look, pa.binary())], ["id", "raw", "look"])
+        halves = [np.frombuffer(b"".join(x), np.int64).reshape(-1, 2)[:, k].copy() for x in (raw, look) for k in (0, 1)]
+        yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, halves)], ["id", *RAW, *LOOK])
 
 
 def visible_classes(df: DataFrame, *, id_col: str, text_col: str) -> DataFrame:
-    """Rows ``(id, raw, look)``: look is the class of all texts that look the same, raw that of exact copies.
+    """Rows ``(id, raw_a, raw_b, look_a, look_b)``: look names the class of all texts that look the same, raw that of exact copies.
 
     Null and empty texts and null ids are in no class. A text of invisible
     characters only looks like nothing and belongs with others of that kind.
     """
     t = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("id is not null and text <> ''")
-    return t.mapInArrow(digests, "id bigint, raw binary, look binary")
+    return t.mapInArrow(digests, "id bigint, raw_a bigint, raw_b bigint, look_a bigint, look_b bigint")
 
 
 def look_alike_pairs(df: DataFrame, *, id_col: str, text_col: str, hot_rows: int = 10_000) -> DataFrame:
     """Rows ``(a, b)``, a < b: all pairs of records with different texts that look the same.
 
-    Only classes with at least two different texts reach the join. A class of
-    more than ``hot_rows`` rows is salted: its left rows are spread and its right
-    rows copied to each salt, which costs no more than the pairs it must give.
+    Only classes with at least two different texts reach the join: two digests
+    differ if and only if one of their halves does, so extremes of the halves
+    tell, and the aggregation hashes. A class of more than ``hot_rows`` rows is
+    salted: its left rows are spread and its right rows copied to each salt,
+    which costs no more than the pairs it must give.
     """
     k = cut(visible_classes(df, id_col=id_col, text_col=text_col))  # 40 bytes a row
-    mixed = k.groupBy("look").agg(F.min("raw").alias("lo"), F.max("raw").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi")
-    salts = F.ceil(F.col("n") / hot_rows).cast("int")
-    rows = cut(k.join(mixed.select("look", salts.alias("salts")), "look"))
-    a = rows.select("look", F.col("id").alias("a"), F.col("raw").alias("raw_a"), F.pmod(F.xxhash64("id"), F.col("salts").cast("long")).cast("int").alias("salt"))
-    b = rows.select("look", F.col("id").alias("b"), F.col("raw").alias("raw_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return a.join(b, ["look", "salt"]).where("a < b and raw_a <> raw_b").select("a", "b")
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in RAW for f in (F.min, F.max)]
+    mixed = k.groupBy(*LOOK).agg(*ends, F.count(F.lit(1)).alias("n")).where(" or ".join(f"min_{c} <> max_{c}" for c in RAW))
+    rows = cut(k.join(mixed.select(*LOOK, F.ceil(F.col("n") / hot_rows).cast("int").alias("salts")), list(LOOK)))
+    a = rows.select(*LOOK, F.col("id").alias("a"), F.struct(*RAW).alias("of_a"), F.pmod(F.xxhash64("id"), F.col("salts").cast("long")).cast("int").alias("salt"))
+    b = rows.select(*LOOK, F.col("id").alias("b"), F.struct(*RAW).alias("of_b"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return a.join(b, [*LOOK, "salt"]).where("a < b and of_a <> of_b").select("a", "b")

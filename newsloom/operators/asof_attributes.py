@@ -85,16 +85,16 @@ def attributes_asof(
         .drop("recorded")
     )
     both = e.select("entity", "t").unionAll(c.select("entity", "t"))
-    sizes = both.groupBy("entity").count()
-    total = sizes.agg(F.sum("count")).first()[0] or 0
+    # One row for each entity over the limit, and one (null) for all others: at most total / group_rows + 1 rows.
+    sizes = both.groupBy("entity").count().groupBy(F.when(F.col("count") > group_rows, F.col("entity")).alias("entity")).agg(F.sum("count").alias("n")).collect()
+    total = sum(r["n"] for r in sizes)
+    big = {r["entity"]: math.ceil(r["n"] / group_rows) for r in sizes if r["entity"] is not None}
     buckets = max(shuffle_partitions(spark), math.ceil(total / group_rows))
-    # At most total / group_rows <= buckets entities can exceed group_rows: a proven bound.
-    big = sizes.where(F.col("count") > group_rows).collect() if total > group_rows else []
     cold = F.pmod(F.xxhash64("entity"), F.lit(buckets)).cast("int")
     if not big:
         e, c = e.withColumn("grp", cold), c.withColumn("grp", cold)
     else:
-        plan = _slices(spark, both, {r["entity"]: math.ceil(r["count"] / group_rows) for r in big}, buckets)
+        plan = _slices(spark, both, big, buckets)
         below = lambda: F.size(F.filter("cuts", lambda b: b < F.col("t")))
         e = e.join(F.broadcast(plan), "entity", "left")
         same = F.size(F.filter("cuts", lambda b: b == F.col("t")))

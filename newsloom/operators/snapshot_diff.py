@@ -52,22 +52,25 @@ def snapshot_changes(
     with the greatest ``delivered`` of its date; a date whose delivery holds no
     record is an empty snapshot. Rows with a null date, key or delivery, or
     without ``is_record``, are no records. Where a key repeats within a snapshot
-    its smallest ``row_id`` speaks for it. One date or none gives no rows.
+    its smallest ``row_id`` speaks for it (a null one last). One date or none gives no rows.
     """
     dates = final_deliveries(rows, date=date, delivered=delivered)
     sides = [F.xxhash64(c).alias(f"h_{name}") for name, c in compared.items()]
-    r = rows.select(F.col(date).alias("date"), F.col(delivered).alias("delivered"), F.col(row_id).alias("id"), key.alias("key"), is_record.alias("ok"), *sides).where("ok and key is not null").drop("ok")
-    r = r.join(F.broadcast(dates) if _few(dates) else dates, ["date", "delivered"])
+    r = rows.select(F.col(date).alias("date"), F.col(delivered).alias("delivered"), F.coalesce(F.col(row_id).cast("long"), F.lit(2**63 - 1)).alias("id"), key.alias("key"), is_record.alias("ok"), *sides).where("ok and key is not null").drop("ok")
+    r = r.join(_listed(dates), ["date", "delivered"])
     tagged = r.select("key", "id", *(f"h_{n}" for n in compared), F.explode(F.array(F.struct("step", F.lit(True).alias("new")), F.struct(F.col("next").alias("step"), F.lit(False).alias("new")))).alias("side"))
     tagged = tagged.where("side.step is not null").select("key", "id", F.col("side.step").alias("step"), F.col("side.new").alias("new"), *(f"h_{n}" for n in compared))
-    one = F.struct("id", *(f"h_{n}" for n in compared))
-    both = tagged.groupBy("step", "key").agg(F.min(F.when(F.col("new"), one)).alias("b"), F.min(F.when(~F.col("new"), one)).alias("a"))
-    kinds = F.when(F.col("a").isNull(), F.array(F.lit("added"))).when(F.col("b").isNull(), F.array(F.lit("removed"))).otherwise(
-        F.array_compact(F.array(*(F.when(F.col(f"a.h_{n}") != F.col(f"b.h_{n}"), F.lit(n)) for n in compared)))
+    # Plain longs throughout, so that both phases of the aggregation hash and nothing is sorted.
+    of = {"b": F.when(F.col("new"), F.col("id")), "a": F.when(~F.col("new"), F.col("id"))}
+    spoken = [F.min_by(f"h_{n}", rank).alias(f"{side}_{n}") for side, rank in of.items() for n in compared]
+    both = tagged.groupBy("step", "key").agg(*(F.count(rank).alias(side) for side, rank in of.items()), *spoken)
+    kinds = F.when(F.col("a") == 0, F.array(F.lit("added"))).when(F.col("b") == 0, F.array(F.lit("removed"))).otherwise(
+        F.array_compact(F.array(*(F.when(F.col(f"a_{n}") != F.col(f"b_{n}"), F.lit(n)) for n in compared)))
     )
     return both.select(F.col("step").alias("snap_date"), "key", F.explode(kinds).alias("change_kind"))
 
 
-def _few(dates: DataFrame, most: int = 100_000) -> bool:
-    """Whether the list of dates may be broadcast: two centuries of daily snapshots can."""
-    return dates.limit(most + 1).count() <= most
+def _listed(dates: DataFrame, most: int = 100_000) -> DataFrame:
+    """The list of dates, broadcast if it has at most ``most`` rows (two centuries of daily snapshots do)."""
+    rows = dates.limit(most + 1).collect()
+    return F.broadcast(dates.sparkSession.createDataFrame(rows, dates.schema)) if len(rows) <= most else dates

@@ -8,6 +8,8 @@ closed trades are ``lineitem`` with results in cents; texts are ``documents``.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -22,11 +24,18 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None):
+def query(name: str, sql: str | None = None, dates: tuple[str, ...] = ()):
+    """Register a query and its SQL; ``dates`` are given as text, which both engines write alike."""
+
     def add(f):
-        QUERIES[name] = f
+        @functools.wraps(f)
+        def run(spark, d):
+            df = f(spark, d)
+            return df.withColumns({c: F.col(c).cast("string") for c in dates}) if dates else df
+
+        QUERIES[name] = run
         if sql:
-            SQL[name] = sql
+            SQL[name] = f"select * replace ({', '.join(f'cast({c} as varchar) as {c}' for c in dates)}) from ({sql})" if dates else sql
         return f
 
     return add
@@ -55,12 +64,16 @@ SESSION = f"""(select ticker, day, arg_min(px_e4, (ts_ns, print_id)) filter (m b
   from (select *, {DAY} as day, {MIN} as m from {PRINTS}) group by ticker, day)"""
 
 
-@query("q01_session_rollup", f"select * from {SESSION}")
+@query("q01_session_rollup", f"select * from {SESSION}",
+    dates=("day",),
+)
 def session_rollup(spark, d):
     return market.session_rollup(tape(spark, d))
 
 
-@query("q02_vwap", f"select ticker, day, round(notional_e4 / volume / 10000, 6) as vwap from {SESSION}")
+@query("q02_vwap", f"select ticker, day, round(notional_e4 / volume / 10000, 6) as vwap from {SESSION}",
+    dates=("day",),
+)
 def vwap(spark, d):
     return market.session_rollup(tape(spark, d)).select("ticker", "day", market.vwap(F.col("notional_e4"), F.col("volume")).alias("vwap"))
 
@@ -74,7 +87,9 @@ def minute_bars(spark, d):
     return market.minute_bars(tape(spark, d))
 
 
-@query("q04_most_active", f"select ticker, day, notional_e4, volume from {SESSION} order by notional_e4 desc, ticker, day limit 20")
+@query("q04_most_active", f"select ticker, day, notional_e4, volume from {SESSION} order by notional_e4 desc, ticker, day limit 20",
+    dates=("day",),
+)
 def most_active(spark, d):
     return market.most_active(market.session_rollup(tape(spark, d)), 20).select("ticker", "day", "notional_e4", "volume")
 
@@ -92,6 +107,7 @@ def baseline(spark, d):
     "q06_rolling_baseline",
     f"""with s as {SESSION}, o as (select day, row_number() over (order by day) as r from (select distinct day from s))
     select ticker, day, round(avg(volume) over (partition by ticker order by r range between 3 preceding and 1 preceding), 4) as adv from s join o using (day)""",
+    dates=("day",),
 )
 def rolling_baseline(spark, d):
     return market.rolling_baseline(market.session_rollup(tape(spark, d)), 3)
@@ -102,6 +118,7 @@ def rolling_baseline(spark, d):
     f"""with s as {SESSION}, o as (select day, row_number() over (order by day) as r from (select distinct day from s)),
     b as (select ticker, day, volume, avg(volume) over (partition by ticker order by r range between 3 preceding and 1 preceding) as adv from s join o using (day))
     select ticker, day, case when adv > 0 then round(volume / adv, 6) else 0.0 end as rvol from b""",
+    dates=("day",),
 )
 def rvol(spark, d):
     s = market.session_rollup(tape(spark, d))
@@ -238,7 +255,9 @@ def running_sum(spark, d):
     return ordered.with_running_sum(e, keys=["user_id"], time="t", tie=["event_id"], value=F.round(F.col("value") * 100).cast("bigint"), name="total", width=24 * HOUR).select("event_id", "total")
 
 
-@query("q19_once_per_day", "select ticker, min(signal_id) as signal_id, cast(t as date) as day from (select ticker, signal_id, make_timestamp(t_signal_ns // 1000) as t from signals where ticker is not null and t_signal_ns is not null) group by 1, 3")
+@query("q19_once_per_day", "select ticker, min(signal_id) as signal_id, cast(t as date) as day from (select ticker, signal_id, make_timestamp(t_signal_ns // 1000) as t from signals where ticker is not null and t_signal_ns is not null) group by 1, 3",
+    dates=("day",),
+)
 def once_per_day(spark, d):
     s = table(spark, d, "signals").where("ticker is not null and t_signal_ns is not null")
     return s.groupBy("ticker", F.to_date(times.utc(F.col("t_signal_ns"))).alias("day")).agg(F.min("signal_id").alias("signal_id"))
@@ -336,7 +355,9 @@ def in_out_sample(spark, d):
     return _trades(spark, d).groupBy((F.col("day") < F.lit("1998-01-01").cast("date")).alias("in_sample")).agg(F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("total"), F.round(F.sum("pnl") / F.count(F.lit(1)), 6).alias("expectancy"))
 
 
-@query("q29_day_results", f"select day, count(*) as closed, cast(sum(pnl) as bigint) as pnl from {TRADES} group by day")
+@query("q29_day_results", f"select day, count(*) as closed, cast(sum(pnl) as bigint) as pnl from {TRADES} group by day",
+    dates=("day",),
+)
 def day_results(spark, d):
     return _trades(spark, d).groupBy("day").agg(F.count(F.lit(1)).alias("closed"), F.sum("pnl").alias("pnl"))
 
@@ -434,7 +455,9 @@ def _filings(spark, d):
     return o.select(F.col("o_custkey").alias("cik"), F.to_date("o_orderdate").alias("day"), F.col("o_orderpriority").alias("kind"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("o_orderkey") % 30).cast("int")).alias("items"))
 
 
-@query("q39_merge_filings", f"select cik, day, kind, bit_or(items) as items from {FILINGS} group by all")
+@query("q39_merge_filings", f"select cik, day, kind, bit_or(items) as items from {FILINGS} group by all",
+    dates=("day",),
+)
 def merge_filings(spark, d):
     f = _filings(spark, d)
     return reference.merge_filings(f.where("items < 1000"), f.where("items >= 1000"), key="cik", day="day", kind="kind", items="items")
@@ -447,6 +470,7 @@ WINDOWS = {"1-URGENT": (10, 1), "2-HIGH": (30, 2), "3-MEDIUM": (120, 4), "5-LOW"
     "q40_flags_in_window",
     f"""select a.cik, a.day, coalesce(bit_or(w.bit), 0) as flags from (select distinct cik, day from {FILINGS}) a left join ({FILINGS} f join (values {', '.join(f"('{k}', {n}, {b})" for k, (n, b) in WINDOWS.items())}) w(kind, n, bit) on f.kind = w.kind)
     on f.cik = a.cik and date_diff('day', f.day, a.day) between 0 and w.n group by all""",
+    dates=("day",),
 )
 def flags_in_window(spark, d):
     f = _filings(spark, d)
@@ -458,15 +482,19 @@ def flag_names(spark, d):
     return table(spark, d, "orders").select("o_orderkey", names.mask_names(F.col("o_orderkey"), [(1, "offering"), (8, "effect"), (2, "s1"), (4, "shelf")]).alias("flags"))
 
 
-@query("q42_before_day", f"select cik, count(*) as n, max(day) as last_day from {FILINGS} where day < date '1997-06-01' group by cik")
+@query("q42_before_day", f"select cik, count(*) as n, max(day) as last_day from {FILINGS} where day < date '1997-06-01' group by cik",
+    dates=("last_day",),
+)
 def before_day(spark, d):
     return _filings(spark, d).where(F.col("day") < F.lit("1997-06-01").cast("date")).groupBy("cik").agg(F.count(F.lit(1)).alias("n"), F.max("day").alias("last_day"))
 
 
-@query("q43_latest_per_issuer", "select o_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) as price, max(o_orderdate) as at from orders group by 1")
+@query("q43_latest_per_issuer", "select o_custkey, arg_max(o_totalprice, (o_orderdate, o_orderkey)) as price, max(o_orderdate) as ordered_at from orders group by 1",
+    dates=("ordered_at",),
+)
 def latest_per_issuer(spark, d):
     o = table(spark, d, "orders")
-    return reference.latest_per_key(o, key=["o_custkey"], order=["o_orderdate", "o_orderkey"], take=["o_totalprice", "o_orderdate"]).select("o_custkey", F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("at"))
+    return reference.latest_per_key(o, key=["o_custkey"], order=["o_orderdate", "o_orderkey"], take=["o_totalprice", "o_orderdate"]).select("o_custkey", F.col("o_totalprice").alias("price"), F.col("o_orderdate").alias("ordered_at"))
 
 
 @query("q44_missing_symbols", "select distinct ticker from tape where ticker is not null and ticker not in (select ticker from symbol_info where ticker is not null)")
@@ -552,7 +580,9 @@ def form_classes(spark, d):
     return table(spark, d, "part").groupBy(names.classify_form(made).alias("p")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("q56_eastern_time", f"select print_id, {DAY} as day, cast({MIN} as int) as minute, strftime({ET.format('ts_ns')}, '%H:%M:%S') as hms from tape where ts_ns is not null")
+@query("q56_eastern_time", f"select print_id, {DAY} as day, cast({MIN} as int) as minute, strftime({ET.format('ts_ns')}, '%H:%M:%S') as hms from tape where ts_ns is not null",
+    dates=("day",),
+)
 def eastern_time(spark, d):
     t = F.col("ts_ns")
     return table(spark, d, "tape").where("ts_ns is not null").select("print_id", times.eastern_date(t).alias("day"), times.eastern_minute(t).alias("minute"), times.eastern_hms(t).alias("hms"))
@@ -583,9 +613,10 @@ def json_props(spark, d):
     return table(spark, d, "events").select("event_id", F.from_json("props", "k bigint")["k"].alias("k"))
 
 
-@query("q60_array_slices", "select vec_id, embedding[1:6] as head, cast(len(embedding) as int) as n from embeddings")
+@query("q60_array_slices", "select vec_id, round(embedding[1]::double, 6) as first, cast(len(embedding[1:6]) as int) as n_head, cast(len(embedding) as int) as n from embeddings")
 def array_slices(spark, d):
-    return table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1, 6).alias("head"), F.size("embedding").alias("n"))
+    e = table(spark, d, "embeddings")
+    return e.select("vec_id", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"), F.size(F.slice("embedding", 1, 6)).alias("n_head"), F.size("embedding").alias("n"))
 
 
 @query("q61_money", "select signal_id, case when mcap >= 1e9 then printf('%.1fB', floor(mcap / 1e8 + 0.5) / 10) when mcap >= 1e6 then printf('%.1fM', floor(mcap / 1e5 + 0.5) / 10) when mcap >= 1e3 then printf('%.1fK', floor(mcap / 1e2 + 0.5) / 10) else printf('%.0f', floor(mcap + 0.5)) end as mcap from signals where mcap is not null")

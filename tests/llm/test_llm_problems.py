@@ -235,7 +235,7 @@ def test_mapping_conflicts_are_refused(monkeypatch):
 @pytest.mark.parametrize("hot", [2, 10_000])
 def test_look_alike_pairs(spark, hot):
     rows = [(1, "abc"), (2, "abс"), (3, "abc"), (4, "a​bc"), (5, "abd"), (6, None), (7, ""), (8, "​"), (9, "‍"), (10, "z" * 100_000), (11, "z" * 99_999 + "ｚ")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("look", F.lit("clash"))
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("look_a", F.lit("clash"))
     got = sorted(tuple(r) for r in look_alike_pairs(df, id_col="doc_id", text_col="text", hot_rows=hot).collect())
     texts = {i: t for i, t in rows if t}
     want = sorted((a, b) for a in texts for b in texts if a < b and texts[a] != texts[b] and visible(texts[a]) == visible(texts[b]))
