@@ -1,34 +1,60 @@
-"""Corrected counts over a stream: panes kept as streaming state, windows recomposed when a pane changes.
+"""Corrected counts over a stream: additions to panes stored by batch, windows recomposed when a pane changes.
 
-The stream keeps one partial count per (source, period, slot of lateness). It is
-an ordinary streaming aggregation, so hot sources are combined before the
-shuffle. In update mode each micro-batch yields just the panes that changed;
-those are stored under their batch number, and only their windows are composed
-again from the store. A batch that is repeated after a failure overwrites itself.
+The stream remembers which stories a (source, period) has counted, in buckets of
+stories, so that a busy source is spread over tasks and a bucket's state stays
+small. Each micro-batch yields how many stories it adds per (source, period, slot
+of lateness); these are stored under the batch number, and only the windows they
+touch are composed again from the store. A batch that is repeated after a failure
+overwrites itself.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+#: The stories of a source's period are remembered in so many parts.
+BUCKETS = 64
 
 
-def pane_counts(stream: DataFrame, *, source: str, story: str, event_time: str, arrival: str, window_ns: int, lateness_ns: int, slot_ns: int) -> DataFrame:
-    """(src, period, slot, n): counts on time (slot -1) and by slot of late arrival.
+def pane_counts(stream: DataFrame, *, source: str, story: str, event_time: str, arrival: str, window_ns: int, lateness_ns: int, slot_ns: int, disorder_ns: int | None = None) -> DataFrame:
+    """(src, period, slot, n): stories that a micro-batch adds on time (slot -1) and by slot of late arrival.
 
-    A story counts at the first of its rows that the stream delivers. State of a
-    period goes once arrivals are ``lateness_ns`` past its end.
+    A story counts at the first of its rows that the stream delivers. Time goes by
+    arrivals, never by the sources' clocks: state of a period goes once arrivals are
+    ``lateness_ns`` past its end. Rows may be delivered up to ``disorder_ns`` of
+    arrival behind the newest (``lateness_ns`` if not given); those further behind
+    are lost.
     """
+    disorder_ns = lateness_ns if disorder_ns is None else disorder_ns
     e, t = F.col(event_time).cast("long"), F.col(arrival).cast("long")
     x = stream.where(F.col(source).isNotNull() & F.col(story).isNotNull() & e.isNotNull() & (e != 0) & t.isNotNull())
-    x = x.select(F.col(source).alias("src"), F.col(story).alias("story"), (e - F.pmod(e, F.lit(window_ns))).alias("period"), t.alias("t"))
-    late = F.col("t") - F.col("period") - window_ns
-    closed = F.timestamp_micros(F.floor((F.col("period") + window_ns + lateness_ns) / 1000))
-    x = x.where(late < lateness_ns).withColumn("closes", closed).withWatermark("closes", "1 second")
-    x = x.dropDuplicates(["src", "period", "story", "closes"])
-    slot = F.when(late < 0, F.lit(-1).cast("long")).otherwise(F.floor(late / slot_ns))
-    return x.groupBy("src", "period", slot.alias("slot"), "closes").agg(F.count(F.lit(1)).alias("n")).drop("closes")
+    x = x.select(F.col(source).alias("src"), F.col(story).cast("string").alias("story"), (e - F.pmod(e, F.lit(window_ns))).alias("period"), t.alias("t"))
+    x = x.withColumn("arrived", F.timestamp_micros(F.floor(F.col("t") / 1000))).withWatermark("arrived", f"{-(-disorder_ns // 1_000_000)} milliseconds")
+    x = x.where(F.col("t") - F.col("period") - window_ns < lateness_ns).withColumn("bucket", F.pmod(F.xxhash64("story"), F.lit(BUCKETS)))
+
+    def run(key, batches: Iterator[pd.DataFrame], held: GroupState):
+        if held.hasTimedOut:
+            held.remove()
+            return
+        src, period, _ = key
+        seen = set(held.get[0]) if held.exists else set()
+        rows = pd.concat(list(batches)).groupby("story")["t"].min()
+        rows = rows[~rows.index.isin(seen)]
+        held.update((sorted(seen.union(rows.index)),))
+        closes_ms = -(-(int(period) + window_ns + lateness_ns) // 1_000_000)
+        held.setTimeoutTimestamp(max(closes_ms, held.getCurrentWatermarkMs() + 1))
+        late = rows - period - window_ns
+        slots = (late // slot_ns).where(late >= 0, -1).value_counts()
+        yield pd.DataFrame({"src": [src] * len(slots), "period": period, "slot": slots.index, "n": slots.to_numpy()})
+
+    out = f"src {dict(x.dtypes)['src']}, period bigint, slot bigint, n bigint"
+    return x.groupBy("src", "period", "bucket").applyInPandasWithState(run, out, "stories array<string>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def compose(panes: DataFrame) -> DataFrame:
@@ -38,7 +64,8 @@ def compose(panes: DataFrame) -> DataFrame:
 
 
 def latest_panes(store: DataFrame) -> DataFrame:
-    return store.groupBy("src", "period", "slot").agg(F.max_by("n", "batch").alias("n"))
+    """The panes as of the last batch: all that the batches added."""
+    return store.groupBy("src", "period", "slot").agg(F.sum("n").alias("n"))
 
 
 def start_corrections(panes: DataFrame, *, store: str, emitted: str, checkpoint: str, **trigger) -> StreamingQuery:
@@ -46,10 +73,10 @@ def start_corrections(panes: DataFrame, *, store: str, emitted: str, checkpoint:
 
     def one(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").parquet(f"{store}/batch={n}")
+        batch.groupBy("src", "period", "slot").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{store}/batch={n}")
         changed = spark.read.parquet(f"{store}/batch={n}").select("src", "period").distinct()
         # Batches of a later, failed attempt are not there yet: numbers only grow.
         known = spark.read.option("basePath", store).parquet(f"{store}/batch=*").where(F.col("batch") <= n)
         compose(latest_panes(known.join(changed, ["src", "period"], "left_semi"))).write.mode("overwrite").parquet(f"{emitted}/batch={n}")
 
-    return panes.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(one).trigger(**(trigger or {"availableNow": True})).start()
+    return panes.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(one).trigger(**(trigger or {"availableNow": True})).start()

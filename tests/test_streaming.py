@@ -105,3 +105,22 @@ def test_corrections(spark, landed, tmp_path):
     out = spark.read.option("basePath", f"{tmp_path}/out").parquet(f"{tmp_path}/out/batch=*")
     final = out.groupBy("src", "period_ns").agg(F.max(F.struct("batch", "n_stories"))["n_stories"].alias("n"))
     assert sorted(map(tuple, final.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_corrections_hours_late_in_small_batches(spark, landed, tmp_path):
+    ns = lambda h: int(h * HOUR) + 400_000 * HOUR
+    news = [("w", f"h{h}-{i}", ns(h + i / 10), ns(h + i / 10) + 1) for h in range(12) for i in range(3)]
+    news += [("w", "ahead", ns(500), ns(0.5))]  # a source whose clock is wrong silences nobody
+    news += [("w", "late1", ns(0.2), ns(3.1)), ("w", "late2", ns(0.3), ns(3.2)), ("w", "late1", ns(0.2), ns(4.1)), ("w", "h0-0", ns(0), ns(5.5)), ("w", "late3", ns(2.2), ns(8.4)), ("w", "toolate", ns(0.1), ns(7.5))]
+    news += [("w", "last", ns(20), ns(20) + 1)]
+    s = spark.createDataFrame(news, "src string, news_id string, published_ns long, t_news_recv_ns long")
+    args = dict(source="src", story="news_id", event_time="published_ns", arrival="t_news_recv_ns", window_ns=HOUR, lateness_ns=6 * HOUR, slot_ns=60_000_000_000)
+    q = start_corrections(pane_counts(landed(s, "t_news_recv_ns", parts=21), **args), store=f"{tmp_path}/store", emitted=f"{tmp_path}/out", checkpoint=f"{tmp_path}/cp")
+    q.awaitTermination(300)
+    assert q.exception() is None
+    out = spark.read.option("basePath", f"{tmp_path}/out").parquet(f"{tmp_path}/out/batch=*")
+    final = out.groupBy("period_ns").agg(F.max(F.struct("batch", "n_stories"))["n_stories"].alias("n"))
+    got = {(r.period_ns - ns(0)) // HOUR: r.n for r in final.collect()}
+    assert got == {h: 3 + {0: 2, 2: 1}.get(h, 0) for h in range(12)} | {20: 1, 500: 1}
+    # State of the periods whose lateness is over is gone.
+    assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < 38
