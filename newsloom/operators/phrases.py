@@ -96,8 +96,9 @@ VENUES = {
 }
 _SYMBOL = r"[A-Z](?:[A-Z0-9.-]{0,8}[A-Z0-9])?"
 _NAMES = "|".join(sorted((re.escape(v) for v in VENUES), key=len, reverse=True))
-#: venue, colon, then symbols parted by commas or "and"; a symbol runs into no lower-case letter.
-TAG = rf"(?:^|[(\[ ,;/\n\t|>\"])((?i:{_NAMES})) *: *({_SYMBOL}(?![a-z])(?: *(?:,|and ) *{_SYMBOL}(?![a-z]))*)"
+#: venue, colon, then symbols parted by commas or "and"; a symbol runs into no lower-case letter, and a venue with its colon is none: it begins the next tag.
+_LISTED = rf"(?!(?i:{_NAMES}) *:){_SYMBOL}(?![a-z])"
+TAG = rf"(?:^|[(\[ ,;/\n\t|>\"])((?i:{_NAMES})) *: *({_LISTED}(?: *(?:,|and ) *{_LISTED})*)"
 
 
 def ticker_tags(c: Column) -> Column:

@@ -80,6 +80,15 @@ def test_amounts_and_tags(spark):
     assert [[tuple(t) for t in x] for x in tags] == [[("US", "NASDAQ", "ACMR"), ("US", "NASDAQ", "ACMRW"), ("Foreign", "TSXV", "ECM")], [("US", "NYSE", "A"), ("US", "NYSE", "B")], [], [], [], [("US", "NYSE", "FOXT")]]
 
 
+def test_tags_of_cross_listings(spark):
+    texts = ["(NYSE: ABC, NASDAQ: XYZ)", "(TSX: ABC and NASDAQ: XYZ)", "(NYSE:ABC,D,TSX Venture:XYZ)", "(TSX : ABC, DEF and NYSE American : XYZ, W)", "(NASDAQ: NYSE, LSE)", "(NYSE: NASDAQ: XYZ)"]
+    got = [[(t.venue, t.symbol) for t in x] for x in values(spark, phrases.ticker_tags, texts)]
+    assert got == [
+        [("NYSE", "ABC"), ("NASDAQ", "XYZ")], [("TSX", "ABC"), ("NASDAQ", "XYZ")], [("NYSE", "ABC"), ("NYSE", "D"), ("TSXV", "XYZ")],
+        [("TSX", "ABC"), ("TSX", "DEF"), ("NYSE", "XYZ"), ("NYSE", "W")], [("NASDAQ", "NYSE"), ("NASDAQ", "LSE")], [("NASDAQ", "XYZ")],
+    ]
+
+
 def test_phrases(spark):
     df = spark.createDataFrame([(1, "FDA approves Acme device in a large amount"), (2, "enters at-the-market program; AT THE MARKET"), (3, None), (4, ""), (5, "...")], "id long, t string")
     got = sorted(tuple(r) for r in phrases.match_phrases(df, ["fda approv*", "mou", "at the market", "approves"], id_col="id", text_col="t").select("id", "rule", "n").collect())
