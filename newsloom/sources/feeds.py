@@ -34,7 +34,7 @@ def item_id(*candidates: Column) -> Column:
 
 
 def rss_items(spark: SparkSession, path: str) -> DataFrame:
-    """RSS items: id, title, link, published_ns, body, tags of tickers in categories, title, then body. Items without title are dropped."""
+    """RSS items: id, title, link, published_ns, body, all tags of tickers in categories, title, then body. Items without title are dropped."""
     x = _items(spark, path, "item", RSS.replace("guid string", "guid struct<_text:string,_isPermaLink:string>"))
     cats = F.coalesce(F.transform("category", lambda c: F.concat(F.lit(" "), c)), F.array().cast("array<string>"))
     body = F.coalesce(_text(F.col("description")), _text(F.col("`content:encoded`")), F.lit(""))
@@ -43,7 +43,7 @@ def rss_items(spark: SparkSession, path: str) -> DataFrame:
         F.coalesce(parse_any_datetime(F.col("pubDate")), parse_any_datetime(F.col("`dc:date`"))).alias("published_ns"), html_to_text(body).alias("body"), cats.alias("categories"), F.col("`dc:contributor`").alias("contributors"),
     ).where("title <> ''")
     tags = F.array_distinct(F.concat(F.flatten(F.transform("categories", ticker_tags)), ticker_tags(F.col("title")), ticker_tags(F.col("body"))))
-    return y.withColumn("tags", F.slice(tags, 1, 9)).drop("categories")
+    return y.withColumn("tags", tags).drop("categories")
 
 
 TITLE = r"^(.*?) - (.*?)\s*\((\d{1,10})\)(?:.*?\(([^)]*)\))?"

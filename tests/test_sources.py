@@ -4,7 +4,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
-from newsloom.operators import market
+from newsloom.operators import market, stories
 from newsloom.sources import feeds, journal_files, market_files, reference_files
 
 BASE = 1_790_337_600 * 10**9
@@ -65,6 +65,14 @@ def test_feeds(spark, tmp_path):
     assert a[0].id != b[0].id
 
 
+def test_tags_are_resolved_before_they_are_capped(spark, tmp_path):
+    many = "".join(f"<category>TSX:F{i:02}</category>" for i in range(20))
+    x = feeds.rss_items(spark, put(tmp_path / "m.xml", f"<rss><channel><item><guid>1</guid><title>Acme (NASDAQ: ACMR)</title>{many}</item></channel></rss>"))
+    assert rows(x, F.size("tags")) == [(21,)]
+    got = stories.resolve_tags(x, spark.createDataFrame([("ACMR",)], "ticker string"), id_col="id").first()
+    assert (got.tickers, got.unresolved) == (["ACMR"], ["TSX:F00", "TSX:F01", "TSX:F02"])
+
+
 def test_pages_and_rebuild(spark):
     index_page = '<div class="infoHead">Accepted</div>\n<div class="info">2026-09-25 08:00:00</div><div>Item 1.01: x<br />Item 9.01: y</div><table><tr><td><a href="/ix?doc=/d/main.htm">m</a></td><td>8-K</td></tr><tr><td><a href="/d/ex10.htm">e</a></td><td>EX-10.1</td></tr><tr><td><a href="/d/ex99-2.htm">f</a></td><td>EX-99.2</td></tr><tr><td><a href="/d/ex99-1.htm">g</a></td><td>EX-99.1</td></tr></table>'
     exhibit = "<p><b>Exhibit 99.1</b></p><p>Short</p><p>Acme Robotics Signs $20 Million Agreement</p><p>NEW YORK</p>"
