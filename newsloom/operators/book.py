@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.operators.ordered import fold_sorted
 
 TOP = "session string, locate int, seq bigint, ts_ns bigint, bid_e4 bigint, bid_size bigint, ask_e4 bigint, ask_size bigint"
+CHANGES = "session string, locate int, seq bigint, side string, px_a bigint, shares_a bigint, px_b bigint, shares_b bigint"
 USED = "type in ('A', 'F', 'E', 'C', 'X', 'D', 'U')"
 
 
@@ -96,17 +97,33 @@ def tops_of_book(messages: DataFrame) -> DataFrame:
 
 
 def depth_after(messages: DataFrame) -> DataFrame:
-    """Standing shares per (session, locate, side, price) after all messages, as joins and one aggregation.
+    """Standing shares per (session, locate, side, price) after all messages.
 
-    Every order's life is additive: its shares minus all that executions and
-    cancels took, nothing once deleted or replaced. No order of rows is needed.
+    An order may be replaced any number of times, so the books are folded in
+    message order as in ``tops_of_book``. A message changes one level, or two of a
+    side; of each level the state after its last change counts.
     """
-    adds = messages.where("type in ('A', 'F')").select("session", "locate", "ref", "side", "px_e4", "shares")
-    swaps = messages.where("type = 'U'").select("session", F.col("ref").alias("old"), F.col("new_ref").alias("ref"), "px_e4", "shares")
-    # A replacement has the side of its origin; chains of them are resolved by message order in tops_of_book.
-    once = swaps.join(adds.select("session", F.col("ref").alias("old"), "locate", "side"), ["session", "old"]).select("session", "locate", "ref", "side", "px_e4", "shares")
-    orders = adds.unionByName(once)
-    taken = messages.where("type in ('E', 'C', 'X')").groupBy("session", "ref").agg(F.sum("shares").alias("taken"))
-    dead = messages.where("type in ('D', 'U')").select("session", "ref").distinct()
-    live = orders.join(dead, ["session", "ref"], "left_anti").join(taken, ["session", "ref"], "left")
-    return live.groupBy("session", "locate", "side", "px_e4").agg(F.sum(F.greatest(F.col("shares") - F.coalesce("taken", F.lit(0)), F.lit(0))).alias("shares")).where("shares > 0")
+    cols = ["session", "locate", "seq", "type", "ref", "new_ref", "side", "shares", "px_e4"]
+
+    def step(book: _Book, row):
+        session, locate, seq, kind, ref, new_ref, side, shares, px = row
+        prices = (px, None)
+        if kind in "AF":
+            if side not in ("B", "S"):
+                return book, None
+            book.put(ref, side, px, shares)
+        else:
+            old = book.take(ref, None if kind in "DU" else shares)
+            if old is None:
+                return book, None
+            side, prices = old[0], (old[1], None)
+            if kind == "U":
+                book.put(new_ref, side, px, shares)
+                prices = (old[1], px)
+        level = book.levels[side]
+        return book, (session, locate, seq, side, *(x for p in prices for x in (p, None if p is None else level.get(p, 0))))
+
+    changes = fold_sorted(messages.where(USED).select(*cols), keys=["session", "locate"], order=["seq"], step=step, start=_Book, out=CHANGES)
+    both = F.array(F.struct(F.col("px_a").alias("px_e4"), F.col("shares_a").alias("shares")), F.struct(F.col("px_b").alias("px_e4"), F.col("shares_b").alias("shares")))
+    levels = changes.select("session", "locate", "seq", "side", F.explode(both).alias("l")).select("session", "locate", "seq", "side", "l.*").where("px_e4 is not null")
+    return levels.groupBy("session", "locate", "side", "px_e4").agg(F.max(F.struct("seq", "shares"))["shares"].alias("shares")).where("shares > 0")

@@ -63,6 +63,34 @@ def test_book_equals_plain_replay_at_random(spark):
     assert got == want
 
 
+def test_depth_equals_plain_replay_with_chains_of_replacements(spark):
+    import random
+
+    rnd, out, orders = random.Random(5), [], {}
+    for q in range(800):
+        kind = rnd.choice("AAUUUUEXD")
+        ref = rnd.choice(list(orders)) if orders and rnd.random() < 0.9 else rnd.randrange(q + 1)
+        new = kind in "AU"
+        row = (q, q, kind, q if kind == "A" else ref, q if kind == "U" else None, rnd.choice("BS") if kind == "A" else None, rnd.randint(1, 9) if kind != "D" else None, rnd.randint(1, 20) if new else None)
+        out.append(("s", q % 2, *row))
+        book_of = lambda r: r[0] == q % 2  # noqa: B023, E731
+        if kind == "A":
+            orders[q] = (q % 2, row[5], row[7], row[6])
+        elif ref in orders and book_of(orders[ref]):
+            locate, side, price, have = orders.pop(ref)
+            if kind == "U":
+                orders[q] = (locate, side, row[7], row[6])
+            elif kind != "D" and have > row[6]:
+                orders[ref] = (locate, side, price, have - row[6])
+    want = {}
+    for locate, side, price, n in orders.values():
+        want[locate, side, price] = want.get((locate, side, price), 0) + n
+    got = rows(book.depth_after(spark.createDataFrame(out, MESSAGES)), "locate", "side", "px_e4", "shares")
+    assert got == sorted(((*k, n) for k, n in want.items()), key=str) and got
+    chain = [("s", 1, 0, 0, "A", 1, None, "B", 100, 20000), ("s", 1, 1, 1, "U", 1, 2, None, 90, 20000), ("s", 1, 2, 2, "U", 2, 3, None, 80, 20100), ("s", 1, 3, 3, "E", 3, None, None, 10, None)]
+    assert rows(book.depth_after(spark.createDataFrame(chain, MESSAGES)), "side", "px_e4", "shares") == [("B", 20100, 70)]
+
+
 def test_tags_and_names(spark):
     s = spark.createDataFrame([(1, "x (NASDAQ: ACMR, NOPE) (TSXV: ECM)"), (2, "none"), (3, None)], "id long, t string").withColumn("tags", phrases.ticker_tags(F.col("t")))
     master = spark.createDataFrame([("ACMR",), ("ECM",), (None,)], "ticker string")
