@@ -33,7 +33,7 @@ FIELDS = {
 }
 SCHEMA = "session string, seq bigint, type string, locate int, ts_ns bigint, stock string, ref bigint, new_ref bigint, side string, shares bigint, px_e4 bigint, printable string, state string, reason string, code string, category string, status string"
 _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
-BLOCK = 8 << 20
+BLOCK, STEP = 8 << 20, 1 << 20
 
 
 def _offsets(buf: np.ndarray) -> tuple[np.ndarray, int]:
@@ -84,14 +84,27 @@ def decode_block(buf: np.ndarray, session: str, first: int):
     return table, used, len(spans)
 
 
+def _inflated(stream: io.BufferedIOBase) -> tuple[bytes, bool]:
+    """A block of bytes, and whether more may follow; all that comes out before a broken end counts."""
+    parts, size = [], 0
+    try:
+        # read1 gives what one step inflates, so an error takes nothing along that came before it.
+        while size < BLOCK:
+            more = stream.read1(min(STEP, BLOCK - size))
+            if not more:
+                break
+            parts.append(more)
+            size += len(more)
+    except (EOFError, OSError):
+        return b"".join(parts), False
+    return b"".join(parts), size == BLOCK
+
+
 def read_messages(stream: io.BufferedIOBase, session: str) -> Iterator:
     """Record batches of a session; stops cleanly at a truncated end. Short and unknown messages are passed over."""
-    rest, seq = b"", 0
-    while True:
-        try:
-            more = stream.read(BLOCK)
-        except (EOFError, OSError):
-            more = b""
+    rest, seq, goes_on = b"", 0, True
+    while goes_on:
+        more, goes_on = _inflated(stream)
         if not more:
             return
         buf = np.frombuffer(rest + more, np.uint8)
