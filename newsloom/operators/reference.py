@@ -42,10 +42,12 @@ def unique_names(master: DataFrame, *, issuer: str, symbol: str, name: str) -> D
     return g.where("n = 1 or (known = n and lo = hi)").select("company", symbol)
 
 
-def flags_in_window(asked: DataFrame, filings: DataFrame, *, key: str, asked_day: str, day: str, kind: str, windows: dict[str, tuple[int, int]]) -> DataFrame:
+def flags_in_window(asked: DataFrame, filings: DataFrame, *, key: str, asked_day: str, day: str, kind: str, windows: dict[str, tuple[int, int]], asked_ns: str | None = None, received_ns: str | None = None) -> DataFrame:
     """``asked`` with ``flags``: OR of the bits of all kinds filed at most their window of days before, the day included.
 
-    ``windows``: kind to (days, bit). Only the latest filing per kind at or
+    ``windows``: kind to (days, bit). With ``asked_ns`` and ``received_ns`` filings of
+    the asked day itself count only if received by then; those without receipt
+    time do not. Only the latest filing per kind at or
     before a day can matter, so the filings are first reduced to distinct
     (key, kind, day), and the range join runs on (key, month block): a filing
     reaches as many blocks as its window spans, a small constant.
@@ -56,8 +58,18 @@ def flags_in_window(asked: DataFrame, filings: DataFrame, *, key: str, asked_day
     f = f.withColumn("_blk", F.explode(F.sequence(F.floor(F.col("_d") / block), F.floor((F.col("_d") + F.col("_w.days")) / block))))
     a = asked.select(F.col(key).alias("_k"), F.unix_date(F.col(asked_day)).alias("_at")).dropna().distinct().withColumn("_blk", F.floor(F.col("_at") / block))
     hit = a.join(f, ["_k", "_blk"]).where((F.col("_at") >= F.col("_d")) & (F.col("_at") - F.col("_d") <= F.col("_w.days")))
+    if asked_ns is not None:
+        hit = hit.where("_at > _d")
     flags = hit.groupBy("_k", "_at").agg(F.bit_or("_w.bit").alias("flags"))
     out = asked.withColumns({"_k": F.col(key), "_at": F.unix_date(F.col(asked_day))}).join(flags, ["_k", "_at"], "left")
+    if asked_ns is not None:
+        # One entry per kind at most: when its first filing of the day came.
+        day_of = filings.where(F.col(key).isNotNull() & F.col(kind).isin(list(windows)) & F.col(received_ns).isNotNull())
+        first = day_of.groupBy(F.col(key).alias("_k"), F.unix_date(F.col(day)).alias("_at"), spec[F.col(kind)]["bit"].alias("bit")).agg(F.min(received_ns).alias("recv"))
+        out = out.join(first.groupBy("_k", "_at").agg(F.collect_list(F.struct("recv", "bit")).alias("_today")), ["_k", "_at"], "left")
+        known = F.filter("_today", lambda x: x["recv"] <= F.col(asked_ns))
+        today = F.coalesce(F.aggregate(known, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseOR(x["bit"])), F.lit(0).cast("bigint"))
+        out = out.withColumn("flags", F.coalesce("flags", F.lit(0).cast("bigint")).bitwiseOR(today)).drop("_today")
     return out.drop("_k", "_at").withColumn("flags", F.coalesce("flags", F.lit(0).cast("bigint")))
 
 
