@@ -18,6 +18,18 @@ ITEMS = (
     "5.01 5.02 5.03 5.04 5.05 5.06 5.07 5.08 6.01 6.02 6.03 6.04 6.05 7.01 8.01 9.01"
 ).split()
 
+# Titles of the items, in the same order.
+ITEM_TITLES = [
+    "Entry into a Material Definitive Agreement", "Termination of a Material Definitive Agreement", "Bankruptcy or Receivership", "Mine Safety", "Material Cybersecurity Incidents",
+    "Completion of Acquisition or Disposition of Assets", "Results of Operations and Financial Condition", "Creation of a Direct Financial Obligation",
+    "Triggering Events That Accelerate a Financial Obligation", "Costs Associated with Exit or Disposal Activities", "Material Impairments",
+    "Notice of Delisting or Failure to Satisfy a Listing Rule", "Unregistered Sales of Equity Securities", "Material Modification to Rights of Security Holders",
+    "Changes in Certifying Accountant", "Non-Reliance on Previously Issued Financial Statements", "Changes in Control of Registrant", "Departure/Election of Directors or Officers",
+    "Amendments to Articles of Incorporation or Bylaws", "Temporary Suspension of Trading Under Employee Benefit Plans", "Amendments to the Code of Ethics", "Change in Shell Company Status",
+    "Submission of Matters to a Vote of Security Holders", "Shareholder Director Nominations", "ABS Informational and Computational Material", "Change of Servicer or Trustee",
+    "Change in Credit Enhancement", "Failure to Make a Required Distribution", "Securities Act Updating Disclosure", "Regulation FD Disclosure", "Other Events", "Financial Statements and Exhibits",
+]
+
 # Form class, exact form names, name prefixes; the first that fits counts.
 FORMS = [
     ("s1", ["S-1", "S-1/A", "F-1", "F-1/A", "S-1MEF", "F-1MEF"], []),
@@ -81,3 +93,9 @@ def mask_names(mask: Column, names: list[tuple[int, str]]) -> Column:
 
 def items_text(mask: Column) -> Column:
     return mask_names(mask, [(1 << i, label) for i, label in enumerate(ITEMS)])
+
+
+def filing_headline(form: Column, company: Column, mask: Column) -> Column:
+    """``8-K ACME: title; title`` of the items in ``mask``; exhibits (9.01) are not named."""
+    titles = F.array_compact(F.array(*(F.when(mask.cast("bigint").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(t)) for i, t in enumerate(ITEM_TITLES[:-1]))))
+    return F.concat(form, F.lit(" "), company, F.when(F.size(titles) > 0, F.concat(F.lit(": "), F.array_join(titles, "; "))).otherwise(F.lit("")))

@@ -27,3 +27,19 @@ def resolve_url(base: Column, href: Column) -> Column:
     ref = F.regexp_replace(href, r"#.*$", "")
     out = F.when(ref.rlike(r"(?i)^https?://"), ref).when(ref.startswith("//"), F.concat(scheme, ref)).when(ref.startswith("/"), F.concat(origin, ref)).otherwise(F.concat(folder, ref))
     return F.when(origin != "", out)
+
+
+def accession(c: Column) -> Column:
+    """Accession number of a filing's path: the last part without ``.txt``."""
+    return F.regexp_replace(F.substring_index(c, "/", -1), r"\.txt$", "")
+
+
+def session_name_date(c: Column) -> Column:
+    """``2026-09-25`` of a session file's path, whose name starts with ``09252026``; null if it does not."""
+    return F.when(F.substring_index(c, "/", -1).rlike("^[0-9]{8}"), F.regexp_replace(F.substring(F.substring_index(c, "/", -1), 1, 8), "(..)(..)(....)", "$3-$1-$2"))
+
+
+def date_session_name(day: Column) -> Column:
+    """``09252026`` of ``2026-09-25``; null for text of another length."""
+    d = day.cast("string")
+    return F.when(F.length(d) == 10, F.concat(F.substring(d, 6, 2), F.substring(d, 9, 2), F.substring(d, 1, 4)))

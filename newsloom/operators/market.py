@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.functions.times import eastern_date, eastern_minute
+from newsloom.functions.times import eastern_date, eastern_minute, volume_fraction
+from newsloom.operators.ordered import asof_join, with_running_sum
 
 MINUTE = 60_000_000_000
 
@@ -111,3 +112,26 @@ def sequence_gaps(packets: DataFrame, *, stream: str, seq: str, count: str) -> D
     w = Window.partitionBy("s", "b").orderBy("q", "c").rowsBetween(Window.unboundedPreceding, -1)
     y = x.join(carry, ["s", "b"]).withColumn("seen", F.greatest(F.max(F.col("q") + F.col("c")).over(w), F.col("carry")))
     return y.where("seen is not null and q > seen").select(F.col("s").alias(stream), F.col("seen").alias("from_seq"), (F.col("q") - F.col("seen")).alias("lost"))
+
+
+def since_minute(bars: DataFrame, asked: DataFrame, *, from_ns: str) -> DataFrame:
+    """``asked`` (ticker, ``from_ns``, ...) with ``volume_since``: volume of the bars from that minute on; 0 without any. ``bars`` are those of one session.
+
+    Running totals per ticker and hour bucket, so no asked row is paired with the
+    bars it sums over.
+    """
+    total = bars.groupBy("ticker").agg(F.sum("volume").alias("_all"))
+    up_to = with_running_sum(bars.select("ticker", "minute_ns", "volume"), keys=["ticker"], time="minute_ns", tie=[], value=F.col("volume"), name="_sum")
+    x = asof_join(asked, up_to, keys=["ticker"], left_time=from_ns, right_time="minute_ns", take={"_sum": "_before"})
+    return x.join(total, "ticker", "left").withColumn("volume_since", F.when(F.col(from_ns).isNotNull(), F.coalesce(F.col("_all") - F.coalesce("_before", F.lit(0)), F.lit(0)))).select(*asked.columns, "volume_since")
+
+
+def price_at_minute(bars: DataFrame, asked: DataFrame, *, at_ns: str) -> DataFrame:
+    """``asked`` (ticker, ``at_ns``, ...) with ``price_e4``: close of the last bar at or before that minute; 0 without one. ``bars`` are those of one session."""
+    x = asof_join(asked, bars, keys=["ticker"], left_time=at_ns, right_time="minute_ns", take={"close_e4": "price_e4"}, strict=False)
+    return x.withColumn("price_e4", F.coalesce("price_e4", F.lit(0)))
+
+
+def rvol(day_volume: Column, adv: Column, minute: Column) -> Column:
+    """Volume so far over what is usual by this minute of the Eastern day, which is 0.002 of ``adv`` at least; 0 without ``adv``."""
+    return F.when(adv > 0, day_volume / F.greatest(adv * volume_fraction(minute), adv * 0.002)).otherwise(0.0)

@@ -9,13 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from newsloom.functions.names import items_mask
+from newsloom.functions.names import filing_headline, items_mask
 from newsloom.functions.text import ascii_upper, collapse_whitespace, decode_entities, html_to_lines, html_to_text, trimmed
 from newsloom.functions.times import parse_any_datetime, parse_eastern
 from newsloom.functions.urls import resolve_url
 from newsloom.operators.phrases import ticker_tags
+from newsloom.operators.reference import primary_security
 
-RSS = "guid string, link string, title string, description string, pubDate string, `content:encoded` string, `dc:date` string, `dc:contributor` array<string>, category array<string>"
+RSS = "guid string, id string, link array<struct<_text:string,_href:string,_rel:string>>, title string, description string, pubDate string, `content:encoded` string, summary string, content string, `dc:date` string, published string, updated string, `a10:updated` string, `dc:contributor` array<string>, category array<struct<_text:string,_term:string>>"
 ATOM = "id string, title string, updated string, published string, summary string, content string, link array<struct<_href:string,_rel:string>>"
 HALTS = ", ".join(f"`ndaq:{c}` string" for c in ("HaltDate", "HaltTime", "IssueSymbol", "IssueName", "Market", "ReasonCode", "PauseThresholdPrice", "ResumptionDate", "ResumptionQuoteTime", "ResumptionTradeTime")) + ", title string, pubDate string"
 
@@ -35,12 +36,32 @@ def item_id(*candidates: Column) -> Column:
 
 def rss_items(spark: SparkSession, path: str) -> DataFrame:
     """RSS items: id, title, link, published_ns, body, all tags of tickers in categories, title, then body. Items without title are dropped."""
-    x = _items(spark, path, "item", RSS.replace("guid string", "guid struct<_text:string,_isPermaLink:string>"))
-    cats = F.coalesce(F.transform("category", lambda c: F.concat(F.lit(" "), c)), F.array().cast("array<string>"))
-    body = F.coalesce(_text(F.col("description")), _text(F.col("`content:encoded`")), F.lit(""))
+    return _stories(spark, path, "item")
+
+
+def atom_items(spark: SparkSession, path: str) -> DataFrame:
+    """Atom entries that are stories, with the columns of ``rss_items``."""
+    return _stories(spark, path, "entry")
+
+
+def story_items(spark: SparkSession, path: str) -> DataFrame:
+    """Stories of RSS and Atom documents; a document that has items gives those only."""
+    rss = rss_items(spark, path).withColumn("_file", F.input_file_name())
+    atom = atom_items(spark, path).withColumn("_file", F.input_file_name())
+    has_items = _items(spark, path, "item", "title string").select(F.input_file_name().alias("_file")).distinct()
+    return rss.unionByName(atom.join(has_items, "_file", "left_anti")).drop("_file")
+
+
+def _stories(spark: SparkSession, path: str, tag: str) -> DataFrame:
+    """Date and body are the first that read of pubDate, dc:date, published, updated, a10:updated and of description, content:encoded, summary, content."""
+    x = _items(spark, path, tag, RSS.replace("guid string", "guid struct<_text:string,_isPermaLink:string>"))
+    cats = F.coalesce(F.transform("category", lambda c: F.concat(F.lit(" "), F.coalesce(_text(c["_text"]), c["_term"], F.lit("")))), F.array().cast("array<string>"))
+    body = F.coalesce(*(_text(F.col(f"`{c}`")) for c in ("description", "content:encoded", "summary", "content")), F.lit(""))
+    alternate = F.filter("link", lambda l: l["_rel"] == "alternate")  # noqa: E741
+    link = F.coalesce(_text(F.get("link", F.lit(0))["_text"]), F.get(alternate, F.lit(0))["_href"], F.get("link", F.lit(0))["_href"])
     y = x.select(
-        item_id(F.col("guid._text"), F.col("link"), F.col("title")).alias("id"), html_to_text("title").alias("title"), trimmed(F.col("link")).alias("link"),
-        F.coalesce(parse_any_datetime(F.col("pubDate")), parse_any_datetime(F.col("`dc:date`"))).alias("published_ns"), html_to_text(body).alias("body"), cats.alias("categories"), F.col("`dc:contributor`").alias("contributors"),
+        item_id(F.col("guid._text"), F.col("id"), link, F.col("title")).alias("id"), html_to_text("title").alias("title"), trimmed(link).alias("link"),
+        F.coalesce(*(parse_any_datetime(F.col(f"`{c}`")) for c in ("pubDate", "dc:date", "published", "updated", "a10:updated"))).alias("published_ns"), html_to_text(body).alias("body"), cats.alias("categories"), F.col("`dc:contributor`").alias("contributors"),
     ).where("title <> ''")
     tags = F.array_distinct(F.concat(F.flatten(F.transform("categories", ticker_tags)), ticker_tags(F.col("title")), ticker_tags(F.col("body"))))
     return y.withColumn("tags", tags).drop("categories")
@@ -56,17 +77,29 @@ def filing_title(c: Column) -> Column:
 
 
 def filing_entries(spark: SparkSession, path: str) -> DataFrame:
-    """Atom filing entries: form, company, cik, items, link (rel=alternate first), published_ns. Bad titles are dropped."""
+    """Atom filing entries: form, company, cik, items, headline of their titles, link (rel=alternate first), published_ns. Bad titles are dropped."""
     x = _items(spark, path, "entry", ATOM)
     alternate = F.filter("link", lambda l: l["_rel"] == "alternate")  # noqa: E741
     link = F.coalesce(F.get(alternate, F.lit(0))["_href"], F.get("link", F.lit(0))["_href"])
     summary = html_to_text(F.coalesce("summary", "content", F.lit("")))
     return x.withColumn("t", filing_title(trimmed(F.col("title")))).where("t is not null").select(
-        item_id(F.col("id"), link, F.col("title")).alias("id"), "t.form", "t.company", "t.cik", "t.role", items_mask(summary).alias("items"), link.alias("link"),
+        item_id(F.col("id"), link, F.col("title")).alias("id"), "t.form", "t.company", "t.cik", "t.role", items_mask(summary).alias("items"), filing_headline(F.col("t.form"), F.col("t.company"), items_mask(summary)).alias("headline"), link.alias("link"),
         F.coalesce(parse_any_datetime(F.col("updated")), parse_any_datetime(F.col("published"))).alias("published_ns"),
     )
 
 
+def with_issuer_tickers(filings: DataFrame, master: DataFrame, *, most: int = 6) -> DataFrame:
+    """``filings`` with ``tickers``: the issuer's securities, the primary one first, then in load order, ``most`` at most; [] for unknown issuers.
+
+    ``master`` has (cik, ticker, security_name, listed, load_order).
+    """
+    primary = primary_security(master, issuer="cik", symbol="ticker", name="security_name", listed=F.col("listed"), load_order="load_order").withColumnRenamed("ticker", "_p")
+    m = master.where("cik is not null and ticker is not null").join(primary, "cik")
+    per = m.groupBy("cik").agg(F.array_sort(F.collect_set(F.struct((F.col("ticker") != F.col("_p")).alias("a"), F.col("load_order").alias("b"), F.col("ticker").alias("ticker"))))["ticker"].alias("tickers"))
+    out = filings.join(per, "cik", "left")
+    return out.withColumn("tickers", F.coalesce(F.slice(F.array_distinct("tickers"), 1, most), F.array().cast("array<string>")))
+
+
 def halt_items(spark: SparkSession, path: str) -> DataFrame:
     """Halts and resumptions. The id covers the fields that change, so a resume time makes a new event; rows without symbol are dropped."""
     x = _items(spark, path, "item", HALTS)
@@ -126,7 +159,7 @@ def rebuild_filings(index: DataFrame, pages: DataFrame, base_url: str, delay_ns:
     return filings.unionByName(docs.select("cik", "company", "form", F.col("exhibit").alias("url"), "items", (F.col("recv_ns") + exhibit_delay_ns).alias("recv_ns"), F.lit("exhibit").alias("kind"), exhibit_headline(F.col("doc")).alias("title")))
 
 
-__all__ = ["rss_items", "filing_entries", "halt_items", "filing_title", "index_page", "exhibit_href", "exhibit_headline", "rebuild_filings", "item_id", "decode_entities"]
+__all__ = ["rss_items", "atom_items", "story_items", "filing_entries", "with_issuer_tickers", "halt_items", "filing_title", "index_page", "exhibit_href", "exhibit_headline", "rebuild_filings", "item_id", "decode_entities"]
 
 
 # Halt codes and what they mean; all others are "Other".
