@@ -1,29 +1,35 @@
 """Matching records by nearest time within a tolerance.
 
 Time is cut into buckets as wide as the tolerance, so the partner of a record
-lies in its own bucket or an adjacent one. Each left record is sent to its
-bucket and both neighbours, each right record to its own bucket only. In a
-bucket the two sides are not paired with each other: ordered by time, the right
-record last seen before a left record and the one next after it are the only
-candidates (two window passes over one shuffle), so a burst of n prints costs
-n log n and not n squared. The difference is filtered, and over the three
-buckets the minimum by (distance, time, identifier) is kept.
-
-A bucket that itself holds a large part of the rows is cut into slices at
-quantiles of its right records' times; "adjacent" then means the slice next to
-it. Left records that crowd into one slice are salted and that slice's right
-records copied to each salt.
+lies in its own bucket or an adjacent one. Buckets are shuffled in spans of
+``SPAN``: a left record goes to the spans of its bucket and of both neighbours,
+which are one and the same unless its bucket is the first or last of its span;
+each right record goes to its own span only. In a span the two sides are not
+paired with each other: ordered by time, the right record last seen before a
+left record and the one next after it are the only candidates (two window passes
+over one shuffle), so a burst of n prints costs n log n and not n squared. The
+difference is filtered, and over the spans of a left record the minimum by
+(distance, time, identifier) is kept.
+
+A span that holds a large part of the rows is cut into slices at quantiles of the
+times of all that reaches it, left and right, neighbours' records included. Right
+records of one time are first reduced to the smallest identifier, left records of
+one time are spread over the slices that end at it, and each slice starts and
+ends with the nearest right records of the slices before and after it: one
+summary row per slice. No group therefore grows with a bucket's share of the rows.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows that one bucket may hold before it is cut into slices, about.
+#: Rows that one group may hold before it is cut into slices, about.
 BUCKET_ROWS = 200_000
+#: Buckets that are shuffled together.
+SPAN = 32
 
 
 def nearest_in_time(
@@ -52,14 +58,14 @@ def nearest_in_time(
     l = left.select(F.col(entity).alias("e"), F.col(left_id).cast("long").alias("id"), F.col(left_time).cast("long").alias("t")).where(usable)  # noqa: E741
     r = right.select(F.col(right_entity or entity).alias("e"), F.col(right_id).cast("long").alias("id"), F.col(right_time).cast("long").alias("t")).where(usable)
     bucket = F.floor((F.col("t") - F.expr(f"pmod(t, {tolerance_ns}L)")) / tolerance_ns).cast("long")
-    l, r = l.withColumn("b", bucket), r.withColumn("b", bucket)
-    hot = _hot_buckets(l, r, bucket_rows)
+    span = lambda b: F.floor(b / F.lit(SPAN)).cast("long")
+    l = l.withColumn("b", F.explode(F.array_distinct(F.array(*(span(bucket + k) for k in (-1, 0, 1))))))  # noqa: E741
+    r = r.withColumn("b", span(bucket))
+    hot = _hot_spans(l, r, bucket_rows)
     if not hot:
-        near = l.withColumn("b", F.explode(F.array(*(F.col("b") + k for k in (-1, 0, 1)))))
-        u = near.withColumn("isl", F.lit(1)).unionByName(r.withColumn("isl", F.lit(0)))
-        key = ["e", "b"]
+        u, key = l.withColumn("isl", F.lit(1)).unionByName(r.withColumn("isl", F.lit(0))), ["e", "b"]
     else:
-        u, key = _sliced(l, r, hot), ["e", "b", "s", "salt"]
+        u, key = _sliced(l, r, hot), ["e", "b", "s"]
     # At one time right records come before left ones; of the right ones at one time the smallest id is seen last.
     back = Window.partitionBy(*key).orderBy("t", "isl", F.col("id").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ahead = Window.partitionBy(*key).orderBy(F.col("t").desc(), "isl", F.col("id").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -78,50 +84,58 @@ def nearest_in_time(
     return best.groupBy("id").agg(F.min_by("m", "r").alias("match_id")).select(F.col("id").alias(left_id), "match_id")
 
 
-def _hot_buckets(l: DataFrame, r: DataFrame, most: int) -> list[tuple]:  # noqa: E741
-    """(entity, bucket, cuts, salts) of each bucket over ``most`` rows.
+def _hot_spans(l: DataFrame, r: DataFrame, most: int) -> list[tuple]:  # noqa: E741
+    """(entity, span, cuts) of each span that more than ``most`` rows reach.
 
-    Exact counts, first by entity: only an entity over ``most`` rows can have such
-    a bucket. At most total / ``most`` buckets qualify, of which each brings its
-    row count / ``most`` quantiles: what reaches the driver is bounded by
-    2 * total / ``most`` numbers.
+    Exact counts of what arrives, neighbours' left records included; first by
+    entity, as only an entity over ``most`` rows can have such a span. At most
+    total / ``most`` spans qualify, each with its row count / ``most`` cuts: what
+    reaches the driver is bounded by 2 * total / ``most`` numbers.
     """
-    both = l.select("e", "b", F.lit(1).alias("isl")).unionAll(r.select("e", "b", F.lit(0).alias("isl")))
+    both = l.select("e", "b", "t").unionAll(r.select("e", "b", "t"))
     big = [x["e"] for x in both.groupBy("e").count().where(F.col("count") > most).select("e").collect()]
     if not big:
         return []
-    at = both.where(F.col("e").isin(big)).groupBy("e", "b").agg(F.count(F.lit(1)).alias("n"), F.sum("isl").alias("nl")).where(F.col("n") > most).collect()
-    if not at:
+    spans = both.where(F.col("e").isin(big)).groupBy("e", "b").count().where(F.col("count") > most).collect()
+    if not spans:
         return []
-    parts = {(x["e"], x["b"]): (math.ceil((x["n"] - x["nl"]) / most), x["nl"]) for x in at}
-    grid = max(m for m, _ in parts.values())
-    spark = l.sparkSession
-    keys = spark.createDataFrame(list(parts), "e string, b bigint")
-    cuts = {}
-    if grid > 1:
-        rows = r.join(F.broadcast(keys), ["e", "b"]).groupBy("e", "b").agg(F.percentile_approx("t", [i / grid for i in range(1, grid)], max(10_000, 20 * grid)).alias("q")).collect()
-        cuts = {(x["e"], x["b"]): x["q"] for x in rows}
-    out = []
-    for k, (m, nl) in parts.items():
-        own = sorted({cuts[k][round(i * grid / m) - 1] for i in range(1, m)}) if m > 1 and k in cuts else []
-        out.append((*k, own, max(1, math.ceil(nl / (most * (len(own) + 1))))))
-    return out
+    parts = {(x["e"], x["b"]): math.ceil(x["count"] / most) for x in spans}
+    grid = max(parts.values())
+    keys = l.sparkSession.createDataFrame(list(parts), "e string, b bigint")
+    q = both.join(F.broadcast(keys), ["e", "b"]).groupBy("e", "b").agg(F.percentile_approx("t", [i / grid for i in range(1, grid)], max(10_000, 20 * grid)).alias("q")).collect()
+    cuts = {(x["e"], x["b"]): x["q"] for x in q}
+    return [(*k, [cuts[k][round(i * grid / m) - 1] for i in range(1, m)]) for k, m in parts.items()]
 
 
-def _sliced(l: DataFrame, r: DataFrame, hot: list[tuple]) -> DataFrame:  # noqa: E741
-    """Both sides by (e, b, s, salt): s is the slice in a hot bucket and 0 elsewhere.
+def _before(time: Column) -> Column:
+    """How many of the sorted ``cuts`` lie before a time: by a coarse list of every ``step``-th, then within its stretch."""
+    step = F.ceil(F.sqrt(F.size("cuts"))).cast("int")
+    coarse = F.size(F.filter(F.col("heads"), lambda c: c < time))
+    from_ = F.greatest(coarse - 1, F.lit(0)) * step
+    return F.when(F.size("cuts") == 0, 0).otherwise(from_ + F.size(F.filter(F.slice("cuts", from_ + 1, step), lambda c: c < time)))
 
-    Every slice but the first ends at a right record's time, so none lacks right
-    records except perhaps the last, which then ends where the next bucket begins.
-    """
-    plan = F.broadcast(l.sparkSession.createDataFrame(hot, "e string, b bigint, cuts array<bigint>, salts int"))
-    slice_ = F.coalesce(F.size(F.filter("cuts", lambda c: c < F.col("t"))), F.lit(0))
-    rr = r.join(plan, ["e", "b"], "left").withColumn("s", F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(slice_))
-    rr = rr.select("e", "b", "s", "t", "id", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts"), F.lit(1)) - 1)).alias("salt"), F.lit(0).alias("isl"))
-    own = l.withColumn("home", F.col("b")).withColumn("b", F.explode(F.array(*(F.col("b") + k for k in (-1, 0, 1))))).join(plan, ["e", "b"], "left")
-    cut = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(F.size("cuts"))
-    at = F.when(F.col("b") < F.col("home"), cut).when(F.col("b") > F.col("home"), F.lit(0)).otherwise(F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(slice_))
-    around = F.array_distinct(F.array(F.greatest(at - 1, F.lit(0)), at, F.least(at + 1, cut)))
-    only = F.when(F.col("cuts").isNull(), F.array(F.lit(0))).otherwise(around)
-    ll = own.select("e", "b", "t", "id", F.explode(only).alias("s"), F.pmod(F.xxhash64("id"), F.coalesce(F.col("salts"), F.lit(1)).cast("long")).cast("int").alias("salt"), F.lit(1).alias("isl"))
-    return ll.unionByName(rr)
+
+def _sliced(l: DataFrame, r: DataFrame, hot: list[tuple]) -> DataFrame:  # noqa: E741
+    """Both sides by (e, b, s): s is the slice in a hot span and 0 elsewhere; with the summary rows of the hot slices' neighbours."""
+    plan = l.sparkSession.createDataFrame(hot, "e string, b bigint, cuts array<bigint>")
+    heads = F.transform(F.sequence(F.lit(0), F.size("cuts") - 1, F.ceil(F.sqrt(F.size("cuts"))).cast("int")), lambda i: F.get("cuts", i))
+    plan = plan.withColumn("heads", F.when(F.size("cuts") > 0, heads).otherwise(F.col("cuts")))
+    known = F.broadcast(plan)
+    at = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(_before(F.col("t")))
+    # Left records of a time that is cut several times over may lie in any slice that ends or begins there.
+    same = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(_before(F.col("t") + 1) - _before(F.col("t")))
+    spread = F.pmod(F.xxhash64("id"), F.greatest(same, F.lit(1)).cast("long")).cast("int")
+    ll = l.join(known, ["e", "b"], "left").select("e", "b", (at + spread).alias("s"), "t", "id", F.lit(1).alias("isl"))
+    rr = r.join(known, ["e", "b"], "left").select("e", "b", at.alias("s"), "t", "id", F.col("cuts").isNotNull().alias("hot"))
+    burst = rr.where("hot").groupBy("e", "b", "s", "t").agg(F.min("id").alias("id"))
+    ends = burst.groupBy("e", "b", "s").agg(F.min(F.struct("t", "id")).alias("lo"), F.max(F.struct("t", F.col("id"))).alias("hi"))
+    # Windows over a span's slices: one row each, rows / limit of them.
+    every = plan.select("e", "b", F.explode(F.sequence(F.lit(0), F.size("cuts"))).alias("s")).join(ends, ["e", "b", "s"], "left")
+    w = Window.partitionBy("e", "b").orderBy("s")
+    around = every.select("e", "b", "s", F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("p"), F.min("lo").over(w.rowsBetween(1, Window.unboundedFollowing)).alias("n"))
+    carry = around.select("e", "b", "s", F.explode(F.array("p", "n")).alias("c")).where("c is not null").select("e", "b", "s", "c.t", "c.id", F.lit(0).alias("isl"))
+    parts = [ll, rr.where("not hot").select("e", "b", "s", "t", "id", F.lit(0).alias("isl")), burst.select("e", "b", "s", "t", "id", F.lit(0).alias("isl")), carry]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
