@@ -20,6 +20,8 @@ back-tracking. Decoding emits the byte labels of the arcs.
 from __future__ import annotations
 
 import functools
+import hashlib
+import itertools
 import json
 from collections.abc import Iterator
 
@@ -186,63 +188,80 @@ def parse_vocabulary(text: str) -> TokenAutomaton:
     return TokenAutomaton(labels, merges)
 
 
+class _Words(dict):
+    """Ids of words, made when first met."""
+
+    def __init__(self, automaton: TokenAutomaton):
+        super().__init__()
+        self.automaton = automaton
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        ids = tuple(self.automaton.encode_word(word.encode("utf-8", "replace")))
+        if len(word) <= 64:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
+
 class Encoder:
     """Texts to ids, with the ids of frequent words kept."""
 
     def __init__(self, automaton: TokenAutomaton):
         self.automaton = automaton
-        self.words = regex.compile(WORDS)
-        self.kept: dict[str, list[int]] = {}
+        self.split = regex.compile(WORDS).findall
+        self.kept = _Words(automaton)
 
     def encode(self, text: str | None) -> list[int]:
         """Null and empty texts have no ids. Special tokens' strings are ordinary text; lone surrogates become U+FFFD."""
-        if not text:
-            return []
-        out: list[int] = []
-        kept, encode_word = self.kept, self.automaton.encode_word
-        for m in self.words.finditer(text):
-            w = m[0]
-            ids = kept.get(w)
-            if ids is None:
-                ids = encode_word(w.encode("utf-8", "replace"))
-                if len(w) <= 64:
-                    if len(kept) >= KEPT_WORDS:
-                        kept.clear()
-                    kept[w] = ids
-            out += ids
-        return out
+        return list(itertools.chain.from_iterable(map(self.kept.__getitem__, self.split(text)))) if text else []
 
 
 @functools.lru_cache(maxsize=2)
 def encoder(text: str) -> Encoder:
-    """One compiled encoder to a worker process and vocabulary."""
+    """The compiled encoder of a vocabulary file."""
     return Encoder(parse_vocabulary(text))
 
 
+_shared: dict[str, Encoder] = {}
+
+
+def _worker_encoder(name: str, compiled) -> Encoder:
+    """A worker's encoder of the automaton that the driver compiled; kept between tasks."""
+    if name not in _shared:
+        _shared.clear()
+        _shared[name] = Encoder(compiled.value)
+    return _shared[name]
+
+
 def vocabulary_text(name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> str:
     with open(f"{folder}/{name}.json", encoding="utf-8") as f:
         return f.read()
 
 
+def _broadcast(df: DataFrame, vocabulary: str):
+    return hashlib.md5(vocabulary.encode(), usedforsecurity=False).hexdigest(), df.sparkSession.sparkContext.broadcast(encoder(vocabulary).automaton)
+
+
 def encode_corpus(df: DataFrame, *, id_col: str, text_col: str, vocabulary: str) -> DataFrame:
     """Rows ``(id_col, ids)`` for every row of ``df``, ids by the vocabulary, without special tokens.
 
     Null and empty texts get an empty list; null ids stay null. Whole texts are
-    encoded, of any length. No shuffle. The vocabulary file (about 1.5 MB, of a
-    fixed size) is broadcast, so executors need no tokenizer files.
+    encoded, of any length. No shuffle. The automaton is compiled once and broadcast
+    (about 3 MB, of a fixed size), so executors need no tokenizer files.
     """
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    name, shared = _broadcast(df, vocabulary)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
-        enc = encoder(shared.value)
+        enc = _worker_encoder(name, shared)
         for b in batches:
             lists = [enc.encode(t) for t in b.column(1).to_pylist()]
             ends = np.zeros(len(lists) + 1, np.int32)
             np.cumsum([len(x) for x in lists], out=ends[1:])
-            flat = np.fromiter((i for x in lists for i in x), np.int32, int(ends[-1]))
+            flat = np.fromiter(itertools.chain.from_iterable(lists), np.int32, int(ends[-1]))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["id", "ids"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {dict(df.dtypes)[id_col]}, ids array<int>").withColumnRenamed("id", id_col)
@@ -250,12 +269,12 @@ def encode_corpus(df: DataFrame, *, id_col: str, text_col: str, vocabulary: str)
 
 def decode_corpus(df: DataFrame, *, id_col: str, ids_col: str, vocabulary: str) -> DataFrame:
     """Rows ``(id_col, text)`` of encoded documents; null lists give null, empty ones the empty text."""
-    shared = df.sparkSession.sparkContext.broadcast(vocabulary)
+    name, shared = _broadcast(df, vocabulary)
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        a = encoder(shared.value).automaton
+        a = _worker_encoder(name, shared).automaton
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([None if x is None else a.decode(x).decode("utf-8", "replace") for x in b.column(1).to_pylist()], pa.string())], ["id", "text"])
 
