@@ -9,7 +9,7 @@ from newsloom.llm.bpe_automaton import encode_corpus, vocabulary_text
 from newsloom.llm.hidden_duplicates import canonical_link, canonical_title, collapsed, further_copies
 from newsloom.llm.leaks import find_leaks
 from newsloom.llm.nearest_time import nearest_in_time
-from newsloom.llm.visible_form import look_alike_pairs
+from newsloom.llm.visible_form import look_alike_classes, look_alike_pairs
 from newsloom.runtime import table
 
 SECOND = 1_000_000_000
@@ -47,8 +47,30 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return look_alike_pairs(table(spark, d, "documents"), id_col="doc_id", text_col="text").select(F.col("a").alias("doc_a"), F.col("b").alias("doc_b"))
 
 
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The same as membership: one row per document that has a look-alike."""
+    return look_alike_classes(table(spark, d, "documents"), id_col="doc_id", text_col="text").select(F.col("id").alias("doc_id"), "class_id", "text_id")
+
+
 def queries() -> dict:
-    return {"p4_found": p4_found, "p5_found": p5_found, "p5_copies": p5_copies, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p4_found": p4_found, "p5_found": p5_found, "p5_copies": p5_copies, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found, "p8_classes": p8_classes}
+
+
+# The visible form said in SQL, apart from the operator's tables: what may look like what in these texts.
+LATIN = {"аеосрухіјѕԁһԛԝүѵӏАВЕКМНОРСТХЅІЈԚԜҮѴӀԌ": "aeocpyxijsdhqwyvlABEKMHOPCTXSIJQWYVIG", "οϲϳνΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ": "ocjvABEZHIKMNOPTYXCJ", "ёѐїЁЀЇό": "ëèïËÈÏó", "ΆΈΊΌΎΪΫ": "ÁÉÍÓÝÏŸ"}
+WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+NARROW = "".join(map(chr, range(0x21, 0x7F)))
+TWO = {"ў": "y\u0306", "Ў": "Y\u0306", "ќ": "ќ", "Ќ": "K\u0301", "Ή": "H\u0301", "ӥ": "ӥ"}
+
+
+def _look(text: str) -> str:
+    out = f"regexp_replace({text}, '[\\x{{200b}}-\\x{{200f}}\\x{{2060}}-\\x{{2064}}\\x{{202a}}-\\x{{202e}}\\x{{feff}}\\x{{ad}}\\x{{34f}}\\x{{61c}}\\x{{180e}}\\x{{fe00}}-\\x{{fe0f}}]', '', 'g')"
+    pairs = [*LATIN.items(), ("\u00a0\u2007\u202f\u3000", "    "), (WIDE, NARROW)]
+    quoted = lambda x: x.replace("'", "''")
+    out = f"translate({out}, '{quoted(''.join(a for a, _ in pairs))}', '{quoted(''.join(b for _, b in pairs))}')"
+    for a, b in TWO.items():
+        out = f"replace({out}, '{a}', '{b}')"
+    return f"nfc_normalize({out})"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -64,12 +86,22 @@ def oracle_sql() -> dict[str, str]:
     space = r"[\s\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}]+"
     marked = r"regexp_replace(regexp_replace(lower(upper(title)), '(\pN)[.](\pN)', '\1_\2', 'g'), '(\pN)[.](\pN)', '\1_\2', 'g')"
     title = rf"trim(regexp_replace(regexp_replace(regexp_replace({marked.replace('lower(upper(title))', chr(114) + 'eplace(lower(upper(title)), chr(95), chr(32))')}, '[^\pL\pM\pN_$%]+', ' ', 'g'), '([$%])', ' \1 ', 'g'), ' +', ' ', 'g'))"
-    bare = rf"regexp_replace(regexp_replace(lower(upper(link)), '^{space}|{space}$', '', 'g'), '[/?&#]+$', '')"
+    bare = rf"regexp_replace(regexp_replace(regexp_replace(lower(upper(link)), '^{space}|{space}$', '', 'g'), '[/?&#]+$', ''), '[?]{{2,}}', '?', 'g')"
     keyed = rf"""select signal_id, {title} as t, regexp_replace(regexp_replace(split_part(x, '?', 1), '/+', '/', 'g'), '/+$', '') as a,
         list_sort(list_distinct(list_filter(string_split(regexp_replace(substr(x, length(split_part(x, '?', 1)) + 2), '/+$', ''), '&'), lambda f: f <> ''))) as q
         from (select *, {bare} as x from signals) where title <> '' and link <> ''"""
     grouped = f"with k as ({keyed}), g as (select signal_id, min(signal_id) over (partition by t, a, q) as first_id, count(*) over (partition by t, a, q) as n_copies from k)"
+    look = f"(select doc_id, text, {_look('text')} as v from documents where text <> '')"
+    cut = lambda v: rf"list_filter(string_split(regexp_replace(lower({v}), '[^\pL\pN]+', ' ', 'g'), ' '), lambda x: x <> '')"
+    runs = "unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' ')))"
+    p7 = f"""with items as (select item_id, w, least(12, len(w)) as n from (select item_id, {cut(_look('text'))} as w from eval_items where text <> '') where len(w) > 0),
+    i as (select distinct item_id, n, {runs} as run from items), d as (select doc_id, {cut('v')} as w from {look}),
+    r as (select doc_id, n, {runs} as run from d, (select distinct n from items) where len(w) >= n)
+    select distinct doc_id, item_id from r join i using (n, run)"""
     return {
+        "p7_found": p7,
+        "p8_found": f"select a.doc_id as doc_a, b.doc_id as doc_b from {look} a join {look} b on a.v = b.v and a.doc_id < b.doc_id and a.text <> b.text",
+        "p8_classes": f"""select doc_id, class_id, text_id from (select doc_id, min(doc_id) over (partition by v) as class_id, min(doc_id) over (partition by v, text) as text_id, min(text) over (partition by v) <> max(text) over (partition by v) as mixed from {look}) where mixed""",
         "p4_found": p4,
         "p5_found": f"{grouped} select first_id, signal_id from g where signal_id <> first_id",
         "p5_copies": f"{grouped} select first_id, n_copies from g where signal_id = first_id",
