@@ -36,7 +36,7 @@ def canonical_title(c: Column) -> Column:
 def canonical_link(c: Column) -> Column:
     """Address and sorted set of query fields, folded, without doubled or closing separators."""
     x = F.regexp_replace(F.lower(F.upper(c)), r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
-    x = F.regexp_replace(F.regexp_replace(x, r"[/?&#]+$", ""), r"\?{2,}", "?")
+    x = F.regexp_replace(x, r"[/?&#]+$|(?<=\?)\?+", "")
     address = F.regexp_replace(F.regexp_replace(F.substring_index(x, "?", 1), "/{2,}", "/"), "/+$", "")
     query = F.when(F.locate("?", x) > 0, F.substring(x, F.locate("?", x) + 1, F.length(x))).otherwise("")
     fields = F.array_sort(F.array_distinct(F.filter(F.split(F.regexp_replace(query, "/+$", ""), "&"), lambda f: f != "")))
