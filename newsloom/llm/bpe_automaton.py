@@ -204,17 +204,60 @@ class _Words(dict):
         return ids
 
 
+class _Chunks(dict):
+    """Ids of what stands between two lone spaces, with the space before it, made when first met."""
+
+    def __init__(self, words: _Words):
+        super().__init__()
+        self.words, self.split = words, regex.compile(WORDS).findall
+
+    def ids(self, text: str) -> tuple[int, ...]:
+        return tuple(itertools.chain.from_iterable(map(self.words.__getitem__, self.split(text))))
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        got = self.ids(" " + chunk)
+        if len(chunk) <= 64:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[chunk] = got
+        return got
+
+
 class Encoder:
-    """Texts to ids, with the ids of frequent words kept."""
+    """Texts to ids, with the ids of frequent words and chunks kept.
+
+    A word of the pre-split pattern never runs over a space that stands alone, as
+    such a space begins a word; so texts are cut there, and what repeats is split once.
+    """
 
     def __init__(self, automaton: TokenAutomaton):
         self.automaton = automaton
-        self.split = regex.compile(WORDS).findall
         self.kept = _Words(automaton)
+        self.chunks = _Chunks(self.kept)
+        self.runs = regex.compile(r"(\s{2,})").split
+
+    def _spaced(self, text: str, begins: bool) -> Iterator[tuple[int, ...]]:
+        """Ids of a text without two spaces in a row; ``begins``: no space stands before it."""
+        parts = iter(text.split(" "))
+        if begins:
+            yield self.chunks.ids(next(parts))
+        yield from map(self.chunks.__getitem__, parts)
 
     def encode(self, text: str | None) -> list[int]:
         """Null and empty texts have no ids. Special tokens' strings are ordinary text; lone surrogates become U+FFFD."""
-        return list(itertools.chain.from_iterable(map(self.kept.__getitem__, self.split(text)))) if text else []
+        if not text:
+            return []
+        parts = self.runs(text)
+        found = [self._spaced(parts[0], True)] if parts[0] else []
+        for run, after in zip(parts[1::2], parts[2::2], strict=True):
+            # The last of several spaces belongs to what follows: to its word, or by itself.
+            if not after:
+                found.append(iter((self.kept[run],)))
+            elif run[-1] == " ":
+                found += [iter((self.kept[run[:-1]],)), self._spaced(after, False)]
+            else:
+                found += [iter((self.kept[run[:-1]], self.kept[run[-1]])), self._spaced(after, True)]
+        return list(itertools.chain.from_iterable(itertools.chain.from_iterable(found)))
 
 
 @functools.lru_cache(maxsize=2)
