@@ -120,8 +120,8 @@ class Transducer:
         self.table = _Kept({ord(c): to for c, to in single.items()})
         gone = {c for c, to in single.items() if not to}
         self.control = re.compile(_class(c for c in gone if c < "\x80"))
-        self.active = re.compile(_class(set(single) | joining))
-        self.join = re.compile(_class(joining))
+        # Whether a text may change at all, or have clusters: beyond the basic plane any character may, as there a class is slow.
+        self.active, self.join = (re.compile(_class([c for c in x if c < "\U00010000"])[:-1] + "\U00010000-\U0010ffff]") for x in (set(single) | joining, joining))
         self.cluster = re.compile(f"(?s:.){_class(joining | gone)}+")
         self.kept: dict[str, str] = {}
 
