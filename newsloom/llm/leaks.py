@@ -164,7 +164,8 @@ class ItemIndex:
             for lo, hi in zip(bounds[:-1], bounds[1:], strict=True):
                 key = self._block(prints, lo, hi)
                 order = np.argsort(key, kind="stable")
-                tables.append((lo, hi, order, np.searchsorted(key[order], np.arange((1 << min(hi - lo, 22)) + 1))))
+                starts = np.searchsorted(key[order], np.arange((1 << min(hi - lo, 22)) + 1))
+                tables.append((lo, hi, order, starts, np.diff(starts).astype(np.int32)))
             self.sizes[size] = {"k": k, "per": per, "rows": rows, "seq": seq, "prints": prints, "owner": owner, "tables": tables}
 
     @staticmethod
@@ -176,14 +177,13 @@ class ItemIndex:
         """All (window, item window) within the radius, each perhaps more than once."""
         own = self.sizes[size]
         left, right = [], []
-        for lo, hi, order, starts in own["tables"]:
+        for lo, hi, order, starts, counts in own["tables"]:
             key = self._block(prints, lo, hi)
-            first = starts[key]
-            n = starts[key + 1] - first
+            n = counts[key]
             hit = np.flatnonzero(n)
             if not len(hit):
                 continue
-            n, first = n[hit], first[hit]
+            n, first = n[hit], starts[key[hit]]
             at = np.repeat(hit, n)
             item = order[np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(int(n.sum()))]
             near = np.flatnonzero(np.bitwise_count(prints[at] ^ own["prints"][item]) <= self.radius)
