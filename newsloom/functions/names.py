@@ -99,3 +99,25 @@ def filing_headline(form: Column, company: Column, mask: Column) -> Column:
     """``8-K ACME: title; title`` of the items in ``mask``; exhibits (9.01) are not named."""
     titles = F.array_compact(F.array(*(F.when(mask.cast("bigint").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(t)) for i, t in enumerate(ITEM_TITLES[:-1]))))
     return F.concat(form, F.lit(" "), company, F.when(F.size(titles) > 0, F.concat(F.lit(": "), F.array_join(titles, "; "))).otherwise(F.lit("")))
+
+
+def distressed(status: Column) -> Column:
+    """Whether a financial status is known and another than normal."""
+    s = trimmed(status)
+    return F.coalesce((s != "") & (s != "N"), F.lit(False))
+
+
+# Names of enumerations in the order of their numbers.
+TIERS = ["NONE", "WATCH", "ALERT", "HIGH", "HALT", "MOVER", "INFO"]
+EXCHANGES = ["?", "Nasdaq GS", "Nasdaq GM", "Nasdaq CM", "NYSE", "NYSE American", "NYSE Arca", "Cboe BZX", "IEX", "OTC"]
+
+
+def ordinal(name: Column, names: list[str]) -> Column:
+    """Number of a name in an enumeration; null for others."""
+    at = F.array_position(F.array(*map(F.lit, names)), name)
+    return F.when(at > 0, (at - 1).cast("int"))
+
+
+def name_of(number: Column, names: list[str]) -> Column:
+    """Name of a number in an enumeration; null beyond it."""
+    return F.when(number >= 0, F.get(F.array(*map(F.lit, names)), number.cast("int")))

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -109,24 +108,29 @@ def fold_sorted(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], ste
     ``(state, result tuple or None)``; ``start()`` the state of a new key.
     """
     schema = T._parse_datatype_string(out) if isinstance(out, str) else out
-    names = [f.name for f in schema.fields]
     cols = df.columns
     at = [cols.index(k) for k in keys]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator) -> Iterator:
+        # Plain Python values from Arrow: pandas would make floats of integers beside nulls.
+        import pyarrow as pa
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        kind = to_arrow_schema(schema)
         key, state = None, None
-        for pdf in batches:
+        for b in batches:
             rows = []
-            for row in pdf.astype(object).where(pdf.notna(), None).itertuples(index=False, name=None):
+            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 k = tuple(row[i] for i in at)
                 if k != key:
                     key, state = k, start()
                 state, got = step(state, row)
                 if got is not None:
                     rows.append(got)
-            yield pd.DataFrame(rows, columns=names)
+            columns = zip(*rows, strict=True) if rows else [()] * len(kind)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
 
 
 def runs_apart(df: DataFrame, *, keys: Sequence[str], time: str, tie: Sequence[str], gap: int, name: str = "run", width: int = HOUR) -> DataFrame:
@@ -178,3 +182,15 @@ def state_changes(df: DataFrame, *, keys: Sequence[str], time: str, id_col: str,
     if quiet_first is not None:
         changed = changed & ~(F.col("previous").isNull() & (F.col(state) == quiet_first))
     return x.where(changed)
+
+
+def merged_by_time(tables: dict[str, tuple[DataFrame, str, str]], *, keys: Sequence[str]) -> DataFrame:
+    """(keys, time, kind, id) of several tables, each given with its time and id column, in order of time; of one time in the order given, then by id.
+
+    The order is that of a range-partitioned sort; rows with null time are left out.
+    """
+    out = None
+    for rank, (kind, (df, time, id_col)) in enumerate(tables.items()):
+        x = df.where(F.col(time).isNotNull()).select(*keys, F.col(time).alias("time"), F.lit(kind).alias("kind"), F.col(id_col).cast("long").alias("id"), F.lit(rank).alias("_rank"))
+        out = x if out is None else out.unionByName(x)
+    return out.orderBy("time", "_rank", "id").drop("_rank")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import fnmatch
 import gzip
 import io
 from collections.abc import Iterator
@@ -11,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from newsloom.functions.names import normalize_symbol
+
 # Message types and their lengths.
 LENGTHS = {"S": 12, "R": 39, "H": 25, "Y": 20, "L": 26, "V": 35, "W": 12, "K": 28, "J": 35, "h": 21, "A": 36, "F": 40, "E": 31, "C": 36, "X": 23, "D": 19, "U": 35, "P": 44, "Q": 40, "B": 19, "I": 50, "N": 20, "O": 48}
 
@@ -85,23 +88,27 @@ def decode_block(buf: np.ndarray, session: str, first: int):
 
 
 def _inflated(stream: io.BufferedIOBase) -> tuple[bytes, bool]:
-    """A block of bytes, and whether more may follow; all that comes out before a broken end counts."""
+    """A block of bytes, and whether more may follow.
+
+    A compressed stream that ends too early gives all that came out before its end;
+    every other failure to read is an error.
+    """
     parts, size = [], 0
     try:
-        # read1 gives what one step inflates, so an error takes nothing along that came before it.
+        # read1 gives what one step inflates, so an early end takes nothing along that came before it.
         while size < BLOCK:
             more = stream.read1(min(STEP, BLOCK - size))
             if not more:
                 break
             parts.append(more)
             size += len(more)
-    except (EOFError, OSError):
+    except EOFError:
         return b"".join(parts), False
     return b"".join(parts), size == BLOCK
 
 
 def read_messages(stream: io.BufferedIOBase, session: str) -> Iterator:
-    """Record batches of a session; stops cleanly at a truncated end. Short and unknown messages are passed over."""
+    """Record batches of a session; stops cleanly at a message or gzip stream that ends too early. Short and unknown messages are passed over."""
     rest, seq, goes_on = b"", 0, True
     while goes_on:
         more, goes_on = _inflated(stream)
@@ -113,8 +120,33 @@ def read_messages(stream: io.BufferedIOBase, session: str) -> Iterator:
         yield from table.to_batches()
 
 
+def _opened(path: str):
+    """(file system, path) of a URI of any file system that Arrow knows, or of a plain path."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path.removeprefix("file:"))
+
+
+def session_files(paths: str) -> list[str]:
+    """The files of a list of paths, parted by commas: files, folders (all files in them) or patterns (``*`` and ``?`` in the last part)."""
+    from pyarrow import fs
+
+    out: list[str] = []
+    for path in filter(None, paths.split(",")):
+        system, at = _opened(path)
+        head = path[: len(path) - len(at)] if path.endswith(at) else ""
+        folder, _, name = at.rpartition("/")
+        if any(c in name for c in "*?"):
+            out += sorted(head + f.path for f in system.get_file_info(fs.FileSelector(folder)) if f.type == fs.FileType.File and fnmatch.fnmatchcase(f.base_name, name))
+        elif system.get_file_info(at).type == fs.FileType.Directory:
+            out += sorted(head + f.path for f in system.get_file_info(fs.FileSelector(at, recursive=True)) if f.type == fs.FileType.File and f.base_name[0] not in "._")
+        else:
+            out.append(path)
+    return out
+
+
 class SessionSource(DataSource):
-    """``spark.read.format("exchange_session").load(paths)``: one task per file, as gzip cannot be split."""
+    """``spark.read.format("exchange_session").load(paths)``: files, folders or patterns on any file system; one task per file, as gzip cannot be split."""
 
     @classmethod
     def name(cls) -> str:
@@ -129,17 +161,33 @@ class SessionSource(DataSource):
 
 class _SessionReader(DataSourceReader):
     def __init__(self, options):
-        self.paths = [p for p in options.get("path", "").split(",") if p]
+        self.paths = options.get("path", "")
 
     def partitions(self):
-        return [InputPartition(p) for p in self.paths]
+        return [InputPartition(p) for p in session_files(self.paths)]
 
     def read(self, partition):
         path = partition.value
-        with (gzip.open if path.endswith(".gz") else open)(path, "rb") as f:
+        system, at = _opened(path)
+        with system.open_input_stream(at, compression=None) as raw:
+            # Every stream offers read1, which an Arrow file alone does not.
+            f = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(_Raw(raw), STEP)
             yield from read_messages(f, path.rsplit("/", 1)[-1].split(".")[0])
 
 
+class _Raw(io.RawIOBase):
+    def __init__(self, stream):
+        self.stream = stream
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, into) -> int:
+        got = self.stream.read(len(into))
+        into[: len(got)] = got
+        return len(got)
+
+
 def encode_message(kind: str, locate: int, ts_ns: int, **values) -> bytes:
     """One length-prefixed message, for fixtures."""
     m = bytearray(LENGTHS[kind])
@@ -207,3 +255,20 @@ def bridge_lines(lines: DataFrame, *, stamped: bool = False) -> DataFrame:
 
 def read_tape(spark: SparkSession, path: str) -> DataFrame:
     return bridge_lines(spark.read.text(path), stamped=True)
+
+
+def with_symbols(rows: DataFrame, messages: DataFrame) -> DataFrame:
+    """``rows`` (session, locate, ...) with ``ticker``: of the session's last directory or trading-action message for that locate; null without one.
+
+    Locates are numbers of one session: at most 65,536 to a session, joined by (session, locate).
+    """
+    known = messages.where("type in ('R', 'H') and stock <> ''").groupBy("session", "locate").agg(F.max_by("stock", "seq").alias("stock"))
+    return rows.join(known, ["session", "locate"], "left").withColumn("ticker", normalize_symbol(F.col("stock"))).drop("stock")
+
+
+def session_counters(messages: DataFrame) -> DataFrame:
+    """(session, messages, orders, unknown_refs, hidden): messages that name an order which no earlier kind of message of the session brought in count as unknown."""
+    born = messages.where("type in ('A', 'F')").select("session", "ref").unionByName(messages.where("type = 'U'").select("session", F.col("new_ref").alias("ref"))).distinct()
+    lost = messages.where("type in ('E', 'C', 'X', 'D', 'U')").join(born, ["session", "ref"], "left_anti").groupBy("session").agg(F.count(F.lit(1)).alias("unknown_refs"))
+    all_ = messages.groupBy("session").agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("type").isin("A", "F")).alias("orders"), F.count_if((F.col("type") == "C") & (F.col("printable") != "Y")).alias("hidden"))
+    return all_.join(lost, "session", "left").withColumn("unknown_refs", F.coalesce("unknown_refs", F.lit(0)))
