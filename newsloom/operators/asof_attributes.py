@@ -95,14 +95,13 @@ def attributes_asof(
         e, c = e.withColumn("grp", cold), c.withColumn("grp", cold)
     else:
         plan = _slices(spark, both, big, buckets)
-        below = lambda: F.size(F.filter("cuts", lambda b: b < F.col("t")))
         e = e.join(F.broadcast(plan), "entity", "left")
-        same = F.size(F.filter("cuts", lambda b: b == F.col("t")))
+        same = cuts_before(F.col("t") + 1) - cuts_before(F.col("t"))
         spread = F.pmod(F.xxhash64("id"), F.greatest(same, F.lit(1))).cast("int")
-        e = e.withColumn("grp", F.when(F.col("cuts").isNull(), cold).otherwise(F.col("base") + below() + spread)).drop("cuts", "base")
-        c = c.join(F.broadcast(plan), "entity", "left").withColumn("slice", F.when(F.col("cuts").isNotNull(), below()))
+        e = e.withColumn("grp", F.when(F.col("cuts").isNull(), cold).otherwise(F.col("base") + cuts_before(F.col("t")) + spread)).drop("cuts", "heads", "base")
+        c = c.join(F.broadcast(plan), "entity", "left").withColumn("slice", F.when(F.col("cuts").isNotNull(), cuts_before(F.col("t"))))
         carry = _carried(c.where("slice is not null"), plan, len(fields))
-        c = c.withColumn("grp", F.coalesce(F.col("base") + F.col("slice"), cold)).drop("cuts", "base", "slice").unionByName(carry)
+        c = c.withColumn("grp", F.coalesce(F.col("base") + F.col("slice"), cold)).drop("cuts", "heads", "base", "slice").unionByName(carry)
     n = len(fields)
     names = list(fields)
 
@@ -130,7 +129,16 @@ def _slices(spark, both: DataFrame, parts: dict[str, int], first: int) -> DataFr
         cuts = [r["cuts"][round(i * most / own) - 1] for i in range(1, own)] if most > 1 else []
         plan.append((r["entity"], base, cuts))
         base += own
-    return spark.createDataFrame(plan, "entity string, base int, cuts array<bigint>")
+    p = spark.createDataFrame(plan, "entity string, base int, cuts array<bigint>")
+    every = F.ceil(F.sqrt(F.size("cuts"))).cast("int")
+    return p.withColumn("heads", F.when(F.size("cuts") > 0, F.transform(F.sequence(F.lit(0), F.size("cuts") - 1, every), lambda i: F.get("cuts", i))).otherwise(F.col("cuts")))
+
+
+def cuts_before(t: Column) -> Column:
+    """How many of the sorted ``cuts`` lie before a time: first by ``heads``, every sqrt(n)-th of them, then within the stretch that follows."""
+    every = F.ceil(F.sqrt(F.size("cuts"))).cast("int")
+    at = F.greatest(F.size(F.filter("heads", lambda b: b < t)) - 1, F.lit(0)) * every
+    return F.when(F.size("cuts") == 0, 0).otherwise(at + F.size(F.filter(F.slice("cuts", at + 1, every), lambda b: b < t)))
 
 
 def _carried(c: DataFrame, plan: DataFrame, n: int) -> DataFrame:
