@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,6 +19,7 @@ def local_session(name: str = "newsloom", cpus: str | int = "*", shuffle_partiti
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", os.environ.get("NEWSLOOM_DRIVER_MEMORY", "8g"))
@@ -29,22 +33,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Checkpoint ``df`` into the shared folder of ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where it is unset and the master
-    is local (tests, the bench) a temporary folder takes its place; on a cluster
-    without the setting this fails instead of writing to one machine's disk.
+    Only where it is unset and the master is local (tests, the bench) a temporary
+    folder takes its place, which goes when the process ends; on a cluster without
+    the setting this fails instead of writing to one machine's disk.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
+    at = sc.getCheckpointDir()
+    if at is None:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if at is None:
             if not sc.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="newsloom-checkpoint-")
-        sc.setCheckpointDir(folder)
+            at = tempfile.mkdtemp(prefix="newsloom-checkpoint-")
+            atexit.register(shutil.rmtree, at, ignore_errors=True)
+        sc.setCheckpointDir(at)
+    return at
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Checkpoint ``df`` into the shared folder.
+
+    Spark deletes a checkpoint when nothing refers to it any more, if the session
+    sets ``spark.cleaner.referenceTracking.cleanCheckpoints``, as ``local_session`` does.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager)
 
 

@@ -1,15 +1,17 @@
-"""Corrected counts over a stream: additions to panes stored by batch, windows recomposed when a pane changes.
-
-The stream remembers which stories a (source, period) has counted, in buckets of
-stories, so that a busy source is spread over tasks and a bucket's state stays
-small. Each micro-batch yields how many stories it adds per (source, period, slot
-of lateness); these are stored under the batch number, and only the windows they
-touch are composed again from the store. A batch that is repeated after a failure
-overwrites itself.
+"""Corrected counts over a stream: additions to partial counts stored by batch, windows recomposed when a pane changes.
+
+The stream remembers where each story was seen, in buckets of stories, so that a
+busy source is spread over tasks and a bucket's state stays small. A micro-batch
+yields what it adds to the partial counts of ``operators/late_counts.py``, or takes
+back where a story turns out to have arrived earlier or to lie in a second pane.
+The additions are stored by day of event time and batch; only the windows they
+touch are composed again, from the days they lie in. A batch that is repeated
+after a failure overwrites itself.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -18,65 +20,114 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-#: The stories of a source's period are remembered in so many parts.
-BUCKETS = 64
-
-
-def pane_counts(stream: DataFrame, *, source: str, story: str, event_time: str, arrival: str, window_ns: int, lateness_ns: int, slot_ns: int, disorder_ns: int | None = None) -> DataFrame:
-    """(src, period, slot, n): stories that a micro-batch adds on time (slot -1) and by slot of late arrival.
+from newsloom.operators.late_counts import Slices, composed, usable_rows
 
-    A story counts at the first of its rows that the stream delivers. Time goes by
-    arrivals, never by the sources' clocks: state of a period goes once arrivals are
-    ``lateness_ns`` past its end. Rows may be delivered up to ``disorder_ns`` of
-    arrival behind the newest (``lateness_ns`` if not given); those further behind
-    are lost.
+#: The stories of a source (and pane, where windows do not overlap) are remembered in so many parts.
+BUCKETS = 64
+#: Event time that is stored in one folder.
+DAY = 86_400_000_000_000
+
+
+def contributions(panes: dict[int, int], s: Slices) -> Counter:
+    """(whole, start, slot) of every partial count in which a story counts, given its panes with their first arrivals."""
+    out: Counter = Counter()
+    if s.apart or len(panes) == 1:
+        for pane, t in panes.items():
+            out[False, pane, pane if t - pane < s.pane else t - t % s.slot] += 1
+        return out
+    windows: dict[int, int] = {}
+    for pane, t in panes.items():
+        start = pane - pane % s.slide
+        while start + s.window > pane:
+            windows[start] = min(t, windows.get(start, t))
+            start -= s.slide
+    for start, t in windows.items():
+        out[True, start, start if t - start < s.window else t - t % s.slot] += 1
+    return out
+
+
+def pane_counts(
+    stream: DataFrame, *, source: str, story: str, event_time: str, arrival: str, window_ns: int, lateness_ns: int, slide_ns: int | None = None, slot_ns: int = 60_000_000_000, disorder_ns: int | None = None
+) -> DataFrame:
+    """(src, whole, start, slot, n): what a micro-batch adds to the partial counts.
+
+    A story counts at the earliest arrival of its rows, in whatever order the stream
+    delivers them. Time goes by arrivals, never by the sources' clocks: state of a
+    pane goes once arrivals are ``lateness_ns`` past the end of its last window. Rows may be
+    delivered up to ``disorder_ns`` of arrival behind the newest (``lateness_ns`` if not
+    given); those further behind are lost.
     """
+    s = Slices(window_ns=window_ns, slide_ns=slide_ns, lateness_ns=lateness_ns, slot_ns=slot_ns)
     disorder_ns = lateness_ns if disorder_ns is None else disorder_ns
-    e, t = F.col(event_time).cast("long"), F.col(arrival).cast("long")
-    x = stream.where(F.col(source).isNotNull() & F.col(story).isNotNull() & e.isNotNull() & (e != 0) & t.isNotNull())
-    x = x.select(F.col(source).alias("src"), F.col(story).cast("string").alias("story"), (e - F.pmod(e, F.lit(window_ns))).alias("period"), t.alias("t"))
+    x = usable_rows(stream, s, source=source, story=story, event_time=event_time, arrival=arrival).withColumn("story", F.col("story").cast("string"))
     x = x.withColumn("arrived", F.timestamp_micros(F.floor(F.col("t") / 1000))).withWatermark("arrived", f"{-(-disorder_ns // 1_000_000)} milliseconds")
-    x = x.where(F.col("t") - F.col("period") - window_ns < lateness_ns).withColumn("bucket", F.pmod(F.xxhash64("story"), F.lit(BUCKETS)))
+    part = F.col("pane") if s.apart else F.lit(0).cast("long")
+    x = x.withColumns({"part": part, "bucket": F.pmod(F.xxhash64("story"), F.lit(BUCKETS))})
+    held_ns = s.window + s.lateness
 
     def run(key, batches: Iterator[pd.DataFrame], held: GroupState):
-        if held.hasTimedOut:
+        now = held.getCurrentWatermarkMs() * 1_000_000
+        known: dict[str, dict[int, int]] = {}
+        for name, pane, t in zip(*held.get, strict=True) if held.exists else ():
+            known.setdefault(name, {})[pane] = t
+        changed: Counter = Counter()
+        if not held.hasTimedOut:
+            rows = pd.concat(list(batches)).groupby(["story", "pane"])["t"].min()
+            new: dict[str, dict[int, int]] = {}
+            for (name, pane), t in rows.items():
+                new.setdefault(name, {})[int(pane)] = int(t)
+            for name, panes in new.items():
+                old = known.get(name, {})
+                both = {p: min(t for t in (old.get(p), panes.get(p)) if t is not None) for p in {*old, *panes}}
+                if both != old:
+                    after, before = contributions(both, s), contributions(old, s) if old else Counter()
+                    for k in {*after, *before}:
+                        changed[k] += after[k] - before[k]
+                    known[name] = both
+        # A pane stays with its story while another pane of it may still share a window.
+        live = [(name, p, t) for name, panes in known.items() if max(panes) + held_ns + (0 if s.apart else s.window) > now for p, t in panes.items()]
+        if live:
+            held.update(tuple(list(c) for c in zip(*live, strict=True)))
+            held.setTimeoutTimestamp(max(-(-(min(p for _, p, _ in live) + held_ns + (0 if s.apart else s.window)) // 1_000_000), held.getCurrentWatermarkMs() + 1))
+        else:
             held.remove()
-            return
-        src, period, _ = key
-        seen = set(held.get[0]) if held.exists else set()
-        rows = pd.concat(list(batches)).groupby("story")["t"].min()
-        rows = rows[~rows.index.isin(seen)]
-        held.update((sorted(seen.union(rows.index)),))
-        closes_ms = -(-(int(period) + window_ns + lateness_ns) // 1_000_000)
-        held.setTimeoutTimestamp(max(closes_ms, held.getCurrentWatermarkMs() + 1))
-        late = rows - period - window_ns
-        slots = (late // slot_ns).where(late >= 0, -1).value_counts()
-        yield pd.DataFrame({"src": [src] * len(slots), "period": period, "slot": slots.index, "n": slots.to_numpy()})
-
-    out = f"src {dict(x.dtypes)['src']}, period bigint, slot bigint, n bigint"
-    return x.groupBy("src", "period", "bucket").applyInPandasWithState(run, out, "stories array<string>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def compose(panes: DataFrame) -> DataFrame:
-    """(src, period_ns, n_stories): the number at the close and after each slot of corrections."""
+        got = [(key[0], *k, n) for k, n in changed.items() if n]
+        yield pd.DataFrame(got, columns=["src", "whole", "start", "slot", "n"])
+
+    out = f"src {dict(x.dtypes)['src']}, whole boolean, start bigint, slot bigint, n bigint"
+    return x.groupBy("src", "part", "bucket").applyInPandasWithState(run, out, "stories array<string>, panes array<bigint>, ts array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def compose(partials: DataFrame, s: Slices) -> DataFrame:
+    """(src, period_ns, slot, n_stories): the number at the close and after each slot of corrections."""
     w = Window.partitionBy("src", "period").orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return panes.select("src", F.col("period").alias("period_ns"), "slot", F.sum("n").over(w).alias("n_stories"))
+    return composed(partials, s).select("src", F.col("period").alias("period_ns"), "slot", F.sum("n").over(w).alias("n_stories"))
 
 
 def latest_panes(store: DataFrame) -> DataFrame:
-    """The panes as of the last batch: all that the batches added."""
-    return store.groupBy("src", "period", "slot").agg(F.sum("n").alias("n"))
+    """The partial counts as of the last batch: all that the batches added."""
+    return store.groupBy("src", "whole", "start", "slot").agg(F.sum("n").alias("n"))
 
 
-def start_corrections(panes: DataFrame, *, store: str, emitted: str, checkpoint: str, **trigger) -> StreamingQuery:
-    """Run the stream: changed panes to ``store``, recomposed windows to ``emitted``, both by batch folder in shared storage."""
+def start_corrections(partials: DataFrame, *, store: str, emitted: str, checkpoint: str, window_ns: int, lateness_ns: int, slide_ns: int | None = None, slot_ns: int = 60_000_000_000, **trigger) -> StreamingQuery:
+    """Run the stream: additions to ``store``, by day of event time and batch; recomposed windows to ``emitted``, by batch; both in shared storage."""
+    s = Slices(window_ns=window_ns, slide_ns=slide_ns, lateness_ns=lateness_ns, slot_ns=slot_ns)
 
     def one(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
-        batch.groupBy("src", "period", "slot").agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(f"{store}/batch={n}")
-        changed = spark.read.parquet(f"{store}/batch={n}").select("src", "period").distinct()
-        # Batches of a later, failed attempt are not there yet: numbers only grow.
-        known = spark.read.option("basePath", store).parquet(f"{store}/batch=*").where(F.col("batch") <= n)
-        compose(latest_panes(known.join(changed, ["src", "period"], "left_semi"))).write.mode("overwrite").parquet(f"{emitted}/batch={n}")
-
-    return panes.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(one).trigger(**(trigger or {"availableNow": True})).start()
+        at = f"{store}/new={n}"
+        latest_panes(batch).where("n <> 0").withColumn("day", F.floor(F.col("start") / F.lit(DAY)).cast("long")).write.mode("overwrite").parquet(at)
+        new = spark.read.parquet(at)
+        # Days that the batch touches: as few as arrivals and lateness span.
+        days = sorted(r[0] for r in new.select("day").distinct().collect())
+        if not days:
+            return
+        new.withColumn("batch", F.lit(n)).repartition("day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(f"{store}/days")
+        around = -(-s.window // DAY)
+        wanted = sorted({d + k for d in days for k in range(-around, around + 1)})
+        # Batches of a later, failed attempt are not there yet: numbers only change by whole batches.
+        kept = spark.read.parquet(f"{store}/days").where(F.col("day").isin(wanted) & (F.col("batch") <= n))
+        touched = new.select("src", F.explode(F.when(F.col("whole"), F.array("start")).otherwise(s.starts(F.col("start")))).alias("period_ns")).distinct()
+        compose(latest_panes(kept), s).join(touched, ["src", "period_ns"], "left_semi").write.mode("overwrite").parquet(f"{emitted}/batch={n}")
+
+    return partials.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(one).trigger(**(trigger or {"availableNow": True})).start()

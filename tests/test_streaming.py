@@ -5,7 +5,7 @@ from compare import DATA
 from pyspark.sql import functions as F
 
 from newsloom.operators import journal, market, ordered
-from newsloom.operators.late_counts import corrected_counts
+from newsloom.operators.late_counts import Slices, corrected_counts
 from newsloom.streaming import folds
 from newsloom.streaming.late_panes import compose, latest_panes, pane_counts, start_corrections
 
@@ -91,20 +91,35 @@ def test_minute_bars(spark, landed, tmp_path):
     assert len(rows) == len(set(rows)) and set(rows) <= want and len(rows) >= 0.9 * len(want)  # the last minutes are still open
 
 
-def test_corrections(spark, landed, tmp_path):
-    s = stories(spark).select("src", "news_id", "published_ns", "t_news_recv_ns")
-    args = dict(source="src", story="news_id", event_time="published_ns", arrival="t_news_recv_ns", window_ns=HOUR, lateness_ns=6 * HOUR, slot_ns=60_000_000_000)
-    q = start_corrections(pane_counts(landed(s, "t_news_recv_ns"), **args), store=f"{tmp_path}/store", emitted=f"{tmp_path}/out", checkpoint=f"{tmp_path}/cp")
-    q.awaitTermination(180)
+SPAN = dict(window_ns=HOUR, lateness_ns=6 * HOUR, slot_ns=60_000_000_000)
+NAMES = dict(source="src", story="news_id", event_time="published_ns", arrival="t_news_recv_ns")
+
+
+def corrected(stream, tmp_path, span=SPAN):
+    """Run to the end; (stored partial counts, final number of each emitted period, the query)."""
+    q = start_corrections(pane_counts(stream, **NAMES, **span), store=f"{tmp_path}/store", emitted=f"{tmp_path}/out", checkpoint=f"{tmp_path}/cp", **span)
+    q.awaitTermination(600)
     assert q.exception() is None
-    store = spark.read.option("basePath", f"{tmp_path}/store").parquet(f"{tmp_path}/store/batch=*")
-    last = compose(latest_panes(store)).groupBy("src", "period_ns").agg(F.max("n_stories").alias("n"))
-    want = corrected_counts(s, **args, corrections_only=False).groupBy("src", "period_ns").agg(F.max("n_stories").alias("n"))
-    assert sorted(map(tuple, last.collect())) == sorted(map(tuple, want.collect()))
-    # Emitted again were only windows that changed: the last emission of each is the final number.
+    spark = stream.sparkSession
     out = spark.read.option("basePath", f"{tmp_path}/out").parquet(f"{tmp_path}/out/batch=*")
-    final = out.groupBy("src", "period_ns").agg(F.max(F.struct("batch", "n_stories"))["n_stories"].alias("n"))
-    assert sorted(map(tuple, final.collect())) == sorted(map(tuple, want.collect()))
+    last = out.groupBy("src", "period_ns").agg(F.max("batch").alias("batch"))
+    # Of the last emission of a period the number after all its slots.
+    final = out.join(last, ["src", "period_ns", "batch"]).groupBy("src", "period_ns").agg(F.max_by("n_stories", "slot").alias("n"))
+    return spark.read.parquet(f"{tmp_path}/store/days"), {(r.src, r.period_ns): r.n for r in final.collect() if r.n}, q
+
+
+def numbers(s, span=SPAN):
+    want = corrected_counts(s, **NAMES, **span, corrections_only=False).groupBy("src", "period_ns").agg(F.max("n_stories").alias("n"))
+    return {(r.src, r.period_ns): r.n for r in want.collect() if r.n}
+
+
+def test_corrections(spark, landed, tmp_path):
+    s = stories(spark).select("src", "news_id", "published_ns", "t_news_recv_ns")
+    store, got, _ = corrected(landed(s, "t_news_recv_ns"), tmp_path)
+    want = numbers(s)
+    assert got == want
+    last = compose(latest_panes(store), Slices(**SPAN)).groupBy("src", "period_ns").agg(F.max("n_stories").alias("n"))
+    assert {(r.src, r.period_ns): r.n for r in last.collect()} == want
 
 
 def test_corrections_hours_late_in_small_batches(spark, landed, tmp_path):
@@ -114,13 +129,31 @@ def test_corrections_hours_late_in_small_batches(spark, landed, tmp_path):
     news += [("w", "late1", ns(0.2), ns(3.1)), ("w", "late2", ns(0.3), ns(3.2)), ("w", "late1", ns(0.2), ns(4.1)), ("w", "h0-0", ns(0), ns(5.5)), ("w", "late3", ns(2.2), ns(8.4)), ("w", "toolate", ns(0.1), ns(7.5))]
     news += [("w", "last", ns(20), ns(20) + 1)]
     s = spark.createDataFrame(news, "src string, news_id string, published_ns long, t_news_recv_ns long")
-    args = dict(source="src", story="news_id", event_time="published_ns", arrival="t_news_recv_ns", window_ns=HOUR, lateness_ns=6 * HOUR, slot_ns=60_000_000_000)
-    q = start_corrections(pane_counts(landed(s, "t_news_recv_ns", parts=21), **args), store=f"{tmp_path}/store", emitted=f"{tmp_path}/out", checkpoint=f"{tmp_path}/cp")
-    q.awaitTermination(300)
-    assert q.exception() is None
-    out = spark.read.option("basePath", f"{tmp_path}/out").parquet(f"{tmp_path}/out/batch=*")
-    final = out.groupBy("period_ns").agg(F.max(F.struct("batch", "n_stories"))["n_stories"].alias("n"))
-    got = {(r.period_ns - ns(0)) // HOUR: r.n for r in final.collect()}
-    assert got == {h: 3 + {0: 2, 2: 1}.get(h, 0) for h in range(12)} | {20: 1, 500: 1}
+    _, got, q = corrected(landed(s, "t_news_recv_ns", parts=21), tmp_path)
+    assert {(p - ns(0)) // HOUR: n for (_, p), n in got.items()} == {h: 3 + {0: 2, 2: 1}.get(h, 0) for h in range(12)} | {20: 1, 500: 1}
     # State of the periods whose lateness is over is gone.
     assert q.lastProgress["stateOperators"][0]["numRowsTotal"] < 38
+
+
+@pytest.mark.parametrize("slide", [1, 2])
+def test_stream_and_batch_agree_on_every_kind_of_late_story(spark, landed, tmp_path, slide):
+    """Fifty micro-batches; each hour has stories on time, late, too late, delivered twice, delivered out of order and lying in two hours."""
+    import random
+
+    rnd = random.Random(slide)
+    ns = lambda h: int(h * HOUR) + 400_000 * HOUR
+    news = []
+    for h in range(16):
+        for k, delay in enumerate((0.1, 0.4, 2.5, 5.9, 6.6, 7.9, 9.5)):
+            e = h + rnd.random()
+            news.append((rnd.choice("ab"), f"{h}-{k}", ns(e), ns(e + delay)))
+            if k % 2:
+                news.append((*news[-1][:3], news[-1][3] + rnd.randrange(HOUR)))  # repeated
+            if k % 3 == 0:
+                news.append((*news[-1][:2], ns(e + rnd.choice((0.8, 1.5, 5))), news[-1][3] + rnd.randrange(2 * HOUR)))  # told again under another hour
+    s = spark.createDataFrame(news, "src string, news_id string, published_ns long, t_news_recv_ns long")
+    # Delivered up to half an hour of arrival out of order.
+    shuffled = s.withColumn("delivered", F.col("t_news_recv_ns") + F.pmod(F.xxhash64("news_id", "t_news_recv_ns"), F.lit(HOUR // 2)))
+    span = SPAN | dict(window_ns=slide * HOUR, slide_ns=HOUR)
+    _, got, _ = corrected(landed(shuffled, "delivered", parts=50), tmp_path, span)
+    assert got == numbers(s, span) and len(got) > 20
