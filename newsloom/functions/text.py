@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -55,9 +56,10 @@ def collapse_whitespace(c: Column) -> Column:
     return F.trim(F.regexp_replace(c, f"{SPACE}+", " "))
 
 
-def headline_key(c: Column) -> Column:
-    """ASCII letters and digits, folded, other runs one space; 511 characters at most. Null stays null."""
-    return F.trim(F.substring(F.trim(F.regexp_replace(ascii_lower(c), "[^a-z0-9]+", " ")), 1, 511))
+def headline_key(c: Column, most: int | None = None) -> Column:
+    """ASCII letters and digits, folded, other runs one space; of the whole text, or its first ``most`` characters. Null stays null."""
+    key = F.trim(F.regexp_replace(ascii_lower(c), "[^a-z0-9]+", " "))
+    return key if most is None else F.trim(F.substring(key, 1, most))
 
 
 def parse_long(c: Column) -> Column:
@@ -150,22 +152,44 @@ def html_text(s: str | None, separator: str = " ") -> str | None:
 
 
 @F.pandas_udf(T.StringType())
-def decode_entities(c: pd.Series) -> pd.Series:
-    """All named and numeric entities, once. Rows without ``&`` pass unchanged."""
+def _decoded(c: pd.Series) -> pd.Series:
     return c.map(decode_text, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
-def html_to_text(c: pd.Series) -> pd.Series:
+def _html_text(c: pd.Series) -> pd.Series:
     return c.map(html_text, na_action="ignore")
 
 
 @F.pandas_udf(T.StringType())
-def html_to_lines(c: pd.Series) -> pd.Series:
-    """As html_to_text, blocks parted by line breaks."""
+def _html_lines(c: pd.Series) -> pd.Series:
     return c.map(lambda s: html_text(s, "\n"), na_action="ignore")
 
 
+def _marked_up(c: Column, marks: str, convert: Callable, plain: Column) -> Column:
+    """Only texts with a mark go to Python, as the rest is null on the way there; the others stay in the JVM."""
+    has = F.coalesce(c.rlike(marks), F.lit(False))
+    return F.when(has, convert(F.when(has, c))).otherwise(plain)
+
+
+def decode_entities(c: Column | str) -> Column:
+    """All named and numeric entities, once."""
+    c = F.col(c) if isinstance(c, str) else c
+    return _marked_up(c, "&", _decoded, c)
+
+
+def html_to_text(c: Column | str) -> Column:
+    """Text of an HTML fragment, see ``html_text``; text without markup only has its whitespace collapsed."""
+    c = F.col(c) if isinstance(c, str) else c
+    return _marked_up(c, "[<&]", _html_text, collapse_whitespace(c))
+
+
+def html_to_lines(c: Column | str) -> Column:
+    """As html_to_text, blocks parted by line breaks."""
+    c = F.col(c) if isinstance(c, str) else c
+    return _marked_up(c, "[<&]", _html_lines, collapse_whitespace(c))
+
+
 def named_entities(c: Column) -> Column:
     """The named entities only, in the JVM; ``&amp;`` last, so that nothing is decoded twice."""
     for name, code in ENTITIES.items():
@@ -193,3 +217,35 @@ def money(c: Column) -> Column:
 
 def split_trimmed(c: Column, sep: str) -> Column:
     return F.transform(F.split(c, re.escape(sep)), trimmed)
+
+
+def share_count(c: Column) -> Column:
+    """12.3M, 45.6K or plain, rounded half up; null stays null."""
+    at = lambda unit, name: F.format_string(f"%.1f{name}", F.floor(c / (unit / 10) + 0.5) / 10)
+    return F.when(c.isNull(), None).when(c >= 1e6, at(1e6, "M")).when(c >= 1e3, at(1e3, "K")).otherwise(F.format_string("%.0f", F.floor(c + 0.5).cast("double")))
+
+
+def utf8_char(code: Column) -> Column:
+    """The character of a code point; null for surrogates and beyond U+10FFFF. The UTF-8 bytes are put together in the JVM."""
+    n = code.cast("int")
+    low = lambda k: F.call_function("shiftright", n, F.lit(6 * k)).bitwiseAND(F.lit(63)) + 128
+    head = lambda k, mark: F.call_function("shiftright", n, F.lit(6 * k)) + mark
+    hexes = lambda *b: F.concat(*(F.lpad(F.hex(x), 2, "0") for x in b))
+    h = F.when(n < 0x80, hexes(n)).when(n < 0x800, hexes(head(1, 0xC0), low(0))).when(n < 0x10000, hexes(head(2, 0xE0), low(1), low(0))).otherwise(hexes(head(3, 0xF0), low(2), low(1), low(0)))
+    return F.when(n.between(0, 0x10FFFF) & ~n.between(0xD800, 0xDFFF), F.decode(F.unhex(h), "UTF-8"))
+
+
+def json_escaped(c: Column) -> Column:
+    """The text between the quotes of its JSON string; null stays null."""
+    j = F.to_json(F.struct(c.alias("v")))
+    return F.when(c.isNotNull(), F.substring(j, 7, F.length(j) - 8))
+
+
+def hex_id(c: Column) -> Column:
+    """A 64-bit id as 16 hex digits."""
+    return F.lower(F.lpad(F.hex(c), 16, "0"))
+
+
+def mixed(c: Column) -> Column:
+    """A 64-bit mix of a long, for ids made of ids; only equality is promised."""
+    return F.xxhash64(c)

@@ -15,8 +15,8 @@ MONTHS = "JAN FEB MAR APR MAY JUN JUL AUG SEP OCT NOV DEC".split()
 
 
 def utc(ns: Column) -> Column:
-    """Timestamp of whole seconds, for a session in UTC."""
-    return F.timestamp_seconds(F.floor(ns / F.lit(NS)))
+    """Timestamp of whole seconds, for a session in UTC. Divided exactly: a quotient of doubles may round up to the next second."""
+    return F.timestamp_seconds(((ns - F.pmod(ns, F.lit(NS))) / F.lit(NS)).cast("long"))
 
 
 def eastern(ns: Column) -> Column:
@@ -107,3 +107,19 @@ def volume_fraction(minute: Column) -> Column:
     lo, hi = F.get(curve, i), F.get(curve, F.least(i + 1, F.lit(len(VOLUME_CURVE) - 1)))
     inside = 0.04 + 0.92 * (lo + (hi - lo) * (rth - i))
     return F.when(minute < 240, 0.0).when(minute < 570, 0.04 * (minute - 240) / 330.0).when(minute < 960, inside).when(minute < 1200, 0.96 + 0.04 * (minute - 960) / 240.0).otherwise(1.0)
+
+
+def parse_ymd(c: Column) -> Column:
+    """Date of ``2026-09-25`` or ``20260925``, else null; days that a month lacks are null too."""
+    t = trimmed(c)
+    return F.coalesce(F.to_date(F.try_to_timestamp(F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), t), F.lit("yyyy-MM-dd"))), F.to_date(F.try_to_timestamp(F.when(t.rlike("^[0-9]{8}$"), t), F.lit("yyyyMMdd"))))
+
+
+def civil_days(day: Column) -> Column:
+    """Days since 1970-01-01."""
+    return F.unix_date(day)
+
+
+def weekday(day: Column) -> Column:
+    """0 is Sunday."""
+    return F.dayofweek(day) - 1

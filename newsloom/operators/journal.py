@@ -2,13 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def median0(c: Column) -> Column:
-    """Exact median, mean of the middle two; 0 without values."""
-    return F.coalesce(F.median(c), F.lit(0.0))
+def exact_medians(df: DataFrame, *, group: list[str], values: dict[str, Column], sub_bits: int = 6) -> DataFrame:
+    """(group, names of ``values``): exact medians, the mean of the middle two; null without values.
+
+    A median function holds all distinct values of a group in one task. Here counts
+    by log-linear bucket, which merge before the shuffle, say in which buckets the
+    middle ranks lie, and only the values of these are counted one by one; a bucket
+    is a 64th of an octave, a fixed list for any number of rows. Null values and NaN take no part.
+    """
+    each = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), c.cast("double").alias("v")) for name, c in values.items())))
+    x = df.select(*(F.col(c).alias(f"_g{i}") for i, c in enumerate(group)), each.alias("x")).select(*(f"_g{i}" for i in range(len(group))), "x.name", "x.v").where("v is not null and not isnan(v)")
+    by = [*(f"_g{i}" for i in range(len(group))), "name"]
+    x = x.withColumn("b", _order_bucket(F.col("v"), sub_bits))
+    w = Window.partitionBy(*by)
+    h = x.groupBy(*by, "b").agg(F.count(F.lit(1)).alias("n"))
+    h = h.withColumns({"upto": F.sum("n").over(w.orderBy("b")), "total": F.sum("n").over(w)})
+    lo, hi = F.floor((F.col("total") - 1) / 2) + 1, F.floor(F.col("total") / 2) + 1
+    mid = h.where((F.col("upto") >= lo) & (F.col("upto") - F.col("n") < hi)).select(*(F.col(c).alias(f"m_{c}") for c in by), F.col("b").alias("m_b"), (F.col("upto") - F.col("n")).alias("before"), lo.alias("lo"), hi.alias("hi"))
+    same = F.col("b") == F.col("m_b")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"m_{c}"))
+    # At most two buckets to a group and value: the list is as long as the groups.
+    v = x.join(mid, same).groupBy(*by, "b", "before", "lo", "hi", "v").agg(F.count(F.lit(1)).alias("n"))
+    v = v.withColumn("upto", F.col("before") + F.sum("n").over(Window.partitionBy(*by, "b").orderBy("v")))
+    has = lambda rank: (F.col("upto") >= F.col(rank)) & (F.col("upto") - F.col("n") < F.col(rank))
+    one = v.groupBy(*by).agg(((F.max(F.when(has("lo"), F.col("v"))) + F.max(F.when(has("hi"), F.col("v")))) / 2).alias("m"))
+    out = one.groupBy(*by[:-1]).agg(*(F.max(F.when(F.col("name") == name, F.col("m"))).alias(name) for name in values))
+    return out.select(*(F.col(f"_g{i}").alias(c) for i, c in enumerate(group)), *values)
+
+
+def _order_bucket(v: Column, sub_bits: int) -> Column:
+    """A whole number that grows with ``v``: its sign, octave and part of the octave."""
+    a = F.abs(v)
+    octave = F.greatest(F.floor(F.log2(a)), F.lit(-64))
+    part = F.floor((a / F.pow(F.lit(2.0), octave) - 1) * (1 << sub_bits))
+    # Rounding at the bounds of an octave must not put a greater value lower.
+    size = (octave + 65) * (1 << sub_bits) + F.least(F.greatest(part, F.lit(0)), F.lit((1 << sub_bits) - 1))
+    return F.when(a < 2.0**-64, 0).when(v < 0, -size).otherwise(size).cast("long")
+
+
+def _with_medians(grouped: DataFrame, medians: DataFrame, group: list[str]) -> DataFrame:
+    on = F.lit(True)
+    for c in group:
+        on = on & F.col(c).eqNullSafe(F.col(f"_m_{c}"))
+    names = [c for c in medians.columns if c not in group]
+    return grouped.join(medians.select(*(F.col(c).alias(f"_m_{c}") for c in group), *names), on, "left").drop(*(f"_m_{c}" for c in group))
 
 
 def first_seen(stories: DataFrame, *, key: str, time: str, id_col: str, source: str) -> DataFrame:
@@ -26,19 +70,77 @@ def first_seen(stories: DataFrame, *, key: str, time: str, id_col: str, source:
 def source_standing(seen: DataFrame, *, source: str, publish_lag: Column) -> DataFrame:
     """Per source: items, firsts, behind another source, median lag behind and median publish lag (0 and above)."""
     behind = F.col("dup") & (F.col("first_src") != F.col(source))
-    return seen.groupBy(source).agg(
-        F.count(F.lit(1)).alias("items"), F.count_if(~F.col("dup")).alias("firsts"), F.count_if(behind).alias("behind"),
-        median0(F.when(behind, F.col("behind_ns") / 1e6)).alias("median_behind_ms"), median0(F.when(publish_lag >= 0, publish_lag)).alias("median_publish_ms"),
-    )
+    counts = seen.groupBy(source).agg(F.count(F.lit(1)).alias("items"), F.count_if(~F.col("dup")).alias("firsts"), F.count_if(behind).alias("behind"))
+    medians = exact_medians(seen, group=[source], values={"median_behind_ms": F.when(behind, F.col("behind_ns") / 1e6), "median_publish_ms": F.when(publish_lag >= 0, publish_lag)})
+    return _with_medians(counts, medians, [source]).fillna(0.0, ["median_behind_ms", "median_publish_ms"])
 
 
 def outcome_groups(outcomes: DataFrame, *sets: list[str], move: str = "move_pct", mfe: str = "max_move_pct", mae: str = "min_move_pct") -> DataFrame:
     """n, mean, median, share of moves above 0, mean best and worst move, for each grouping set in one pass."""
     cols = sorted({c for s in sets for c in s})
-    return outcomes.groupingSets([[F.col(c) for c in s] for s in sets], *cols).agg(
-        F.count(F.lit(1)).alias("n"), F.round(F.avg(move), 6).alias("mean_move"), F.round(F.median(move), 6).alias("median_move"),
-        F.round(100.0 * F.count_if(F.col(move) > 0) / F.count(F.lit(1)), 6).alias("up_pct"), F.round(F.avg(mfe), 6).alias("mean_mfe"), F.round(F.avg(mae), 6).alias("mean_mae"),
-    )
+    out = None
+    for keys in sets:
+        g = outcomes.groupBy(*keys).agg(
+            F.count(F.lit(1)).alias("n"), F.round(F.avg(move), 6).alias("mean_move"), F.round(100.0 * F.count_if(F.col(move) > 0) / F.count(F.lit(1)), 6).alias("up_pct"),
+            F.round(F.avg(mfe), 6).alias("mean_mfe"), F.round(F.avg(mae), 6).alias("mean_mae"),
+        )
+        g = _with_medians(g, exact_medians(outcomes, group=list(keys), values={"median_move": F.col(move)}), list(keys)).withColumn("median_move", F.round("median_move", 6))
+        g = g.select(*(F.col(c) if c in keys else F.lit(None).cast(dict(outcomes.dtypes)[c]).alias(c) for c in cols), "n", "mean_move", "median_move", "up_pct", "mean_mfe", "mean_mae")
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
+# Lower bounds of the score buckets and their names.
+SCORE_BUCKETS = [(85, "85+"), (75, "75-84"), (65, "65-74"), (55, "55-64")]
+
+
+def score_bucket(score: Column) -> Column:
+    """Name of a score's bucket; null stays null."""
+    out = F.when(score.isNull(), None)
+    for least, name in SCORE_BUCKETS:
+        out = out.when(score >= least, name)
+    return out.otherwise("<55")
+
+
+def funnel(stories: DataFrame, *, group: list[str], stages: dict[str, Column]) -> DataFrame:
+    """Per group how many stories there are and how many pass each stage; one pass."""
+    return stories.groupBy(*group).agg(F.count(F.lit(1)).alias("stories"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(name) for name, c in stages.items()))
+
+
+def source_counters(stories: DataFrame, *, source: str, id_col: str, stages: dict[str, Column]) -> DataFrame:
+    """Per source items, and per stage the distinct stories that pass it (a story of several rows counts once)."""
+    per = stories.groupBy(source, id_col).agg(F.count(F.lit(1)).alias("_n"), *(F.max(F.coalesce(c, F.lit(False)).cast("int")).alias(name) for name, c in stages.items()))
+    return per.groupBy(source).agg(F.sum("_n").alias("items"), *(F.sum(name).alias(name) for name in stages))
+
+
+def day_results(trades: DataFrame, signals: DataFrame, *, day: str, pnl: str, tier: str, alerting: list[str]) -> DataFrame:
+    """Per day of either table: signals, alerts, closed trades and their result."""
+    a = signals.groupBy(day).agg(F.count(F.lit(1)).alias("signals"), F.count_if(F.col(tier).isin(alerting)).alias("alerts"))
+    b = trades.groupBy(day).agg(F.count(F.lit(1)).alias("closed"), F.sum(pnl).alias("pnl"))
+    return a.join(b, day, "full_outer").fillna(0, ["signals", "alerts", "closed", "pnl"])
+
+
+def parameter_sweep(trades: DataFrame, *, values: list[float], keeps: Callable[[Column], Column], pnl: str, name: str = "cut") -> DataFrame:
+    """(name, n, total) per parameter value in one pass: each trade feeds the values that keep it."""
+    kept = F.filter(F.array(*map(F.lit, values)), keeps)
+    return trades.select(pnl, F.explode(kept).alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.sum(pnl).alias("total"))
+
+
+def report(seen: DataFrame, outcomes: DataFrame, curve: DataFrame, *, publish_lag: Column, stages: dict[str, Column]) -> dict[str, DataFrame]:
+    """The sections of a journal report by name: sources, funnel, outcomes by horizon and by score, trades in all and by tier and reason.
+
+    ``seen`` as of ``first_seen`` (with src, catalyst), ``curve`` as of ``equity`` (with tier, reason, day, pnl).
+    """
+    scored = outcomes.withColumn("score_bucket", score_bucket(F.col("score")))
+    return {
+        "sources": source_standing(seen, source="src", publish_lag=publish_lag),
+        "funnel": funnel(seen, group=["catalyst"], stages=stages),
+        "outcomes": outcome_groups(outcomes, ["horizon_s", "tier_reached"]),
+        "outcomes_by_kind": outcome_groups(scored.where("horizon_s in (300, 1800)"), ["horizon_s", "catalyst"], ["horizon_s", "score_bucket"]),
+        "trades": trade_stats(curve, group=[], day="day", pnl="pnl"),
+        "trades_by_tier": trade_stats(curve, group=["tier"], day="day", pnl="pnl"),
+        "trades_by_reason": trade_stats(curve, group=["reason"], day="day", pnl="pnl"),
+    }
 
 
 def equity(trades: DataFrame, *, group: list[str], day: str, order: list[str], pnl: str) -> DataFrame:

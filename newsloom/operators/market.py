@@ -49,6 +49,16 @@ def spread_pct(bid: Column, ask: Column) -> Column:
     return F.when((bid > 0) & (ask >= bid), (ask - bid) / ((ask + bid) / 2) * 100).otherwise(0.0)
 
 
+def quote_valid(bid: Column, ask: Column) -> Column:
+    """Both sides are there and not crossed."""
+    return F.coalesce((bid > 0) & (ask >= bid), F.lit(False))
+
+
+def halted(state: Column) -> Column:
+    """Whether a trading state (T trading, H halted, P paused, Q quotation only) is known and not trading."""
+    return F.coalesce((state != "T") & (state != ""), F.lit(False))
+
+
 def minute_bars(t: DataFrame) -> DataFrame:
     """OHLCV per ticker and minute; only minutes with prints."""
     at = F.struct("ts_ns", "print_id")
@@ -81,11 +91,11 @@ def baseline(sessions: DataFrame, n: int = 20) -> DataFrame:
     return sessions.join(days, "day").groupBy("ticker").agg(F.round(F.avg("volume"), 4).alias("adv"), F.max_by(close, F.col("day")).alias("prev_close_e4"), F.count(F.lit(1)).alias("days"))
 
 
-def rolling_baseline(sessions: DataFrame, n: int = 20) -> DataFrame:
+def rolling_baseline(sessions: DataFrame, n: int = 20, digits: int = 4) -> DataFrame:
     """Per ticker and day: mean volume over its days among the ``n`` distinct days before; null without one."""
     order = sessions.select("day").distinct().withColumn("rank", F.row_number().over(Window.orderBy("day")))
     w = Window.partitionBy("ticker").orderBy("rank").rangeBetween(-n, -1)
-    return sessions.join(order, "day").select("ticker", "day", F.round(F.avg("volume").over(w), 4).alias("adv"))
+    return sessions.join(order, "day").select("ticker", "day", F.round(F.avg("volume").over(w), digits).alias("adv"))
 
 
 def most_active(sessions: DataFrame, n: int) -> DataFrame:

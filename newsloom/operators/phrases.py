@@ -125,9 +125,11 @@ def dollar_amount(c: Column) -> Column:
     text = F.coalesce(c, F.lit(""))
     price = r"(?:[^$]{0,8}per |[^$]{0,3}/sh)"
     size = r"[^$]{0,36}(?: market|industry|addressable| tam|opportunity| sector)"
-    figure = rf"(?is)\$ *([0-9](?:[0-9]|,(?=[0-9]))*(?:\.[0-9]+)?)(?: *(million|billion|thousand|trillion|mm|mln|bn|tn|m|b|k)(?![a-z]))?(?!{price}|{size})(?![0-9]|\.[0-9]|,[0-9])"
+    word = r" *(?:million|billion|thousand|trillion|mm|mln|bn|tn|m|b|k)(?![a-z])"
+    # The word is not given up to pass the tests after it (a possessive group would leave its text to later matches).
+    figure = rf"(?is)\$ *([0-9](?:[0-9]|,(?=[0-9]))*(?:\.[0-9]+)?)({word})?(?!{word})(?!{price}|{size})(?![0-9]|\.[0-9]|,[0-9])"
     n = F.regexp_extract_all(text, F.lit(figure), F.lit(1))
     w = F.regexp_extract_all(text, F.lit(figure), F.lit(2))
     factor = F.create_map(*(x for k, v in MULTIPLIERS.items() for x in (F.lit(k), F.lit(v))))
-    values = F.zip_with(n, w, lambda a, b: F.replace(a, F.lit(","), F.lit("")).try_cast("double") * F.coalesce(F.try_element_at(factor, F.lower(b)), F.lit(1.0)))
+    values = F.zip_with(n, w, lambda a, b: F.replace(a, F.lit(","), F.lit("")).try_cast("double") * F.coalesce(F.try_element_at(factor, F.trim(F.lower(b))), F.lit(1.0)))
     return F.coalesce(F.array_max(values), F.lit(0.0))

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import functools
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from newsloom.functions import names, text, times, urls
@@ -121,10 +121,10 @@ def rolling_baseline(spark, d):
     dates=("day",),
 )
 def rvol(spark, d):
+    """Of whole days: by midnight all of the usual volume is due."""
     s = market.session_rollup(tape(spark, d))
-    b = s.join(s.select("day").distinct().withColumn("r", F.row_number().over(Window.orderBy("day"))), "day")
-    adv = F.avg("volume").over(Window.partitionBy("ticker").orderBy("r").rangeBetween(-3, -1))
-    return b.withColumn("adv", adv).select("ticker", "day", F.when(F.col("adv") > 0, F.round(F.col("volume") / F.col("adv"), 6)).otherwise(0.0).alias("rvol"))
+    b = s.join(market.rolling_baseline(s, 3, digits=12), ["ticker", "day"])
+    return b.select("ticker", "day", F.round(market.rvol(F.col("volume"), F.col("adv"), F.lit(1439)), 6).alias("rvol"))
 
 
 @query(
@@ -265,7 +265,7 @@ def once_per_day(spark, d):
 
 # ---- journal statistics ------------------------------------------------------------------------
 
-KEYED = f"(select signal_id, src, t_news_recv_ns as t, published_ns, left(trim(regexp_replace({ASCII.format('title')}, '[^a-z0-9]+', ' ', 'g')), 511) as k from signals where t_news_recv_ns is not null)"
+KEYED = f"(select signal_id, src, t_news_recv_ns as t, published_ns, trim(regexp_replace({ASCII.format('title')}, '[^a-z0-9]+', ' ', 'g')) as k from signals where t_news_recv_ns is not null)"
 SEEN = f"""(select signal_id, src, t, published_ns, k is not null and signal_id <> first_value(signal_id) over w as dup, case when k is null then src else first_value(src) over w end as first_src,
   case when k is null then 0 else t - first_value(t) over w end as behind_ns from {KEYED} window w as (partition by k order by t, signal_id))"""
 
@@ -292,7 +292,7 @@ def source_standing(spark, d):
 
 @query("q22_funnel", "select catalyst, count(*) as stories, count(*) filter (ticker is not null) as with_ticker, count(*) filter (score >= 55) as scored, count(*) filter (tier in ('ALERT', 'HIGH')) as alerts from signals group by catalyst")
 def funnel(spark, d):
-    return table(spark, d, "signals").groupBy("catalyst").agg(F.count(F.lit(1)).alias("stories"), F.count("ticker").alias("with_ticker"), F.count_if(F.col("score") >= 55).alias("scored"), F.count_if(F.col("tier").isin("ALERT", "HIGH")).alias("alerts"))
+    return journal.funnel(table(spark, d, "signals"), group=["catalyst"], stages={"with_ticker": F.col("ticker").isNotNull(), "scored": F.col("score") >= 55, "alerts": F.col("tier").isin("ALERT", "HIGH")})
 
 
 @query(
@@ -376,23 +376,20 @@ def histogram(spark, d):
     return journal.histogram_percentiles(s, group=["src"], value="us", at=[0.5, 0.9, 0.99])
 
 
-@query("q31_median", "select catalyst, median(score) as median_score, round(avg(score), 6) as mean_score from signals group by catalyst")
+@query("q31_median", "select catalyst, median(score) as median_score, round(avg(score), 6) as mean_score from signals where catalyst is not null group by catalyst")
 def median(spark, d):
-    return table(spark, d, "signals").groupBy("catalyst").agg(F.median("score").alias("median_score"), F.round(F.avg("score"), 6).alias("mean_score"))
+    s = table(spark, d, "signals").where("catalyst is not null")
+    return s.groupBy("catalyst").agg(F.round(F.avg("score"), 6).alias("mean_score")).join(journal.exact_medians(s, group=["catalyst"], values={"median_score": F.col("score")}), "catalyst")
 
 
 @query("q32_score_bucket", "select case when score >= 85 then '85+' when score >= 75 then '75-84' when score >= 65 then '65-74' when score >= 55 then '55-64' else '<55' end as bucket, count(*) as n from signals where score is not null group by 1")
 def score_bucket(spark, d):
-    c = F.col("score")
-    b = F.when(c >= 85, "85+").when(c >= 75, "75-84").when(c >= 65, "65-74").when(c >= 55, "55-64").otherwise("<55")
-    return table(spark, d, "signals").where("score is not null").groupBy(b.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, d, "signals").where("score is not null").groupBy(journal.score_bucket(F.col("score")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q33_param_sweep", f"select p as cut, count(*) as n, cast(sum(pnl) as bigint) as total from {TRADES}, (values (0), (1000), (10000), (50000)) v(p) where abs(pnl) >= p group by p")
 def param_sweep(spark, d):
-    """All parameter values in one pass: each row feeds the sweeps that keep it."""
-    keeps = F.filter(F.array(*map(F.lit, (0, 1000, 10000, 50000))), lambda p: F.abs(F.col("pnl")) >= p)
-    return _trades(spark, d).select("pnl", F.explode(keeps).alias("cut")).groupBy("cut").agg(F.count(F.lit(1)).alias("n"), F.sum("pnl").alias("total"))
+    return journal.parameter_sweep(_trades(spark, d), values=[0, 1000, 10000, 50000], keeps=lambda p: F.abs(F.col("pnl")) >= p, pnl="pnl")
 
 
 # ---- security master and filings ---------------------------------------------------------------
@@ -524,44 +521,78 @@ RULES = ["purchase order", "today announced", "fast track designation", "approv*
 PADDED = f"' ' || trim(regexp_replace({ASCII.format('text')}, '[^a-z0-9]+', ' ', 'g')) || ' '"
 
 
-@query("q47_phrases", "select doc_id, r as rule from (select doc_id, " + PADDED + " as t from documents where text is not null), (values " + ", ".join(f"({i}, '{phrases.pattern(p)}')" for i, p in enumerate(RULES)) + ") v(r, p) where contains(t, p)")
+@query("q47_phrases", "select doc_id, r as rule from (select doc_id, " + PADDED + " as t from documents where text is not null), (values (0, ' purchase order '), (1, ' today announced '), (2, ' fast track designation '), (3, ' approv'), (4, ' primary endpoint '), (5, ' buy back '), (6, ' forward looking '), (7, ' gross margin '), (8, ' who is holding '), (9, ' halt'), (10, ' supply agreement '), (11, ' million ')) v(r, p) where contains(t, p)")
 def phrase_hits(spark, d):
     return phrases.match_phrases(table(spark, d, "documents"), RULES, id_col="doc_id", text_col="text").select("doc_id", "rule")
 
 
-@query("q48_headline_key", f"select signal_id, left(trim(regexp_replace({ASCII.format('title')}, '[^a-z0-9]+', ' ', 'g')), 511) as key from signals")
+@query("q48_headline_key", f"select signal_id, trim(regexp_replace({ASCII.format('title')}, '[^a-z0-9]+', ' ', 'g')) as key from signals")
 def headline_key(spark, d):
     return table(spark, d, "signals").select("signal_id", text.headline_key(F.col("title")).alias("key"))
 
 
-@query("q49_exact_dedupe", f"select min(signal_id) as signal_id, count(*) as n from (select signal_id, left(trim(regexp_replace({ASCII.format('title')}, '[^a-z0-9]+', ' ', 'g')), 511) as k from signals where title is not null) group by k")
+@query("q49_exact_dedupe", f"select min(signal_id) as signal_id, count(*) as n from (select signal_id, trim(regexp_replace({ASCII.format('title')}, '[^a-z0-9]+', ' ', 'g')) as k from signals where title is not null) group by k")
 def exact_dedupe(spark, d):
     s = table(spark, d, "signals").where("title is not null")
     return s.groupBy(text.headline_key(F.col("title")).alias("k")).agg(F.min("signal_id").alias("signal_id"), F.count(F.lit(1)).alias("n")).drop("k")
 
 
-@query("q50_ticker_tags")
+# Without looking ahead: a symbol list ends before a venue and its colon, as text from there on is cut off first.
+VENUES = """[{n: 'nasdaq global select market', c: 'US', v: 'NASDAQ'}, {n: 'nasdaq global market', c: 'US', v: 'NASDAQ'}, {n: 'nasdaq capital market', c: 'US', v: 'NASDAQ'}, {n: 'nyse american', c: 'US', v: 'NYSE'}, {n: 'nyse arca', c: 'US', v: 'NYSE'},
+  {n: 'nasdaq', c: 'US', v: 'NASDAQ'}, {n: 'nyse', c: 'US', v: 'NYSE'}, {n: 'cboe bzx', c: 'US', v: 'CBOE'}, {n: 'cboe', c: 'US', v: 'CBOE'}, {n: 'otc', c: 'OTC', v: 'OTC'}, {n: 'tsx', c: 'Foreign', v: 'TSX'}, {n: 'amex', c: 'US', v: 'NYSE'}, {n: 'lse', c: 'Foreign', v: 'LSE'}, {n: 'cse', c: 'Foreign', v: 'CSE'}]"""
+VENUE_RE = "nasdaq global select market|nasdaq global market|nasdaq capital market|nyse american|nyse arca|nasdaq|nyse|cboe bzx|cboe|otc|tsx|amex|lse|cse"
+
+
+@query(
+    "q50_ticker_tags",
+    rf"""with p as (select doc_id, generate_subscripts(parts, 1) as i, unnest(parts) as part from (select doc_id, string_split(regexp_replace(text, '(^|[(\[ ,;/\n\t|>"])((?i:{VENUE_RE})) *: *', '\1' || chr(1) || '\2' || chr(2), 'g'), chr(1)) as parts from documents where text is not null)),
+    t as (select doc_id, i, lower(split_part(part, chr(2), 1)) as n, regexp_extract(split_part(part, chr(2), 2), '^[A-Z](?:[A-Z0-9.-]{{0,8}}[A-Z0-9])?(?: *(?:,|and ) *[A-Z](?:[A-Z0-9.-]{{0,8}}[A-Z0-9])?)*') as l, split_part(part, chr(2), 2) as rest from p where i > 1),
+    s as (select doc_id, i, n, unnest(regexp_split_to_array(l, ' *(?:,|and ) *')) as symbol from t where l <> '' and not regexp_matches(substr(rest, length(l) + 1, 1), '[a-z]'))
+    select distinct doc_id, v.c as venue_class, v.v as venue, symbol from s join (select unnest({VENUES}) as v) on v.n = s.n""",
+)
 def ticker_tags(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(phrases.ticker_tags(F.col("text"))).alias("x")).select("doc_id", "x.*")
 
 
-@query("q51_dollar_amount")
+AMOUNT = r"(?is)[$] *([0-9][0-9,]*(?:[.][0-9]+)?)(?: *(million|billion|thousand|trillion|mm|mln|bn|tn|m|b|k)\b)?([^$]{0,60})"
+
+
+@query(
+    "q51_dollar_amount",
+    rf"""with m as (select doc_id, unnest(regexp_extract_all(text, '{AMOUNT}', 1)) as n, unnest(regexp_extract_all(text, '{AMOUNT}', 2)) as w, unnest(regexp_extract_all(text, '{AMOUNT}', 3)) as after from documents),
+    v as (select doc_id, cast(replace(n, ',', '') as double) * case when lower(w) in ('million', 'mm', 'mln', 'm') then 1e6 when lower(w) in ('billion', 'bn', 'b') then 1e9 when lower(w) in ('thousand', 'k') then 1e3 when lower(w) in ('trillion', 'tn') then 1e12 else 1 end as v
+      from m where not regexp_matches(after, '(?is)^(?:.{{0,8}}per |.{{0,3}}/sh)') and not regexp_matches(after, '(?is)^.{{0,36}}(?: market|industry|addressable| tam|opportunity| sector)'))
+    select d.doc_id, coalesce(max(v.v), 0.0) as amount from documents d left join v using (doc_id) group by 1""",
+)
 def dollar_amount(spark, d):
     return table(spark, d, "documents").select("doc_id", phrases.dollar_amount(F.col("text")).alias("amount"))
 
 
-@query("q52_html_text")
+NAMED = [("nbsp", " "), ("ensp", " "), ("emsp", " "), ("thinsp", " "), ("shy", ""), ("zwnj", ""), ("zwj", ""), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "''"), ("ndash", "–"), ("mdash", "—"), ("lsquo", "‘"), ("rsquo", "’"), ("ldquo", "“"), ("rdquo", "”"), ("hellip", "…"), ("trade", "™"), ("reg", "®"), ("copy", "©"), ("bull", "•"), ("eacute", "é"), ("euro", "€"), ("pound", "£"), ("amp", "&")]
+
+
+def _decoded(c: str) -> str:
+    for name, to in NAMED:
+        c = f"replace({c}, '&{name};', '{to}')"
+    return c
+
+
+@query(
+    "q52_html_text",
+    r"""select doc_id, trim(regexp_replace(""" + _decoded(r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)(?:[^A-Za-z0-9_:-][^>]*)?>.*?</(script|style)[^>]*>', ' ', 'g'),
+    '(?i)</?(p|br|div|li|tr|td|th|h1|h2|h3|h4|h5|h6|ul|ol|table|section|article|blockquote|hr|pre|title|dd|dt)(/|[ \t\n\r\f\x0B][^>]*)?>', ' ', 'g'), '</?[A-Za-z0-9:-]+[^>]*>', '', 'g')""") + r""", '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ') as plain from documents""",
+)
 def html_text(spark, d):
     return table(spark, d, "documents").select("doc_id", text.html_to_text("text").alias("plain"))
 
 
-BLOCKS = "|".join(text.BLOCK_TAGS)
+BLOCKS = "p|br|div|li|tr|td|th|h1|h2|h3|h4|h5|h6|ul|ol|table|section|article|blockquote|hr|pre|title|dd|dt"
 
 
 @query(
     "q53_html_core",
     rf"""select doc_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '(?s)<!--.*?-->', '', 'g'), '(?is)<(script|style)\b[^>]*>.*?</(script|style)[^>]*>', ' ', 'g'),
-    '(?i)</?({BLOCKS})(/|\s[^>]*)?>', ' ', 'g'), '</?[A-Za-z0-9:-]+[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&'), '[ \t\n\r\f\x0B]+', ' ', 'g')) as plain from documents""",
+    '(?i)</?({BLOCKS})(/|\s[^>]*)?>', ' ', 'g'), '</?[A-Za-z0-9:-]+[^>]*>', '', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&'), '[ \t\n\r\f\x0B]+', ' ', 'g'), ' ') as plain from documents""",
 )
 def html_core(spark, d):
     return table(spark, d, "documents").select("doc_id", text.html_core(F.col("text")).alias("plain"))
@@ -574,10 +605,14 @@ def url_parts(spark, d):
     return s.select("signal_id", urls.url_parts(text.trimmed(F.col("link"))).alias("u")).select("signal_id", "u.scheme", "u.host", "u.port", "u.target")
 
 
-@query("q55_form_classes", """select p, count(*) as n from (select case when p_type like 'PROMO%' then '424b' when p_type like 'STANDARD%' then 's1' else 'other' end as p from part) group by p""")
+FORMS = ["S-1", " f-1/a", "S-1MEF", "S-3", "F-3ASR", "424B5", "EFFECT", "PRE 14A", "DEF 14C", "S-8", "s-8 pos", "8-K", "8-K/A ", "6-K", "10-Q/A", "10-K", "20-F", "NT 10-K", "NT 20-F", "SC 13G", "8-K12B", "S-11"]
+CLASSES = "s1 s1 s1 s3 s3 424b effect pre14 def14 s8 s8 8k 8k 6k 10q 10k 10k nt nt other other other".split()
+
+
+@query("q55_form_classes", f"select [{', '.join(map(repr, FORMS))}][p_partkey % {len(FORMS)} + 1] as form, [{', '.join(map(repr, CLASSES))}][p_partkey % {len(FORMS)} + 1] as p, count(*) as n from part group by 1, 2")
 def form_classes(spark, d):
-    made = F.when(F.col("p_type").startswith("PROMO"), "424B5").when(F.col("p_type").startswith("STANDARD"), " s-1/a ").otherwise(F.col("p_type"))
-    return table(spark, d, "part").groupBy(names.classify_form(made).alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    form = F.get(F.array(*map(F.lit, FORMS)), (F.col("p_partkey") % len(FORMS)).cast("int"))
+    return table(spark, d, "part").groupBy(form.alias("form")).agg(F.count(F.lit(1)).alias("n")).withColumn("p", names.classify_form(F.col("form")))
 
 
 @query("q56_eastern_time", f"select print_id, {DAY} as day, cast({MIN} as int) as minute, strftime({ET.format('ts_ns')}, '%H:%M:%S') as hms from tape where ts_ns is not null",
@@ -588,7 +623,7 @@ def eastern_time(spark, d):
     return table(spark, d, "tape").where("ts_ns is not null").select("print_id", times.eastern_date(t).alias("day"), times.eastern_minute(t).alias("minute"), times.eastern_hms(t).alias("hms"))
 
 
-CURVE = "[" + ", ".join(str(float(x)) for x in times.VOLUME_CURVE) + "]"
+CURVE = "[0, 0.13, 0.22, 0.29, 0.35, 0.40, 0.45, 0.49, 0.53, 0.58, 0.63, 0.69, 0.78, 1]"
 
 
 @query(

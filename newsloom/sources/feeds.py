@@ -159,7 +159,16 @@ def rebuild_filings(index: DataFrame, pages: DataFrame, base_url: str, delay_ns:
     return filings.unionByName(docs.select("cik", "company", "form", F.col("exhibit").alias("url"), "items", (F.col("recv_ns") + exhibit_delay_ns).alias("recv_ns"), F.lit("exhibit").alias("kind"), exhibit_headline(F.col("doc")).alias("title")))
 
 
-__all__ = ["rss_items", "atom_items", "story_items", "filing_entries", "with_issuer_tickers", "halt_items", "filing_title", "index_page", "exhibit_href", "exhibit_headline", "rebuild_filings", "item_id", "decode_entities"]
+def rebuild_counters(index: DataFrame, pages: DataFrame, events: DataFrame, base_url: str) -> DataFrame:
+    """One row (candidates, pages, filings, exhibits, errors): how many index rows there were, had a page, and gave events; errors are those that gave none."""
+    page = F.concat(F.lit(base_url.rstrip("/") + "/"), F.regexp_replace("file", r"\.txt$", "-index.htm"))
+    asked = index.select(page.alias("url")).join(pages.select("url", F.lit("page").alias("got")), "url", "left").select(F.coalesce("got", F.lit("none")).alias("what"))
+    is_ = lambda *names: F.count_if(F.col("what").isin(*names))
+    c = asked.unionByName(events.select(F.col("kind").alias("what"))).agg(is_("page", "none").alias("candidates"), is_("page").alias("pages"), is_("filing").alias("filings"), is_("exhibit").alias("exhibits"))
+    return c.withColumn("errors", F.col("candidates") - F.col("filings"))
+
+
+__all__ = ["rss_items", "atom_items", "story_items", "filing_entries", "with_issuer_tickers", "halt_items", "filing_title", "index_page", "exhibit_href", "exhibit_headline", "rebuild_filings", "rebuild_counters", "item_id", "decode_entities"]
 
 
 # Halt codes and what they mean; all others are "Other".

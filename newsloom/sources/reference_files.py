@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from newsloom.functions.names import classify_form, normalize_symbol
 from newsloom.functions.text import trimmed
+from newsloom.functions.times import parse_ymd
 from newsloom.operators.reference import latest_per_key
 
 # Market tiers and exchange letters of the directory files.
@@ -44,9 +45,14 @@ def other_listed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def issuer_map(spark: SparkSession, path: str) -> DataFrame:
-    """(cik, security_name, ticker, exchange) of the JSON with ``fields`` and ``data``; columns by name, not place."""
-    raw = spark.read.schema("fields array<string>, data array<array<string>>").json(path, multiLine=True)
-    row = raw.select("fields", F.explode("data").alias("r"))
+    """(cik, security_name, ticker, exchange) of the JSON documents with ``fields`` and ``data``, one to a file."""
+    return issuer_rows(spark.read.text(path, wholetext=True))
+
+
+def issuer_rows(documents: DataFrame) -> DataFrame:
+    """The same of documents in a column ``value``; columns by name, not place."""
+    raw = documents.select(F.from_json("value", "fields array<string>, data array<array<string>>").alias("d"))
+    row = raw.select("d.fields", "d.data").select("fields", F.explode("data").alias("r"))
     at = lambda n: F.try_element_at("r", F.array_position("fields", n).cast("int"))
     return row.select(at("cik").try_cast("bigint").alias("cik"), at("name").alias("security_name"), normalize_symbol(at("ticker")).alias("ticker"), at("exchange").alias("exchange"))
 
@@ -83,7 +89,9 @@ IGNORED = ["other", "10q", "10k", "def14", "s8"]
 
 def master_index(spark: SparkSession, path: str) -> DataFrame:
     """(cik, company, form, cls, day, file) of a filing index: data rows have five fields and a numeric first one, so header text and rules drop out wherever they stand."""
-    f = F.split("value", r"\|")
+    parts = F.split("value", r"\|")
+    # By get, as a filter on a field may be tried on lines that have none.
+    f = [F.get(parts, F.lit(i)) for i in range(5)]
     cls = classify_form(f[2])
     day = F.coalesce(F.to_date(F.try_to_timestamp(trimmed(f[3]), F.lit("yyyy-MM-dd"))), F.to_date(F.try_to_timestamp(trimmed(f[3]), F.lit("yyyyMMdd"))))
     rows = spark.read.text(path).where(r"value rlike '^\\s*[0-9]+\\|([^|]*\\|){3}[^|]*$'")
@@ -93,3 +101,33 @@ def master_index(spark: SparkSession, path: str) -> DataFrame:
 def newest_frames(frames: DataFrame) -> DataFrame:
     """(cik, val, end) with the newest ``end`` per issuer over quarterly frames; of equal ends the first loaded."""
     return latest_per_key(frames, key=["cik"], order=[F.col("end"), -F.col("load_order")], take=["val", "end"])
+
+
+FILINGS = "cik bigint, day date, cls string, items bigint"
+
+
+def write_filings(filings: DataFrame, path: str) -> None:
+    """(cik, day, cls, items) as tab-separated lines, one row per (cik, day, cls)."""
+    filings.select("cik", "day", "cls", "items").write.mode("overwrite").options(sep="\t", dateFormat="yyyy-MM-dd").csv(path)
+
+
+def read_filings(spark: SparkSession, path: str) -> DataFrame:
+    """Filings of tab-separated lines; lines without issuer, day or class are left out, missing items are none."""
+    return _tsv(spark, path, FILINGS).where("cik is not null and day is not null and cls is not null").withColumn("items", F.coalesce("items", F.lit(0).cast("bigint")))
+
+
+def frame_values(documents: DataFrame, *, order: str) -> DataFrame:
+    """(cik, val, end, load_order) of quarterly frames, JSON documents in ``value``; rows without issuer, value or end are left out."""
+    d = documents.select(F.col(order).alias("load_order"), F.explode(F.from_json("value", "data array<struct<cik:bigint,val:double,end:string>>")["data"]).alias("x"))
+    return d.select("x.cik", "x.val", parse_ymd(F.col("x.end")).alias("end"), "load_order").where("cik is not null and val is not null and end is not null")
+
+
+def merged_facts(shares: DataFrame, floats: DataFrame) -> DataFrame:
+    """(cik, shares_outstanding, shares_asof, public_float_usd, float_asof) of the issuers of either; newest values of each."""
+    a = newest_frames(shares).select("cik", F.col("val").alias("shares_outstanding"), F.col("end").alias("shares_asof"))
+    return a.join(newest_frames(floats).select("cik", F.col("val").alias("public_float_usd"), F.col("end").alias("float_asof")), "cik", "full_outer")
+
+
+def candidates(index: DataFrame, listed: DataFrame, classes: list[str]) -> DataFrame:
+    """Index rows of the asked form classes whose issuer is in ``listed`` (cik)."""
+    return index.where(F.col("cls").isin(classes)).join(listed.select("cik").distinct(), "cik", "left_semi")

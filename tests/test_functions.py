@@ -47,7 +47,8 @@ def test_entities_and_html(spark):
 
 def test_headlines_and_numbers(spark):
     k = values(spark, text.headline_key, ["Acme Signs $20 Million Deal!", "ACME signs $20 million deal", "Acme’s Deal", "Acme's  Deal", "", None, "x" * 2000])
-    assert k[0] == k[1] and k[2] == k[3] and k[4] == "" and k[5] is None and len(k[6]) == 511
+    assert k[0] == k[1] and k[2] == k[3] and k[4] == "" and k[5] is None and len(k[6]) == 2000
+    assert values(spark, lambda c: text.headline_key(c, 511), ["x" * 2000, "a" * 510 + " b"]) == ["x" * 511, "a" * 510]
     assert values(spark, text.parse_long, ["12", "-3", "1.5", "1x", "", None]) == [12, -3, None, None, None, None]
     assert values(spark, text.parse_double, ["1.5", "-.5", "2e3", "x", "", None]) == [1.5, -0.5, 2000.0, None, None, None]
     assert values(spark, lambda c: text.truncate_utf8(c, 5), ["abcdefg", "ééééé", "日本", "", None]) == ["abcde", "éé", "日", "", None]
