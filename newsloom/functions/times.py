@@ -19,6 +19,11 @@ def utc(ns: Column) -> Column:
     return F.timestamp_seconds(((ns - F.pmod(ns, F.lit(NS))) / F.lit(NS)).cast("long"))
 
 
+def utc_micros(ns: Column) -> Column:
+    """Timestamp of whole microseconds, divided exactly."""
+    return F.timestamp_micros(((ns - F.pmod(ns, F.lit(1000))) / F.lit(1000)).cast("long"))
+
+
 def eastern(ns: Column) -> Column:
     """US Eastern wall time."""
     return F.from_utc_timestamp(utc(ns), ET)

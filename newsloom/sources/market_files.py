@@ -262,8 +262,8 @@ def with_symbols(rows: DataFrame, messages: DataFrame) -> DataFrame:
 
     Locates are numbers of one session: at most 65,536 to a session, joined by (session, locate).
     """
-    known = messages.where("type in ('R', 'H') and stock <> ''").groupBy("session", "locate").agg(F.max_by("stock", "seq").alias("stock"))
-    return rows.join(known, ["session", "locate"], "left").withColumn("ticker", normalize_symbol(F.col("stock"))).drop("stock")
+    known = messages.where("type in ('R', 'H') and stock <> ''").groupBy("session", "locate").agg(F.max_by("stock", "seq").alias("_stock"))
+    return rows.join(known, ["session", "locate"], "left").withColumn("ticker", normalize_symbol(F.col("_stock"))).drop("_stock")
 
 
 def session_counters(messages: DataFrame) -> DataFrame:

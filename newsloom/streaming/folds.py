@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from newsloom.functions.times import utc_micros
 from newsloom.operators.market import prints
 
 
@@ -78,13 +79,13 @@ def first_seen_stream(stream: DataFrame, *, key: str, time: str, id_col: str, so
 
 def deduplicated_stream(stream: DataFrame, *, keys: Sequence[str], time_ns: str, horizon: str = "1 day") -> DataFrame:
     """First row per key within the horizon; state is bounded by the watermark."""
-    return stream.withColumn("_ts", F.timestamp_micros(F.floor(F.col(time_ns) / 1000))).withWatermark("_ts", horizon).dropDuplicatesWithinWatermark(list(keys)).drop("_ts")
+    return stream.withColumn("_ts", utc_micros(F.col(time_ns))).withWatermark("_ts", horizon).dropDuplicatesWithinWatermark(list(keys)).drop("_ts")
 
 
 def minute_bars_stream(tape: DataFrame, *, late: str = "1 minute") -> DataFrame:
     """Final OHLCV bars, one per ticker and minute, once the watermark has passed the minute."""
     at = F.struct("ts_ns", "print_id")
-    t = prints(tape).withColumn("_ts", F.timestamp_micros(F.floor(F.col("ts_ns") / 1000))).withWatermark("_ts", late)
+    t = prints(tape).withColumn("_ts", utc_micros(F.col("ts_ns"))).withWatermark("_ts", late)
     bars = t.groupBy("ticker", F.window("_ts", "1 minute").alias("w")).agg(
         F.min_by("px_e4", at).alias("open_e4"), F.max("px_e4").alias("high_e4"), F.min("px_e4").alias("low_e4"), F.max_by("px_e4", at).alias("close_e4"), F.sum(F.col("shares").cast("long")).alias("volume"), F.count(F.lit(1)).alias("n_prints")
     )

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from newsloom.functions.times import utc_micros
 from newsloom.operators.late_counts import Slices, composed, usable_rows
 
 #: The stories of a source (and pane, where windows do not overlap) are remembered in so many parts.
@@ -60,7 +61,7 @@ def pane_counts(
     s = Slices(window_ns=window_ns, slide_ns=slide_ns, lateness_ns=lateness_ns, slot_ns=slot_ns)
     disorder_ns = lateness_ns if disorder_ns is None else disorder_ns
     x = usable_rows(stream, s, source=source, story=story, event_time=event_time, arrival=arrival).withColumn("story", F.col("story").cast("string"))
-    x = x.withColumn("arrived", F.timestamp_micros(F.floor(F.col("t") / 1000))).withWatermark("arrived", f"{-(-disorder_ns // 1_000_000)} milliseconds")
+    x = x.withColumn("arrived", utc_micros(F.col("t"))).withWatermark("arrived", f"{-(-disorder_ns // 1_000_000)} milliseconds")
     part = F.col("pane") if s.apart else F.lit(0).cast("long")
     x = x.withColumns({"part": part, "bucket": F.pmod(F.xxhash64("story"), F.lit(BUCKETS))})
     held_ns = s.window + s.lateness

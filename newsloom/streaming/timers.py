@@ -15,11 +15,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from newsloom.functions.times import utc_micros
+
 MS = 1_000_000
 
 
 def _timed(df: DataFrame, time_ns: str, disorder: str) -> DataFrame:
-    return df.withColumn("_ts", F.timestamp_micros(F.floor(F.col(time_ns) / 1000))).withWatermark("_ts", disorder)
+    return df.withColumn("_ts", utc_micros(F.col(time_ns))).withWatermark("_ts", disorder)
 
 
 def _wake(held: GroupState, at_ns: int) -> None:

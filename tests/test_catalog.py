@@ -5,7 +5,7 @@ from compare import DATA, assert_same
 from pyspark.sql import functions as F
 
 from newsloom.operators import journal, ordered, reference
-from newsloom.plans import catalog
+from newsloom.plans import catalog, files_catalog, more_catalog  # noqa: F401
 
 
 @pytest.mark.parametrize("name", sorted(catalog.queries()))
@@ -46,3 +46,38 @@ def test_empty_inputs(spark):
     assert ordered.cooled_down(e, keys=["k"], time="t", id_col="i", cooldown=5).count() == 0
     assert ordered.state_changes(e, keys=["k"], time="t", id_col="i", state="s").count() == 0
     assert journal.first_seen(e, key="k", time="t", id_col="i", source="s").count() == 0
+
+
+def test_exact_medians(spark):
+    """Against the library's median: skewed groups, ties, zeros, negatives, nulls, NaN and a null group."""
+    import random
+    import statistics
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a"] * 8 + ["b", None]), rnd.choice([None, float("nan"), 0.0, -0.0, 1.0, 1.0, rnd.uniform(-5, 5), rnd.lognormvariate(0, 9), -rnd.lognormvariate(0, 9), 2.0 ** rnd.randint(-70, 60)])) for _ in range(4000)]
+    rows += [("one", 3.5), ("none", None)]
+    got = {r.g: r.m for r in journal.exact_medians(spark.createDataFrame(rows, "g string, v double"), group=["g"], values={"m": F.col("v")}).collect()}
+    want = {}
+    for g, v in rows:
+        if v is not None and v == v:
+            want.setdefault(g, []).append(v)
+    assert got == {g: statistics.median(v) for g, v in want.items()}
+
+
+def test_seconds_are_exact(spark):
+    """The quotient of these nanoseconds by doubles is the next second."""
+    from newsloom.functions import times
+
+    ns = [1772433625999999999, 1772433625999999990, 0, -1, None]
+    got = [r[0] for r in spark.createDataFrame([(i, n) for i, n in enumerate(ns)], "i int, n long").orderBy("i").select(F.unix_seconds(times.utc(F.col("n")))).collect()]
+    assert got == [1772433625, 1772433625, 0, -1, None]
+
+
+def test_merge_by_time_and_counters(spark):
+    a = spark.createDataFrame([("k", 5, 1), ("k", None, 2), ("k", 9, 3)], "k string, t long, i long")
+    b = spark.createDataFrame([("k", 5, 7), ("k", 5, 6)], "k string, u long, j long")
+    assert [(r.time, r.kind, r.id) for r in ordered.merged_by_time({"b": (b, "u", "j"), "a": (a, "t", "i")}, keys=["k"]).collect()] == [(5, "b", 6), (5, "b", 7), (5, "a", 1), (9, "a", 3)]
+    s = spark.createDataFrame([("x", 1, 60), ("x", 1, 10), ("x", 2, None), (None, 3, 90)], "src string, id long, score int")
+    got = {r.src: (r["items"], r.hot) for r in journal.source_counters(s, source="src", id_col="id", stages={"hot": F.col("score") >= 55}).collect()}
+    assert got == {"x": (3, 1), None: (1, 1)}
+    assert [r[0] for r in s.select(journal.score_bucket(F.col("score"))).collect()] == ["55-64", "<55", None, "85+"]

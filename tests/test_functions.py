@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import names, text, times, urls
 from newsloom.operators import journal, market, phrases
 
-BASE = 1_790_337_600 * 10**9  # 2026-09-25T12:00:00Z
+BASE = 1_746_532_800 * 10**9  # 2025-05-06T12:00:00Z
 
 
 def values(spark, f, items, kind="string"):
@@ -15,9 +15,9 @@ def values(spark, f, items, kind="string"):
 
 
 def test_dates(spark):
-    rfc = ["Fri, 25 Sep 2026 12:00:00 GMT", "Fri, 25 Sep 2026 12:00 GMT", "25 Sep 2026 08:00:00 -0400", "Fri, 25 Sep 2026 08:00:00 EDT", "25-Sep-26 12:00:00 +0000", "Fri, 25 Sep 2026 12:00:00 XYZ", "garbage", None, ""]
+    rfc = ["Tue, 06 May 2025 12:00:00 GMT", "Tue, 06 May 2025 12:00 GMT", "06 May 2025 08:00:00 -0400", "Tue, 06 May 2025 08:00:00 EDT", "06-May-25 12:00:00 +0000", "Tue, 06 May 2025 12:00:00 XYZ", "garbage", None, ""]
     assert values(spark, times.parse_rfc822, rfc) == [BASE] * 6 + [None] * 3
-    iso = ["2026-09-25T08:00:00-04:00", "2026-09-25T12:00:00Z", "2026-09-25T12:00:00", "2026-09-25 12:00:00.250Z", "2026-09-25T12:00:00.123456789123Z", "2026-09-25", "2026-13-25", "2026-09-25T12:00:00QQ", None]
+    iso = ["2025-05-06T08:00:00-04:00", "2025-05-06T12:00:00Z", "2025-05-06T12:00:00", "2025-05-06 12:00:00.250Z", "2025-05-06T12:00:00.123456789123Z", "2025-05-06", "2025-13-06", "2025-05-06T12:00:00QQ", None]
     day = BASE - 12 * 3600 * 10**9
     assert values(spark, times.parse_iso8601, iso) == [BASE] * 3 + [BASE + 250_000_000, BASE + 123_456_789, day, None, None, None]
     assert values(spark, times.parse_any_datetime, [iso[0], rfc[0], "x"]) == [BASE, BASE, None]
@@ -26,27 +26,27 @@ def test_dates(spark):
 def test_eastern(spark):
     s = 10**9
     open_ = BASE + 5400 * s
-    rows = spark.createDataFrame([("09/25/2026", "09:30:00"), ("09/25/2026", "09:30:00.500"), ("9/25/2026", ""), ("x", "09:30:00"), ("09/25/2026", "x")], "d string, t string")
+    rows = spark.createDataFrame([("05/06/2025", "09:30:00"), ("05/06/2025", "09:30:00.500"), ("5/6/2025", ""), ("x", "09:30:00"), ("05/06/2025", "x")], "d string, t string")
     midnight = BASE - 8 * 3600 * s
     assert [r[0] for r in rows.select(times.parse_eastern(F.col("d"), F.col("t"))).collect()] == [open_, open_ + 500_000_000, midnight, None, None]
     dst = [1772953140 * s, 1772953200 * s]  # 2026-03-08 06:59 and 07:00 UTC
     assert values(spark, times.eastern_hms, [open_, *dst], "bigint") == ["09:30:00", "01:59:00", "03:00:00"]
     assert values(spark, times.eastern_minute, [open_], "bigint") == [570]
-    assert values(spark, times.utc_iso, [open_ + 1_999_999, None], "bigint") == ["2026-09-25T13:30:00.001Z", None]
+    assert values(spark, times.utc_iso, [open_ + 1_999_999, None], "bigint") == ["2025-05-06T13:30:00.001Z", None]
     assert values(spark, times.volume_fraction, [0, 239, 570, 600, 960, 1200], "int") == pytest.approx([0, 0, 0.04, 0.04 + 0.92 * 0.13, 0.96, 1])
 
 
 def test_entities_and_html(spark):
-    assert values(spark, text.decode_entities, ["AT&amp;T &lt;b&gt; &#8217;s &#x2014; &unknown; &", "&amp;lt;", "", None, "&#0; &#99999999;", "&#xD800;"]) == ["AT&T <b> ’s — &unknown; &", "&lt;", "", None, "&#0; &#99999999;", "&#xD800;"]
-    html = ["<p>Hello&nbsp;<b>world</b></p><script>var x=1;</script><p>Next &amp; last</p><!-- c -->", "a < b", "<![CDATA[<p>in</p>]]> out", "x<br/>y", "soft&shy;hyphen", "<style>p{}", "open <b", None, "", " <p> </p> "]
-    assert values(spark, text.html_to_text, html) == ["Hello world Next & last", "a < b", "in out", "x y", "softhyphen", "", "open", None, "", ""]
-    assert values(spark, text.html_to_lines, ["<p>Headline</p><p>Body text</p>"]) == ["Headline\nBody text"]
-    assert values(spark, text.html_core, html[:1]) == ["Hello world Next & last"]
+    assert values(spark, text.decode_entities, ["Salt&amp;Co &lt;i&gt; &#8217;n &#x2014; &mystery; &", "&amp;lt;", "", None, "&#0; &#99999999;", "&#xD800;"]) == ["Salt&Co <i> ’n — &mystery; &", "&lt;", "", None, "&#0; &#99999999;", "&#xD800;"]
+    html = ["<p>Warm&nbsp;<b>bricks</b></p><script>let k=3;</script><p>Ash &amp; soot</p><!-- k -->", "a < b", "<![CDATA[<p>in</p>]]> out", "x<br/>y", "fire&shy;clay", "<style>p{}", "open <b", None, "", " <p> </p> "]
+    assert values(spark, text.html_to_text, html) == ["Warm bricks Ash & soot", "a < b", "in out", "x y", "fireclay", "", "open", None, "", ""]
+    assert values(spark, text.html_to_lines, ["<p>Kiln opens</p><p>It is warm</p>"]) == ["Kiln opens\nIt is warm"]
+    assert values(spark, text.html_core, html[:1]) == ["Warm bricks Ash & soot"]
     assert values(spark, text.html_to_text, ["<p>" + "word " * 100_000 + "</p>"])[0] == ("word " * 100_000).strip()
 
 
 def test_headlines_and_numbers(spark):
-    k = values(spark, text.headline_key, ["Acme Signs $20 Million Deal!", "ACME signs $20 million deal", "Acme’s Deal", "Acme's  Deal", "", None, "x" * 2000])
+    k = values(spark, text.headline_key, ["Quill Lends 31 Kilns, Again!", "QUILL lends 31 kilns again", "Quill’s Loan", "Quill's  Loan", "", None, "x" * 2000])
     assert k[0] == k[1] and k[2] == k[3] and k[4] == "" and k[5] is None and len(k[6]) == 2000
     assert values(spark, lambda c: text.headline_key(c, 511), ["x" * 2000, "a" * 510 + " b"]) == ["x" * 511, "a" * 510]
     assert values(spark, text.parse_long, ["12", "-3", "1.5", "1x", "", None]) == [12, -3, None, None, None, None]
@@ -57,10 +57,10 @@ def test_headlines_and_numbers(spark):
 
 
 def test_names(spark):
-    company = ["Acme Robotics, Inc. - Common Stock", "ACME ROBOTICS, INC.", "The Macy's Group Holdings Ltd.", "Johnson & Johnson", "Big Cap Corp - Class A Common Stock", "Inc", None]
-    assert values(spark, names.normalize_company, company) == ["ACME ROBOTICS", "ACME ROBOTICS", "MACYS", "JOHNSON AND JOHNSON", "BIG CAP", "INC", None]
+    company = ["Quillfeather Kilns, Inc. - Common Stock", "QUILLFEATHER KILNS, INC.", "The Weir's Edge Holdings Ltd.", "Salt & Tallow", "Low Tide Corp - Class B Common Stock", "Inc", None]
+    assert values(spark, names.normalize_company, company) == ["QUILLFEATHER KILNS", "QUILLFEATHER KILNS", "WEIRS EDGE", "SALT AND TALLOW", "LOW TIDE", "INC", None]
     assert values(spark, names.normalize_symbol, [" brk-b ", "BRK/B", "BRK B", None]) == ["BRK.B"] * 3 + [None]
-    assert values(spark, names.is_derivative, ["Acme Warrants", "United Corp", "Acme Unit", "Bright Co"]) == [True, False, True, False]
+    assert values(spark, names.is_derivative, ["Quill Warrants", "Unity Corp", "Quill Unit", "Brightside Co"]) == [True, False, True, False]
     forms = ["424B5", "S-1/A", "f-3", "EFFECT", "8-K", "6-K", "NT 10-Q", "SC 13G", " S-8 POS", "DEF 14A"]
     assert values(spark, names.classify_form, forms) == ["424b", "s1", "s3", "effect", "8k", "6k", "nt", "other", "s8", "def14"]
     assert values(spark, names.items_mask, ["Item 1.01: x; ITEM 9.01", "item 6.06", None]) == [1 | 1 << 31, 0, 0]
@@ -75,10 +75,10 @@ def test_urls(spark):
 
 
 def test_amounts_and_tags(spark):
-    amounts = ["a $20.5M order", "valued at US$3,000,000 over", "$1.2 billion deal", "at $2.50 per share", "contracts worth up to $10 million", "targets the $4 billion addressable market", "$5 and $7 thousand", "", None, "none"]
-    assert values(spark, phrases.dollar_amount, amounts) == [20.5e6, 3e6, 1.2e9, 0, 10e6, 0, 7000, 0, 0, 0]
-    tags = values(spark, phrases.ticker_tags, ["Acme (NASDAQ: ACMR, ACMRW) and (TSXV:ECM)", "(NYSE: A and B)", "Nasdaq: The deal", "xnasdaq: AB", None, "(NYSE American: FOXT.)"])
-    assert [[tuple(t) for t in x] for x in tags] == [[("US", "NASDAQ", "ACMR"), ("US", "NASDAQ", "ACMRW"), ("Foreign", "TSXV", "ECM")], [("US", "NYSE", "A"), ("US", "NYSE", "B")], [], [], [], [("US", "NYSE", "FOXT")]]
+    amounts = ["a $31.5M kiln", "priced near US$7,100,000 in", "$2.4 billion quarry", "near $4.75 per share", "bricks for up to $12 million", "in a $9 billion addressable market", "$5 and $7 thousand", "", None, "none"]
+    assert values(spark, phrases.dollar_amount, amounts) == [31.5e6, 7.1e6, 2.4e9, 0, 12e6, 0, 7000, 0, 0, 0]
+    tags = values(spark, phrases.ticker_tags, ["Quill (NASDAQ: QLFK, QLFKW) and (TSXV:LODN)", "(NYSE: A and B)", "Nasdaq: The deal", "xnasdaq: AB", None, "(NYSE American: PEBL.)"])
+    assert [[tuple(t) for t in x] for x in tags] == [[("US", "NASDAQ", "QLFK"), ("US", "NASDAQ", "QLFKW"), ("Foreign", "TSXV", "LODN")], [("US", "NYSE", "A"), ("US", "NYSE", "B")], [], [], [], [("US", "NYSE", "PEBL")]]
 
 
 def test_tags_of_cross_listings(spark):
@@ -91,7 +91,7 @@ def test_tags_of_cross_listings(spark):
 
 
 def test_phrases(spark):
-    df = spark.createDataFrame([(1, "FDA approves Acme device in a large amount"), (2, "enters at-the-market program; AT THE MARKET"), (3, None), (4, ""), (5, "...")], "id long, t string")
+    df = spark.createDataFrame([(1, "FDA approves a kiln lining in a large amount"), (2, "stands at-the-market all day; AT THE MARKET"), (3, None), (4, ""), (5, "...")], "id long, t string")
     got = sorted(tuple(r) for r in phrases.match_phrases(df, ["fda approv*", "mou", "at the market", "approves"], id_col="id", text_col="t").select("id", "rule", "n").collect())
     assert got == [(1, 0, 1), (1, 3, 1), (2, 2, 2)]
     with pytest.raises(ValueError):

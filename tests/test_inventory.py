@@ -7,14 +7,14 @@ from newsloom.functions import urls
 from newsloom.operators import market
 from newsloom.sources import feeds
 
-BASE = 1_790_337_600 * 10**9
+BASE = 1_746_532_800 * 10**9
 M = market.MINUTE
-ATOM = """<feed xmlns:a10="http://a/"><title>Feed</title><entry><id>u1</id><title>Acme (NASDAQ: ACMR) Signs</title><link rel="self" href="https://w/self"/><link rel="alternate" href="https://w/1"/><category term="NYSE:BRVO"/>
-<published>2026-09-25T08:00:00-04:00</published><updated>2026-09-26T08:00:00-04:00</updated><summary> </summary><content type="html">&lt;p&gt;Body (TSX: ECM)&lt;/p&gt;</content></entry>
-<entry><id>u2</id><title>b</title><link href="https://w/2"/><published>?</published><updated>2026-09-25T12:00:00Z</updated><summary>sum</summary><content>no</content></entry></feed>"""
-RSS = """<rss xmlns:a10="http://a/"><channel><item><guid>1</guid><link>https://w/3</link><title>c</title><a10:updated>2026-09-25T12:00:00Z</a10:updated><content>text</content></item></channel></rss>"""
-FILINGS = """<feed><entry><title>8-K - ACME (0000000007) (Filer)</title><link href="s"/><summary>Item 1.01: x Item 8.01: y Item 9.01: z</summary><updated>2026-09-25T08:00:00-04:00</updated><id>u1</id></entry>
-<entry><title>S-3 - BRAVO (0000000008) (Filer)</title><link href="t"/><updated>2026-09-25T08:00:00-04:00</updated><id>u2</id></entry></feed>"""
+ATOM = """<feed xmlns:a10="http://a/"><title>Feed</title><entry><id>u1</id><title>Quill (NASDAQ: QLFK) Signs</title><link rel="self" href="https://w/self"/><link rel="alternate" href="https://w/1"/><category term="NYSE:TARN"/>
+<published>2025-05-06T08:00:00-04:00</published><updated>2025-05-07T08:00:00-04:00</updated><summary> </summary><content type="html">&lt;p&gt;Body (TSX: LODN)&lt;/p&gt;</content></entry>
+<entry><id>u2</id><title>b</title><link href="https://w/2"/><published>?</published><updated>2025-05-06T12:00:00Z</updated><summary>sum</summary><content>no</content></entry></feed>"""
+RSS = """<rss xmlns:a10="http://a/"><channel><item><guid>1</guid><link>https://w/3</link><title>c</title><a10:updated>2025-05-06T12:00:00Z</a10:updated><content>text</content></item></channel></rss>"""
+FILINGS = """<feed><entry><title>8-K - QUILL (0000000007) (Filer)</title><link href="s"/><summary>Item 1.01: x Item 8.01: y Item 9.01: z</summary><updated>2025-05-06T08:00:00-04:00</updated><id>u1</id></entry>
+<entry><title>S-3 - TARNWATER (0000000008) (Filer)</title><link href="t"/><updated>2025-05-06T08:00:00-04:00</updated><id>u2</id></entry></feed>"""
 
 
 def test_atom_stories(spark, tmp_path):
@@ -22,18 +22,18 @@ def test_atom_stories(spark, tmp_path):
     (tmp_path / "in" / "a.xml").write_text(ATOM)
     (tmp_path / "in" / "r.xml").write_text(RSS)
     got = {r.title: r for r in feeds.story_items(spark, str(tmp_path / "in")).collect()}
-    first, second, third = got["Acme (NASDAQ: ACMR) Signs"], got["b"], got["c"]
+    first, second, third = got["Quill (NASDAQ: QLFK) Signs"], got["b"], got["c"]
     assert len(got) == 3 and [r.published_ns for r in (first, second, third)] == [BASE] * 3
-    assert [(r.link, r.body) for r in (first, second, third)] == [("https://w/1", "Body (TSX: ECM)"), ("https://w/2", "sum"), ("https://w/3", "text")]
-    assert [t.symbol for t in first.tags] == ["BRVO", "ACMR", "ECM"]
+    assert [(r.link, r.body) for r in (first, second, third)] == [("https://w/1", "Body (TSX: LODN)"), ("https://w/2", "sum"), ("https://w/3", "text")]
+    assert [t.symbol for t in first.tags] == ["TARN", "QLFK", "LODN"]
     assert len({r.id for r in got.values()}) == 3
 
 
 def test_filing_headline_and_tickers(spark, tmp_path):
     (tmp_path / "f.xml").write_text(FILINGS)
-    master = spark.createDataFrame([(7, "ACMW", "Acme Warrants", True, 1), (7, "ACMRA", "Acme", True, 2), (7, "ACMR", "Acme", True, 3)], "cik long, ticker string, security_name string, listed boolean, load_order int")
+    master = spark.createDataFrame([(7, "QLFW", "Quill Warrants", True, 1), (7, "QLFKA", "Quill", True, 2), (7, "QLFK", "Quill", True, 3)], "cik long, ticker string, security_name string, listed boolean, load_order int")
     got = sorted(tuple(r) for r in feeds.with_issuer_tickers(feeds.filing_entries(spark, str(tmp_path / "f.xml")), master).select("cik", "headline", "tickers").collect())
-    assert got == [(7, "8-K ACME: Entry into a Material Definitive Agreement; Other Events", ["ACMR", "ACMW", "ACMRA"]), (8, "S-3 BRAVO", [])]
+    assert got == [(7, "8-K QUILL: Entry into a Material Definitive Agreement; Other Events", ["QLFK", "QLFW", "QLFKA"]), (8, "S-3 TARNWATER", [])]
 
 
 def test_minute_lookups(spark):
@@ -46,6 +46,6 @@ def test_minute_lookups(spark):
 def test_rvol_and_names(spark):
     df = spark.createDataFrame([(100, 1000.0, 960), (100, 1000.0, 0), (100, 0.0, 960), (100, None, 960)], "v long, adv double, m int")
     assert [r[0] for r in df.select(market.rvol(F.col("v"), F.col("adv"), F.col("m"))).collect()] == pytest.approx([100 / 960, 50, 0, 0])
-    f = spark.createDataFrame([("edgar/data/7/0001-26-000002.txt", "/x/09252026.NASDAQ_ITCH50.gz"), ("a", "x/0925"), (None, None)], "a string, b string")
-    assert [tuple(r) for r in f.select(urls.accession(F.col("a")), urls.session_name_date(F.col("b"))).collect()] == [("0001-26-000002", "2026-09-25"), ("a", None), (None, None)]
-    assert spark.range(1).select(urls.date_session_name(F.lit("2026-09-25")), urls.date_session_name(F.lit("x"))).first() == ("09252026", None)
+    f = spark.createDataFrame([("edgar/data/7/0001-26-000002.txt", "/x/05062025.NASDAQ_ITCH50.gz"), ("a", "x/0506"), (None, None)], "a string, b string")
+    assert [tuple(r) for r in f.select(urls.accession(F.col("a")), urls.session_name_date(F.col("b"))).collect()] == [("0001-26-000002", "2025-05-06"), ("a", None), (None, None)]
+    assert spark.range(1).select(urls.date_session_name(F.lit("2025-05-06")), urls.date_session_name(F.lit("x"))).first() == ("05062025", None)

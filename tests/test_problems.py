@@ -97,3 +97,20 @@ def test_display_symbols(spark):
 
     df = spark.createDataFrame([(" brk/b ",), ("BRK-B",), ("brk b",), ("BRK.B\t",), ("",), (" ",), (None,)], "k string")
     assert [r[0] for r in df.select(display_symbol(F.col("k"))).collect()] == ["BRK.B"] * 4 + [None] * 3
+
+
+def test_one_entity_in_many_slices(spark):
+    """A hot entity cut into hundreds of slices, with many events at one time, against a plain join."""
+    e = spark.range(6000).selectExpr("'H' e", "id", "if(id % 3 = 0, 500, (id * 7919) % 10007) t")
+    c = spark.range(3000).selectExpr("'H' e", "id v", "(id * 104729) % 10007 vf", "(id * 104729) % 10007 + id % 50 kn", "double(id % 5) x")
+    got = attributes_asof(e, c, entity="e", event_id="id", event_time="t", version="v", valid="vf", known="kn", fields=["x"], group_rows=20)
+    best = e.join(c.where("x > 0").drop("e"), (F.col("vf") <= F.col("t")) & (F.col("kn") <= F.col("t"))).groupBy("id").agg(F.max(F.struct("vf", "kn", "v"))["v"].alias("v"))
+    assert sorted(map(tuple, got.select("id", "v").collect())) == sorted(map(tuple, best.collect()))
+
+
+def test_late_counts_of_stories_in_several_panes(spark):
+    """Windows of 10 every 5. Story a is told in panes 0, 5 and 20: once in window 0, whichever pane it arrived in first."""
+    rows = [("s", "a", 1, 12, ""), ("s", "a", 6, 11, ""), ("s", "a", 21, 33, ""), ("s", "b", 7, 16, ""), ("s", "b", 8, 50, "")]
+    got = late(spark, rows, slide_ns=5, corrections_only=False)
+    # window -5: a (12, late); 0: a (11, late) and b (16, late); 5: a (11, in time) and b (16, late); 15 and 20: a (33).
+    assert got == sorted([("s", -5, 0), ("s", -5, 1), ("s", 0, 0), ("s", 0, 1), ("s", 0, 2), ("s", 5, 1), ("s", 5, 2), ("s", 15, 0), ("s", 15, 1), ("s", 20, 0), ("s", 20, 1)])

@@ -1,10 +1,14 @@
 """Exchange sessions whose gzip stream breaks off."""
 
 import gzip
+import io
 import random
 import zlib
 
-from newsloom.sources import market_files
+import pytest
+
+from newsloom.operators import book
+from newsloom.sources import landing, market_files
 
 
 def test_truncated_gzip_gives_all_whole_messages(spark, tmp_path):
@@ -29,3 +33,60 @@ def test_more_than_a_block(tmp_path):
         with gzip.open(tmp_path / name, "rb") as f:
             seqs = [b.column("seq") for b in market_files.read_messages(f, "s")]
         assert sum(map(len, seqs)) == n and seqs[-1][-1].as_py() == n - 1
+
+
+class Failing(io.RawIOBase):
+    """A stream whose second read fails."""
+
+    def __init__(self, data):
+        self.data, self.reads = data, 0
+
+    def readable(self):
+        return True
+
+    def readinto(self, into):
+        self.reads += 1
+        if self.reads > 1:
+            raise OSError("disk gone")
+        n = min(len(into), len(self.data))
+        into[:n] = self.data[:n]
+        return n
+
+
+def test_a_failing_read_is_an_error():
+    msg = market_files.encode_message("D", 1, 5, ref=7)
+    with pytest.raises(OSError, match="disk gone"):
+        list(market_files.read_messages(io.BufferedReader(Failing(msg * 500), 1 << 12), "s"))
+
+
+def test_folders_and_patterns(spark, tmp_path):
+    msg = market_files.encode_message("D", 1, 5, ref=7)
+    (tmp_path / "in" / "sub").mkdir(parents=True)
+    for name in ("a1.gz", "a2.gz", "sub/b.gz", "_ignored.gz"):
+        (tmp_path / "in" / name).write_bytes(gzip.compress(msg))
+    files = lambda p: [f.rsplit("/", 1)[-1] for f in market_files.session_files(p)]
+    assert files(f"{tmp_path}/in") == ["a1.gz", "a2.gz", "b.gz"] and files(f"{tmp_path}/in/a*.gz") == ["a1.gz", "a2.gz"] and files(f"file://{tmp_path}/in/a1.gz") == ["a1.gz"]
+    spark.dataSource.register(market_files.SessionSource)
+    assert spark.read.format("exchange_session").load(f"file://{tmp_path}/in").count() == 3
+
+
+def test_references_beyond_doubles_survive_beside_nulls(spark):
+    """A replacement's new reference shares its column with nulls; the delete of it must hit."""
+    big = 2**53 + 1
+    rows = [("s", 1, 1, 0, "A", big - 2, None, "B", 10, 500), ("s", 1, 2, 0, "U", big - 2, big, None, 8, 600), ("s", 1, 3, 0, "A", big - 1, None, "B", 5, 400), ("s", 1, 4, 0, "D", big, None, None, None, None)]
+    m = spark.createDataFrame(rows, "session string, locate int, seq long, ts_ns long, type string, ref long, new_ref long, side string, shares long, px_e4 long")
+    tops = [(r.seq, r.bid_e4, r.bid_size) for r in book.tops_of_book(m).orderBy("seq").collect()]
+    assert tops == [(1, 500, 10), (2, 600, 8), (4, 400, 5)]
+    assert [(r.px_e4, r.shares) for r in book.depth_after(m).collect()] == [(400, 5)]
+
+
+def test_recorded_sessions_read_back(spark, tmp_path):
+    rows = [("s1", 1, 1, 9, "A", 2**60 + 1, "B", 10, 500, None), ("s1", 2, 1, 10, "D", 2**60 + 1, None, None, None, None), ("s2", 1, 7, 1, "R", None, None, 100, None, "QLFK")]
+    m = spark.createDataFrame(rows, "session string, seq long, locate int, ts_ns long, type string, ref long, side string, shares long, px_e4 long, stock string")
+    assert sorted(map(tuple, landing.land_sessions(m, f"{tmp_path}/out").collect())) == [("s1", 2), ("s2", 1)]
+    spark.dataSource.register(market_files.SessionSource)
+    back = spark.read.format("exchange_session").load(f"{tmp_path}/out")
+    assert sorted((r.session, r.seq, r.type, r.locate, r.ref or 0) for r in back.collect()) == [("s1", 0, "A", 1, 2**60 + 1), ("s1", 1, "D", 1, 2**60 + 1), ("s2", 0, "R", 7, 0)]
+    named = market_files.with_symbols(back, back)
+    assert sorted(str(r.ticker) for r in named.collect()) == ["None", "None", "QLFK"]
+    assert sorted(map(tuple, market_files.session_counters(back).select("session", "messages", "orders", "unknown_refs").collect())) == [("s1", 2, 1, 0), ("s2", 1, 0, 0)]
