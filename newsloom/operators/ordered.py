@@ -144,35 +144,73 @@ def runs_apart(df: DataFrame, *, keys: Sequence[str], time: str, tie: Sequence[s
     return with_last(x, keys=keys, time=time, tie=tie, value=first, name=name, width=width, inclusive=True).drop("_prev")
 
 
+def _kept_rows(rows: DataFrame, *, keys: Sequence[str], time: str, id_col: str, state: str | None, pause: int) -> DataFrame:
+    """Rows ``(id_col)`` that are kept: ``pause`` after the last kept row of the key, or in another state than it (if ``state`` is given).
+
+    What is kept after a row is found for all rows of a batch at once (a binary
+    search by time, and the next change of state); then all keys follow these
+    steps side by side. Only the last kept row of the last key goes on to the next batch.
+    """
+    runs = runs_apart(rows, keys=keys, time=time, tie=[id_col], gap=pause)
+    by = [*keys, "run"]
+    cols = [*by, time, id_col, *([state] if state else [])]
+
+    def run(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pandas as pd
+        import pyarrow as pa
+
+        last = None
+        for b in batches:
+            b = pa.Table.from_batches([b])
+            if not len(b):
+                continue
+            carried = last is not None and all(last[c][0].as_py() == b[c][0].as_py() for c in by)
+            if carried:
+                b = pa.concat_tables([last.cast(b.schema), b])
+            t = b[time].to_numpy()
+            codes = [pd.factorize(pd.array(b[c].to_pandas(types_mapper=pd.ArrowDtype)), use_na_sentinel=False)[0] for c in (*by, *([state] if state else []))]
+            new = np.zeros(len(t), bool)
+            new[0] = True
+            for c in codes[: len(by)]:
+                new[1:] |= c[1:] != c[:-1]
+            group = np.cumsum(new) - 1
+            # A place orders rows by key, then time; the times of a key ascend already.
+            distinct, rank = np.unique(t, return_inverse=True)
+            wide = len(distinct) + 1
+            step = np.searchsorted(group * wide + rank, group * wide + np.searchsorted(distinct, t + pause))
+            ends = np.append(np.flatnonzero(new)[1:], len(t))[group]
+            if state:
+                change = np.append(np.flatnonzero((codes[-1][1:] != codes[-1][:-1]) | new[1:]) + 1, len(t))
+                step = np.minimum(step, change[np.searchsorted(change, np.arange(len(t)), side="right")])
+            step = np.maximum(step, np.arange(len(t)) + 1)
+            kept = np.zeros(len(t), bool)
+            at = np.flatnonzero(new)
+            while len(at):
+                kept[at] = True
+                to = step[at]
+                at = to[to < ends[at]]
+            last = b.slice(int(np.flatnonzero(kept)[-1]), 1)
+            if carried:
+                kept[0] = False
+            yield from b.select([id_col]).filter(pa.array(kept)).combine_chunks().to_batches()
+
+    return runs.select(*cols).repartition(*by).sortWithinPartitions(*by, time, id_col).mapInArrow(run, f"{id_col} {dict(rows.dtypes)[id_col]}")
+
+
 def cooled_down(df: DataFrame, *, keys: Sequence[str], time: str, id_col: str, cooldown: int) -> DataFrame:
     """Rows ``(id_col)`` that pass: at least ``cooldown`` after the last row of the key that passed.
 
     Null times never pass. Of rows at one time the smallest id comes first.
     """
-    rows = df.select(*keys, F.col(id_col), F.col(time)).where(F.col(time).isNotNull())
-    runs = runs_apart(rows, keys=keys, time=time, tie=[id_col], gap=cooldown)
-    i_time, i_id = runs.columns.index(time), runs.columns.index(id_col)
-
-    def step(last, row):
-        if last is None or row[i_time] - last >= cooldown:
-            return row[i_time], (row[i_id],)
-        return last, None
-
-    return fold_sorted(runs, keys=[*keys, "run"], order=[time, id_col], step=step, start=lambda: None, out=f"{id_col} {dict(df.dtypes)[id_col]}")
+    rows = df.select(*keys, F.col(id_col), F.col(time).cast("long").alias(time)).where(F.col(time).isNotNull())
+    return _kept_rows(rows, keys=keys, time=time, id_col=id_col, state=None, pause=cooldown)
 
 
 def repeats_dropped(df: DataFrame, *, keys: Sequence[str], time: str, id_col: str, state: str, within: int) -> DataFrame:
     """Rows ``(id_col)`` that are kept: another state than the last kept row of the key, or ``within`` later than it."""
-    rows = df.select(*keys, F.col(id_col), F.col(time), F.col(state)).where(F.col(time).isNotNull())
-    runs = runs_apart(rows, keys=keys, time=time, tie=[id_col], gap=within)
-    i_time, i_id, i_state = (runs.columns.index(c) for c in (time, id_col, state))
-
-    def step(last, row):
-        if last is None or last[1] != row[i_state] or row[i_time] - last[0] >= within:
-            return (row[i_time], row[i_state]), (row[i_id],)
-        return last, None
-
-    return fold_sorted(runs, keys=[*keys, "run"], order=[time, id_col], step=step, start=lambda: None, out=f"{id_col} {dict(df.dtypes)[id_col]}")
+    rows = df.select(*keys, F.col(id_col), F.col(time).cast("long").alias(time), F.col(state)).where(F.col(time).isNotNull())
+    return _kept_rows(rows, keys=keys, time=time, id_col=id_col, state=state, pause=within)
 
 
 def state_changes(df: DataFrame, *, keys: Sequence[str], time: str, id_col: str, state: str, quiet_first: str | None = None) -> DataFrame:

@@ -12,7 +12,7 @@ from newsloom.functions import names, text, times
 from newsloom.operators import book, market
 from newsloom.plans.catalog import DAY, ET, HOUR, MASTER, MIN, S, _master, query
 from newsloom.runtime import cut, scratch, table
-from newsloom.sources import feeds, journal_files, landing, market_files, reference_files
+from newsloom.sources import alerts, feeds, journal_files, landing, market_files, polling, reference_files
 
 WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SYMBOL = f"translate(upper(trim({{0}}, {WS})), '-/ ', '...')"
@@ -487,3 +487,54 @@ def tops_of_book(spark, d):
 @query("q90_directory_symbols", f"select distinct ticker, 'Q' as category, 'N' as status from {USABLE} where ticker not in (select ticker from symbol_info where ticker < 'N')")
 def directory_symbols(spark, d):
     return market_files.missing_symbols(_session(spark, d), table(spark, d, "symbol_info").where("ticker < 'N'"))
+
+
+# ---- polling, tapes and alerts -----------------------------------------------------------------
+
+
+@query("q124_changed_documents", "select row_id from (select *, lag(md5(b)) over (partition by ticker order by loaded_ns, row_id) as was from (select row_id, ticker, loaded_ns, security_name as b from symbol_snapshots where loaded_ns is not null and security_name is not null)) where md5(b) is distinct from was")
+def changed_documents(spark, d):
+    return polling.changed_documents(table(spark, d, "symbol_snapshots").select("row_id", "ticker", "loaded_ns", "security_name"), url="ticker", fetched="loaded_ns", body="security_name", tie="row_id").select("row_id")
+
+
+@query(
+    "q125_unseen_items",
+    f"""with x as (select src, news_id, t_news_recv_ns - t_news_recv_ns % {HOUR} as poll from signals where src is not null and news_id is not null and t_news_recv_ns is not null)
+    select src, news_id, min(poll) as poll from x group by 1, 2 having min(poll) > (select min(poll) from x y where y.src = x.src)""",
+)
+def unseen_items(spark, d):
+    s = table(spark, d, "signals").select("src", "news_id", F.expr(f"t_news_recv_ns - pmod(t_news_recv_ns, {HOUR}L)").alias("poll"))
+    return polling.unseen_items(s, feed="src", poll="poll", id_col="news_id")
+
+
+@query("q126_still_to_fetch", "select distinct link from signals where link is not null and link not in (select link from signals where link is not null and (signal_id % 3 = 0 or signal_id % 7 = 0))")
+def still_to_fetch(spark, d):
+    s = table(spark, d, "signals")
+    return polling.still_to_fetch(s, s.where("signal_id % 3 = 0"), s.where("signal_id % 7 = 0"), url="link")
+
+
+@query("q127_tape_lines", "select ts_ns, 'T' as kind, ticker, px_e4, shares from tape where ticker is not null and ts_ns is not null and px_e4 > 0 and shares > 0")
+def tape_lines(spark, d):
+    """Recorded and read again."""
+    t = table(spark, d, "tape").where("ticker is not null and px_e4 > 0 and shares > 0").select("ts_ns", F.lit("T").alias("kind"), "ticker", "px_e4", "shares", *(F.lit(None).cast("bigint").alias(c) for c in ("bid_e4", "bid_size", "ask_e4", "ask_size")), *(F.lit(None).cast("string").alias(c) for c in ("state", "reason")))
+    at = landing.land_lines(market_files.tape_lines(t).select("value"), scratch(spark, "recorded"), "gzip")
+    return market_files.read_tape(spark, at).select("ts_ns", "kind", "ticker", "px_e4", "shares")
+
+
+@query(
+    "q128_alert_lines",
+    """select signal_id, concat_ws(' | ', concat_ws(' ', tier, ticker, case when price is not null then printf('$%.4f', price) end, case when move_pct is not null then printf('%+.2f', move_pct) || '%' end, case when mcap is not null then 'mcap ' ||
+      case when mcap >= 1e9 then printf('%.1fB', floor(mcap / 1e8 + 0.5) / 10) when mcap >= 1e6 then printf('%.1fM', floor(mcap / 1e5 + 0.5) / 10) when mcap >= 1e3 then printf('%.1fK', floor(mcap / 1e2 + 0.5) / 10) else printf('%.0f', floor(mcap + 0.5)) end end), nullif(trim(catalyst, ' '), '')) as line,
+    concat_ws('; ', catalyst, 'a, b', case when amount_usd > 0 then '$' || case when amount_usd >= 1e9 then printf('%.1fB', floor(amount_usd / 1e8 + 0.5) / 10) when amount_usd >= 1e6 then printf('%.1fM', floor(amount_usd / 1e5 + 0.5) / 10) when amount_usd >= 1e3 then printf('%.1fK', floor(amount_usd / 1e2 + 0.5) / 10) else printf('%.0f', floor(amount_usd + 0.5)) end
+      || case when mcap > 0 then printf(' (%.2fx mcap)', amount_usd / mcap) else '' end end, case when signal_id % 3 > 0 then (signal_id % 3) || ' hedges' end) as why from signals""",
+)
+def alert_lines(spark, d):
+    s, c = table(spark, d, "signals"), F.col
+    line = alerts.alert_line(tier=c("tier"), ticker=c("ticker"), price=c("price"), move_pct=c("move_pct"), mcap=c("mcap"), title=c("catalyst"))
+    why = alerts.why_text(catalyst=c("catalyst"), phrases=F.array(F.lit("a"), F.lit("b")), amount_usd=c("amount_usd"), mcap=c("mcap"), hedges=c("signal_id") % 3, promos=F.lit(0))
+    return s.select("signal_id", line.alias("line"), why.alias("why"))
+
+
+@query("q129_routed", "select tier, count(*) as n from signals where tier in ('ALERT', 'HIGH', 'HALT', 'INFO') group by tier")
+def routed(spark, d):
+    return alerts.routed(table(spark, d, "signals"), tier="tier", movers=False).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))

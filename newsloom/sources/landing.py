@@ -6,7 +6,7 @@ import gzip
 import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from newsloom.sources.market_files import FIELDS, _opened, encode_message
@@ -74,3 +74,28 @@ def land_sessions(messages: DataFrame, folder: str) -> DataFrame:
 
     ordered = messages.repartition("session").sortWithinPartitions("session", "seq").select(*(F.col(c) for c in cols))
     return ordered.mapInArrow(run, "session string, messages bigint")
+
+
+MARK = "_newsloom"
+
+
+def claim_folder(folder: str) -> str:
+    """A folder for results: made, or taken if it is empty or was claimed before; anything else in it is an error, so that nobody's files are replaced."""
+    from pyarrow import fs
+
+    system, at = _opened(folder)
+    system.create_dir(at, recursive=True)
+    names = {f.base_name for f in system.get_file_info(fs.FileSelector(at))}
+    if names and MARK not in names:
+        raise FileExistsError(f"{folder} holds other files")
+    with system.open_output_stream(f"{at}/{MARK}") as f:
+        f.write(b"")
+    return folder
+
+
+def counted(df: DataFrame, name: str, **counts: Column):
+    """(df, observation): counters that fill as the plan runs, at no cost of another pass; read ``observation.get`` after an action."""
+    from pyspark.sql import Observation
+
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), *(F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in counts.items())), seen

@@ -272,3 +272,11 @@ def session_counters(messages: DataFrame) -> DataFrame:
     lost = messages.where("type in ('E', 'C', 'X', 'D', 'U')").join(born, ["session", "ref"], "left_anti").groupBy("session").agg(F.count(F.lit(1)).alias("unknown_refs"))
     all_ = messages.groupBy("session").agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("type").isin("A", "F")).alias("orders"), F.count_if((F.col("type") == "C") & (F.col("printable") != "Y")).alias("hidden"))
     return all_.join(lost, "session", "left").withColumn("unknown_refs", F.coalesce("unknown_refs", F.lit(0)))
+
+
+def tape_lines(rows: DataFrame) -> DataFrame:
+    """(ts_ns, value): rows of ``bridge_lines`` as stamped lines again; rows without kind or time are left out."""
+    px = lambda c: F.format_string("%d.%04d", F.floor(F.col(c) / 10000), F.col(c) % 10000)
+    text = lambda *c: F.concat_ws(" ", "kind", "ticker", *c)
+    line = F.when(F.col("kind") == "T", text(px("px_e4"), F.col("shares").cast("string"))).when(F.col("kind") == "Q", text(px("bid_e4"), F.col("bid_size").cast("string"), px("ask_e4"), F.col("ask_size").cast("string"))).when(F.col("kind") == "H", text("state", "reason"))
+    return rows.withColumn("_l", line).where("_l is not null and ts_ns is not null").select("ts_ns", F.concat_ws(" ", F.col("ts_ns").cast("string"), "_l").alias("value"))

@@ -81,3 +81,34 @@ def test_merge_by_time_and_counters(spark):
     got = {r.src: (r["items"], r.hot) for r in journal.source_counters(s, source="src", id_col="id", stages={"hot": F.col("score") >= 55}).collect()}
     assert got == {"x": (3, 1), None: (1, 1)}
     assert [r[0] for r in s.select(journal.score_bucket(F.col("score"))).collect()] == ["55-64", "<55", None, "85+"]
+
+
+@pytest.mark.parametrize("batch", [3, 10_000])
+def test_kept_rows_by_brute_force(spark, batch):
+    """Cooldown and repeats over keys with nulls, ties, negative times and null states, in small and large batches."""
+    import random
+
+    rnd = random.Random(batch)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), rnd.choice([1, None]), i, rnd.choice([None, rnd.randint(-40, 400), 7]), rnd.choice(["x", "x", "y", None])) for i in range(900)]
+    df = spark.createDataFrame(rows, "k string, j int, i long, t long, s string")
+    groups = {}
+    for k, j, i, t, s in rows:
+        if t is not None:
+            groups.setdefault((k, j), []).append((t, i, s))
+    cooled, kept = [], []
+    for g in groups.values():
+        last = held = None
+        for t, i, s in sorted(g, key=lambda r: r[:2]):
+            if last is None or t - last >= 9:
+                last = t
+                cooled.append(i)
+            if held is None or s != held[1] or t - held[0] >= 9:
+                held = t, s
+                kept.append(i)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        assert sorted(r.i for r in ordered.cooled_down(df, keys=["k", "j"], time="t", id_col="i", cooldown=9).collect()) == sorted(cooled)
+        assert sorted(r.i for r in ordered.repeats_dropped(df, keys=["k", "j"], time="t", id_col="i", state="s", within=9).collect()) == sorted(kept)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from newsloom.operators import book
 from newsloom.sources import landing, market_files
@@ -90,3 +91,16 @@ def test_recorded_sessions_read_back(spark, tmp_path):
     named = market_files.with_symbols(back, back)
     assert sorted(str(r.ticker) for r in named.collect()) == ["None", "None", "QLFK"]
     assert sorted(map(tuple, market_files.session_counters(back).select("session", "messages", "orders", "unknown_refs").collect())) == [("s1", 2, 1, 0), ("s2", 1, 0, 0)]
+
+
+def test_a_folder_of_others_is_not_taken(tmp_path):
+    assert landing.claim_folder(f"{tmp_path}/new") == landing.claim_folder(f"{tmp_path}/new")
+    (tmp_path / "old").mkdir()
+    (tmp_path / "old" / "mine.txt").write_text("x")
+    with pytest.raises(FileExistsError):
+        landing.claim_folder(f"{tmp_path}/old")
+
+
+def test_counters_come_with_the_rows(spark):
+    df, seen = landing.counted(spark.range(10), "numbers", odd=F.col("id") % 2 == 1)
+    assert df.count() == 10 and seen.get == {"rows": 10, "odd": 5}
