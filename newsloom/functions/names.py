@@ -96,7 +96,7 @@ def items_text(mask: Column) -> Column:
 
 
 def filing_headline(form: Column, company: Column, mask: Column) -> Column:
-    """``8-K ACME: title; title`` of the items in ``mask``; exhibits (9.01) are not named."""
+    """``8-K QUILL: title; title`` of the items in ``mask``; exhibits (9.01) are not named."""
     titles = F.array_compact(F.array(*(F.when(mask.cast("bigint").bitwiseAND(F.lit(1 << i).cast("bigint")) != 0, F.lit(t)) for i, t in enumerate(ITEM_TITLES[:-1]))))
     return F.concat(form, F.lit(" "), company, F.when(F.size(titles) > 0, F.concat(F.lit(": "), F.array_join(titles, "; "))).otherwise(F.lit("")))
 

@@ -247,10 +247,10 @@ def story_documents(spark, d):
     url = F.concat(F.lit("https://x.example/"), F.col("signal_id").cast("string"))
     links = F.concat(F.lit('<link rel="self" href="https://x.example/feed"/><link rel="alternate" href="'), url, F.lit('"/>'))
     date = F.when(F.col("published_ns").isNotNull(), F.when(F.col("signal_id") % 2 == 0, _tag("published", times.utc_iso(F.col("published_ns")))).otherwise(_tag("updated", times.utc_iso(F.col("published_ns"))))).otherwise("")
-    body = F.when(F.col("signal_id") % 3 == 0, "Acme (NASDAQ: ACME) said so").otherwise("No tag (here)")
+    body = F.when(F.col("signal_id") % 3 == 0, "Quill (NASDAQ: QLFK) said so").otherwise("No tag (here)")
     entry = F.concat(F.lit("<entry>"), _tag("id", F.concat(F.lit("urn:"), F.col("signal_id").cast("string"))), _tag("title", _xml(F.regexp_replace("title", "[\\n\\r]", " "))), links, date, _tag("summary", body), F.lit("</entry>"))
     r = feeds.story_items(spark, landing.land_documents(s.select(entry.alias("value")), scratch(spark, "atom"), "<feed>", "</feed>"))
-    return r.select("title", "link", "published_ns", F.exists("tags", lambda t: t["symbol"] == "ACME").alias("named"))
+    return r.select("title", "link", "published_ns", F.exists("tags", lambda t: t["symbol"] == "QLFK").alias("named"))
 
 
 ENTRIES = "(select c_custkey, [' 8-K', 'S-1/A', '424B5'][c_custkey % 3 + 1] as form, case c_custkey % 3 when 0 then 'Item 2.02 and item 9.01' when 1 then '' else 'ITEM 1.01, item 9.99' end as items from customer)"

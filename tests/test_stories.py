@@ -92,13 +92,13 @@ def test_depth_equals_plain_replay_with_chains_of_replacements(spark):
 
 
 def test_tags_and_names(spark):
-    s = spark.createDataFrame([(1, "x (NASDAQ: ACMR, NOPE) (TSXV: ECM)"), (2, "none"), (3, None)], "id long, t string").withColumn("tags", phrases.ticker_tags(F.col("t")))
-    master = spark.createDataFrame([("ACMR",), ("ECM",), (None,)], "ticker string")
-    assert rows(stories.resolve_tags(s, master, id_col="id"), "id", "tickers", "unresolved") == [(1, ["ACMR"], ["NOPE", "TSXV:ECM"]), (2, [], []), (3, [], [])]
-    n = spark.createDataFrame([(1, ["Acme Robotics, Inc."], "x", "y"), (2, None, "Bravo Bio Announces Pricing", None), (3, None, None, "NEW YORK -- Acme Robotics, Inc. (the) today"), (4, None, "zzz", "")], "id long, c array<string>, t string, b string")
+    s = spark.createDataFrame([(1, "x (NASDAQ: QLFK, NOPE) (TSXV: LODN)"), (2, "none"), (3, None)], "id long, t string").withColumn("tags", phrases.ticker_tags(F.col("t")))
+    master = spark.createDataFrame([("QLFK",), ("LODN",), (None,)], "ticker string")
+    assert rows(stories.resolve_tags(s, master, id_col="id"), "id", "tickers", "unresolved") == [(1, ["QLFK"], ["NOPE", "TSXV:LODN"]), (2, [], []), (3, [], [])]
+    n = spark.createDataFrame([(1, ["Quillfeather Kilns, Inc."], "x", "y"), (2, None, "Tarn Water Opens Lock", None), (3, None, None, "UPPER WEIR -- Quillfeather Kilns, Inc. (the) today"), (4, None, "zzz", "")], "id long, c array<string>, t string, b string")
     n = n.withColumn("candidates", stories.name_candidates(F.col("c"), F.col("t"), F.col("b")))
-    unique = spark.createDataFrame([("ACME ROBOTICS", "ACMR"), ("BRAVO BIO", "BRVO")], "company string, ticker string")
-    assert rows(stories.resolve_names(n, unique, id_col="id"), "id", "ticker") == [(1, "ACMR"), (2, "BRVO"), (3, "ACMR")]
+    unique = spark.createDataFrame([("QUILLFEATHER KILNS", "QLFK"), ("TARN WATER", "TARN")], "company string, ticker string")
+    assert rows(stories.resolve_names(n, unique, id_col="id"), "id", "ticker") == [(1, "QLFK"), (2, "TARN"), (3, "QLFK")]
 
 
 def test_replay_and_intervals(spark):
@@ -112,25 +112,25 @@ def test_replay_and_intervals(spark):
 
 
 def test_rule_totals(spark):
-    rules = spark.createDataFrame([(0, "cat", "fda", 60, "approval"), (1, "cat", "deal", 63, "contract"), (2, "spec", None, 9, "signed"), (3, "spec", None, 9, "definitive"), (4, "tier1", None, 7, "walmart")], "rule_id long, kind string, label string, weight int, phrase string")
-    df = spark.createDataFrame([(1, "Approval", "contract signed, definitive, signed by walmart"), (2, "", "nothing")], "id long, t string, b string")
+    rules = spark.createDataFrame([(0, "cat", "kiln", 60, "firing"), (1, "cat", "loan", 63, "lease"), (2, "spec", None, 9, "glazed"), (3, "spec", None, 9, "hallmark"), (4, "tier1", None, 7, "guild")], "rule_id long, kind string, label string, weight int, phrase string")
+    df = spark.createDataFrame([(1, "Firing", "lease glazed, hallmark, glazed by guild"), (2, "", "nothing")], "id long, t string, b string")
     words = [r.phrase for r in rules.orderBy("rule_id").collect()]
     hits = lambda c: phrases.match_phrases(df, words, id_col="id", text_col=c)
     got = stories.rule_totals(hits("t"), hits("b"), rules, id_col="id", sums={"spec": (0, 15)}, extremes={"tier1": "max"})
-    assert rows(got, "id", "category", "category_weight", "n_rules", "spec", "tier1") == [(1, "fda", 65, 5, 15, 7)]
+    assert rows(got, "id", "category", "category_weight", "n_rules", "spec", "tier1") == [(1, "kiln", 65, 5, 15, 7)]
 
 
 def test_small_pieces(spark):
     df = spark.createDataFrame([("ludp ",), ("T1",), ("??",), (None,)], "c string")
     assert [r[0] for r in df.select(feeds.halt_reason(F.col("c"))).collect()] == ["Volatility trading pause (LULD)", "News pending", "Other", "Other"]
-    assert [str(r[0]) for r in feeds.weekdays(spark, "2026-09-25", "2026-09-28").collect()] == ["2026-09-25", "2026-09-28"]
-    assert spark.range(1).select(feeds.index_url("https://s/", F.lit("2026-09-24").cast("date"))).first()[0] == "https://s/edgar/daily-index/2026/QTR3/master.20260924.idx"
+    assert [str(r[0]) for r in feeds.weekdays(spark, "2025-05-09", "2025-05-12").collect()] == ["2025-05-09", "2025-05-12"]
+    assert spark.range(1).select(feeds.index_url("https://s/", F.lit("2025-05-05").cast("date"))).first()[0] == "https://s/edgar/daily-index/2025/QTR2/master.20250505.idx"
 
 
 def test_settings():
-    c = Config.parse('# c\n[signal]\nwatch_score = 55 ; note\nname = "a # b"\n[feed wire]\nurl=https://x#y\non = yes\n')
-    c.override("signal.watch_score=65")
-    assert (c.get("signal", "watch_score", 0), c.get("signal", "name"), c.get("feed wire", "url"), c.get("feed wire", "on", False), c.get("x", "y", 1.5)) == (65, "a # b", "https://x#y", True, 1.5)
-    assert c.sections == [("signal", ""), ("feed", "wire")]
+    c = Config.parse('# c\n[kiln]\nheat = 40 ; note\nname = "a # b"\n[loan desk]\nurl=https://x#y\non = yes\n')
+    c.override("kiln.heat=65")
+    assert (c.get("kiln", "heat", 0), c.get("kiln", "name"), c.get("loan desk", "url"), c.get("loan desk", "on", False), c.get("x", "y", 1.5)) == (65, "a # b", "https://x#y", True, 1.5)
+    assert c.sections == [("kiln", ""), ("loan", "desk")]
     with pytest.raises(ValueError):
         Config.parse("what")
