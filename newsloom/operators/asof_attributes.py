@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.operators.slices import cuts_before, with_heads
 from newsloom.runtime import shuffle_partitions
 
 #: Rows of events and changes that one co-group may hold, about.
@@ -129,16 +130,7 @@ def _slices(spark, both: DataFrame, parts: dict[str, int], first: int) -> DataFr
         cuts = [r["cuts"][round(i * most / own) - 1] for i in range(1, own)] if most > 1 else []
         plan.append((r["entity"], base, cuts))
         base += own
-    p = spark.createDataFrame(plan, "entity string, base int, cuts array<bigint>")
-    every = F.ceil(F.sqrt(F.size("cuts"))).cast("int")
-    return p.withColumn("heads", F.when(F.size("cuts") > 0, F.transform(F.sequence(F.lit(0), F.size("cuts") - 1, every), lambda i: F.get("cuts", i))).otherwise(F.col("cuts")))
-
-
-def cuts_before(t: Column) -> Column:
-    """How many of the sorted ``cuts`` lie before a time: first by ``heads``, every sqrt(n)-th of them, then within the stretch that follows."""
-    every = F.ceil(F.sqrt(F.size("cuts"))).cast("int")
-    at = F.greatest(F.size(F.filter("heads", lambda b: b < t)) - 1, F.lit(0)) * every
-    return F.when(F.size("cuts") == 0, 0).otherwise(at + F.size(F.filter(F.slice("cuts", at + 1, every), lambda b: b < t)))
+    return with_heads(spark.createDataFrame(plan, "entity string, base int, cuts array<bigint>"))
 
 
 def _carried(c: DataFrame, plan: DataFrame, n: int) -> DataFrame:

@@ -3,7 +3,8 @@
 A window over (key) alone would put all rows of a busy key into one task. Here
 every operator works in partitions of (key, time bucket) and carries what it
 needs from earlier buckets as one summary row per bucket, so that the only
-window over a whole key runs over its buckets.
+window over a whole key runs over its buckets. Buckets are of fixed width, and cut
+further where ``burst_rows`` says how many rows are too many.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from newsloom.operators.slices import sliced
+
 HOUR = 3_600_000_000_000
 
 
@@ -21,14 +24,15 @@ def bucket_of(time: Column, width: int) -> Column:
     return (time - F.pmod(time, F.lit(width))) / F.lit(width)
 
 
-def with_last(df: DataFrame, *, keys: Sequence[str], time: str, tie: Sequence[str], value: Column, name: str, width: int = HOUR, inclusive: bool = False) -> DataFrame:
+def with_last(df: DataFrame, *, keys: Sequence[str], time: str, tie: Sequence[str], value: Column, name: str, width: int = HOUR, inclusive: bool = False, burst_rows: int | None = None) -> DataFrame:
     """``df`` with the last non-null ``value`` of its key before each row (or at it, if ``inclusive``).
 
     Rows are ordered by ``time``, then ``tie``; of equal rows the order is open,
     so ``tie`` should make it total. Null keys form a key of their own. Rows with
-    null time come first.
+    null time come first. With ``burst_rows`` buckets over so many rows are cut
+    at quantiles of their times, for one pass of counting.
     """
-    x = df.withColumn("_b", F.floor(bucket_of(F.col(time), width))).withColumn("_v", value)
+    x = sliced(df.withColumn("_b", F.floor(bucket_of(F.col(time), width))), keys=keys, bucket="_b", time=time, most=burst_rows).withColumn("_v", value)
     order = F.struct(F.col(time).alias("t"), *(F.col(c).alias(f"o{i}") for i, c in enumerate(tie)), F.col("_v").alias("v"))
     per = x.groupBy(*keys, "_b").agg(F.max(F.when(F.col("_v").isNotNull(), order)).alias("_m"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
@@ -39,18 +43,22 @@ def with_last(df: DataFrame, *, keys: Sequence[str], time: str, tie: Sequence[st
     return y.withColumn(name, F.last("_v", ignorenulls=True).over(w)).where("_real").drop("_b", "_v", "_real")
 
 
-def with_running_sum(df: DataFrame, *, keys: Sequence[str], time: str, tie: Sequence[str], value: Column, name: str, width: int = HOUR) -> DataFrame:
-    """``df`` with the running sum of ``value`` (nulls count as nothing) up to and including each row."""
-    x = df.withColumn("_b", F.floor(bucket_of(F.col(time), width))).withColumn("_v", F.coalesce(value, F.lit(0)))
+def with_running_sum(df: DataFrame, *, keys: Sequence[str], time: str, tie: Sequence[str], value: Column, name: str, width: int = HOUR, burst_rows: int | None = None) -> DataFrame:
+    """``df`` with the running sum of ``value`` (nulls count as nothing) up to and including each row.
+
+    Null keys form a key of their own, rows with null time come first.
+    """
+    x = sliced(df.withColumn("_b", F.floor(bucket_of(F.col(time), width))), keys=keys, bucket="_b", time=time, most=burst_rows).withColumn("_v", F.coalesce(value, F.lit(0)))
     per = x.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
     before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = per.select(*keys, "_b", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_c"))
-    w = Window.partitionBy(*keys, "_b").orderBy(time, *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return x.join(carry, [*keys, "_b"]).withColumn(name, F.sum("_v").over(w) + F.col("_c")).drop("_b", "_v", "_c")
+    carry = per.select(*keys, "_b", F.sum("_s").over(before).alias("_v"), F.lit(False).alias("_real")).where("_v is not null")
+    y = x.withColumn("_real", F.lit(True)).unionByName(carry, allowMissingColumns=True)
+    w = Window.partitionBy(*keys, "_b").orderBy("_real", time, *tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return y.withColumn(name, F.sum("_v").over(w)).where("_real").drop("_b", "_v", "_real")
 
 
 def asof_join(
-    left: DataFrame, right: DataFrame, *, keys: Sequence[str], left_time: str, right_time: str, take: dict[str, str], tie: Sequence[str] = (), strict: bool = True, width: int = HOUR
+    left: DataFrame, right: DataFrame, *, keys: Sequence[str], left_time: str, right_time: str, take: dict[str, str], tie: Sequence[str] = (), strict: bool = True, width: int = HOUR, burst_rows: int | None = None
 ) -> DataFrame:
     """Each left row with the columns ``take`` (right name to new name) of the latest right row before it.
 
@@ -68,7 +76,7 @@ def asof_join(
     )
     l = left.select(*named, F.col(left_time).alias("_t"), F.lit(0 if strict else 1).alias("_side"), payload.alias("_l"))  # noqa: E741
     u = l.unionByName(r, allowMissingColumns=True)
-    out = with_last(u, keys=ks, time="_t", tie=["_side", *ties], value=F.col("_r"), name="_m", width=width).where("_l is not null")
+    out = with_last(u, keys=ks, time="_t", tie=["_side", *ties], value=F.col("_r"), name="_m", width=width, burst_rows=burst_rows).where("_l is not null")
     return out.select(*(F.col(f"_l.c{i}").alias(c) for i, c in enumerate(left.columns)), *(F.col(f"_m.{b}").alias(b) for b in take.values()))
 
 

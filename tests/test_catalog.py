@@ -112,3 +112,30 @@ def test_kept_rows_by_brute_force(spark, batch):
         assert sorted(r.i for r in ordered.repeats_dropped(df, keys=["k", "j"], time="t", id_col="i", state="s", within=9).collect()) == sorted(kept)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_bursts_are_cut(spark, monkeypatch):
+    """Half of all rows in one bucket of one key (or of a null key): equal results, and no group over twice the limit."""
+    import random
+
+    from newsloom.operators import slices
+
+    rnd = random.Random(8)
+    rows = [(rnd.choice(["a", "a", None]), i, rnd.choice([rnd.randint(0, 99), rnd.randint(100, 2000)]), rnd.choice([None, i])) for i in range(1500)]
+    df = spark.createDataFrame(rows, "k string, i long, t long, v long")
+    sizes, cut_up = [], slices.sliced
+
+    def watched(x, **kw):
+        out = cut_up(x, **kw)
+        if kw["most"] is not None:
+            sizes.append(out.groupBy(*kw["keys"], kw["bucket"]).agg(F.count("*").alias("n"), F.count_distinct(kw["time"]).alias("d")).where("d > 1").agg(F.max("n")).first()[0])
+        return out
+
+    monkeypatch.setattr(ordered, "sliced", watched)
+    plain = lambda x: sorted(map(str, x.collect()))
+    args = dict(keys=["k"], time="t", tie=["i"], value=F.col("v"), width=100)
+    for f in (ordered.with_last, ordered.with_running_sum):
+        assert plain(f(df, name="x", **args, burst_rows=20)) == plain(f(df, name="x", **args))
+    joined = lambda most: plain(ordered.asof_join(df, df, keys=["k"], left_time="t", right_time="t", take={"i": "j"}, tie=["i"], width=100, burst_rows=most))
+    assert joined(30) == joined(None)
+    assert len(sizes) == 3 and max(sizes) <= 60
