@@ -47,12 +47,13 @@ def _order_bucket(v: Column, sub_bits: int) -> Column:
     return F.when(a < 2.0**-64, 0).when(v < 0, -size).otherwise(size).cast("long")
 
 
-def _with_medians(grouped: DataFrame, medians: DataFrame, group: list[str]) -> DataFrame:
+def _joined(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """``left`` with the other columns of ``right``; null keys meet null keys."""
     on = F.lit(True)
-    for c in group:
+    for c in keys:
         on = on & F.col(c).eqNullSafe(F.col(f"_m_{c}"))
-    names = [c for c in medians.columns if c not in group]
-    return grouped.join(medians.select(*(F.col(c).alias(f"_m_{c}") for c in group), *names), on, "left").drop(*(f"_m_{c}" for c in group))
+    names = [c for c in right.columns if c not in keys]
+    return left.join(right.select(*(F.col(c).alias(f"_m_{c}") for c in keys), *names), on, how).drop(*(f"_m_{c}" for c in keys))
 
 
 def first_seen(stories: DataFrame, *, key: str, time: str, id_col: str, source: str) -> DataFrame:
@@ -72,7 +73,7 @@ def source_standing(seen: DataFrame, *, source: str, publish_lag: Column) -> Dat
     behind = F.col("dup") & (F.col("first_src") != F.col(source))
     counts = seen.groupBy(source).agg(F.count(F.lit(1)).alias("items"), F.count_if(~F.col("dup")).alias("firsts"), F.count_if(behind).alias("behind"))
     medians = exact_medians(seen, group=[source], values={"median_behind_ms": F.when(behind, F.col("behind_ns") / 1e6), "median_publish_ms": F.when(publish_lag >= 0, publish_lag)})
-    return _with_medians(counts, medians, [source]).fillna(0.0, ["median_behind_ms", "median_publish_ms"])
+    return _joined(counts, medians, [source]).fillna(0.0, ["median_behind_ms", "median_publish_ms"])
 
 
 def outcome_groups(outcomes: DataFrame, *sets: list[str], move: str = "move_pct", mfe: str = "max_move_pct", mae: str = "min_move_pct") -> DataFrame:
@@ -84,7 +85,7 @@ def outcome_groups(outcomes: DataFrame, *sets: list[str], move: str = "move_pct"
             F.count(F.lit(1)).alias("n"), F.round(F.avg(move), 6).alias("mean_move"), F.round(100.0 * F.count_if(F.col(move) > 0) / F.count(F.lit(1)), 6).alias("up_pct"),
             F.round(F.avg(mfe), 6).alias("mean_mfe"), F.round(F.avg(mae), 6).alias("mean_mae"),
         )
-        g = _with_medians(g, exact_medians(outcomes, group=list(keys), values={"median_move": F.col(move)}), list(keys)).withColumn("median_move", F.round("median_move", 6))
+        g = _joined(g, exact_medians(outcomes, group=list(keys), values={"median_move": F.col(move)}), list(keys)).withColumn("median_move", F.round("median_move", 6))
         g = g.select(*(F.col(c) if c in keys else F.lit(None).cast(dict(outcomes.dtypes)[c]).alias(c) for c in cols), "n", "mean_move", "median_move", "up_pct", "mean_mfe", "mean_mae")
         out = g if out is None else out.unionByName(g)
     return out
@@ -115,9 +116,10 @@ def source_counters(stories: DataFrame, *, source: str, id_col: str, stages: dic
 
 def day_results(trades: DataFrame, signals: DataFrame, *, day: str, pnl: str, tier: str, alerting: list[str]) -> DataFrame:
     """Per day of either table: signals, alerts, closed trades and their result."""
-    a = signals.groupBy(day).agg(F.count(F.lit(1)).alias("signals"), F.count_if(F.col(tier).isin(alerting)).alias("alerts"))
-    b = trades.groupBy(day).agg(F.count(F.lit(1)).alias("closed"), F.sum(pnl).alias("pnl"))
-    return a.join(b, day, "full_outer").fillna(0, ["signals", "alerts", "closed", "pnl"])
+    none = F.lit(0).cast("bigint")
+    s = signals.select(day, F.lit(1).alias("s"), F.when(F.col(tier).isin(alerting), 1).otherwise(0).alias("a"), F.lit(0).alias("c"), none.alias("p"))
+    t = trades.select(day, F.lit(0).alias("s"), F.lit(0).alias("a"), F.lit(1).alias("c"), F.coalesce(F.col(pnl).cast("bigint"), none).alias("p"))
+    return s.unionByName(t).groupBy(day).agg(F.sum("s").alias("signals"), F.sum("a").alias("alerts"), F.sum("c").alias("closed"), F.sum("p").alias("pnl"))
 
 
 def parameter_sweep(trades: DataFrame, *, values: list[float], keeps: Callable[[Column], Column], pnl: str, name: str = "cut") -> DataFrame:
@@ -147,7 +149,7 @@ def equity(trades: DataFrame, *, group: list[str], day: str, order: list[str], p
     """Running result, peak (from 0) and drawdown per group.
 
     Two levels: sums and running peaks within (group, day), and days carried by a
-    window over one row per day.
+    window over one row per day. Null groups and days count as groups and days of their own.
     """
     in_day = Window.partitionBy(*group, day).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     x = trades.withColumn("_run", F.sum(pnl).over(in_day)).withColumn("_top", F.max("_run").over(in_day))
@@ -155,7 +157,7 @@ def equity(trades: DataFrame, *, group: list[str], day: str, order: list[str], p
     before = Window.partitionBy(*group).orderBy(day).rowsBetween(Window.unboundedPreceding, -1)
     days = days.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0)))
     days = days.withColumn("_peak", F.greatest(F.lit(0), F.coalesce(F.max(F.col("_base") + F.col("_high")).over(before), F.lit(0)))).select(*group, day, "_base", "_peak")
-    y = x.join(days, [*group, day]).withColumn("cum", F.col("_base") + F.col("_run")).withColumn("peak", F.greatest("_peak", F.col("_base") + F.col("_top")))
+    y = _joined(x, days, [*group, day], "inner").withColumn("cum", F.col("_base") + F.col("_run")).withColumn("peak", F.greatest("_peak", F.col("_base") + F.col("_top")))
     return y.withColumn("drawdown", F.col("peak") - F.col("cum")).drop("_run", "_top", "_base", "_peak")
 
 
@@ -170,7 +172,7 @@ def trade_stats(curve: DataFrame, *, group: list[str], day: str, pnl: str) -> Da
         F.max("drawdown").alias("max_drawdown"), (F.datediff(F.max(day), F.min(day)) + 1).alias("span_days"),
     )
     top = _top3(curve.where(p > 0), group, pnl)
-    out = out.join(top, group, "left")
+    out = _joined(out, top, group)
     return out.withColumns(
         {
             "without_top3": F.col("total") - F.coalesce("top3", F.lit(0)),

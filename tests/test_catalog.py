@@ -139,3 +139,17 @@ def test_bursts_are_cut(spark, monkeypatch):
     joined = lambda most: plain(ordered.asof_join(df, df, keys=["k"], left_time="t", right_time="t", take={"i": "j"}, tie=["i"], width=100, burst_rows=most))
     assert joined(30) == joined(None)
     assert len(sizes) == 3 and max(sizes) <= 60
+
+
+def test_statistics_of_null_groups(spark):
+    """A null group, and null days, are kept and get their own figures."""
+    t = spark.createDataFrame([(None, 1, "2026-01-01", 10), (None, 2, "2026-01-02", -4), (None, 3, None, 7), ("g", 1, None, 5)], "g string, i int, day string, pnl long").withColumn("day", F.to_date("day"))
+    curve = journal.equity(t, group=["g"], day="day", order=["i"], pnl="pnl")
+    assert curve.count() == 4
+    got = {r.g: (r.n, r.total, r.without_top3) for r in journal.trade_stats(curve, group=["g"], day="day", pnl="pnl").collect()}
+    assert got == {None: (3, 13, -4), "g": (1, 5, 0)}
+    days = journal.day_results(t, spark.createDataFrame([(None, "A"), ("2026-01-01", "B")], "day string, tier string").withColumn("day", F.to_date("day")), day="day", pnl="pnl", tier="tier", alerting=["A"])
+    assert sorted((str(r.day), r.signals, r.alerts, r.closed, r.pnl) for r in days.collect()) == [("2026-01-01", 1, 0, 1, 10), ("2026-01-02", 0, 0, 1, -4), ("None", 1, 1, 2, 12)]
+    e = t.limit(0)
+    assert journal.trade_stats(journal.equity(e, group=["g"], day="day", order=["i"], pnl="pnl"), group=["g"], day="day", pnl="pnl").count() == 0
+    assert journal.exact_medians(e, group=["g"], values={"m": F.col("pnl")}).count() == 0
