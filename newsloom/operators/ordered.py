@@ -80,14 +80,16 @@ def asof_join(
     return out.select(*(F.col(f"_l.c{i}").alias(c) for i, c in enumerate(left.columns)), *(F.col(f"_m.{b}").alias(b) for b in take.values()))
 
 
-def interval_stats(points: DataFrame, values: DataFrame, *, keys: Sequence[str], point_id: str, point_time: str, value_time: str, value: str, weight: str, length: int) -> DataFrame:
+def interval_stats(points: DataFrame, values: DataFrame, *, keys: Sequence[str], point_id: str, point_time: str, value_time: str, value: str, weight: str, length: int, burst_rows: int | None = None) -> DataFrame:
     """Per point: n, sum of weight, notional, max and min of value over ``(time, time + length]``.
 
     Cut into buckets as long as the interval, an interval is the tail of one
     bucket and the head of the next. Both come from running aggregates, so no
     point is paired with the rows of its interval: the cost is linear however
     many intervals overlap. Points without rows get n = 0 and nulls; null keys
-    and times of points likewise; such values take no part.
+    and times of points likewise; such values take no part. With ``burst_rows``
+    buckets over so many rows are cut at quantiles; each slice then begins with the
+    aggregate of the slices before it and ends with that of those after it.
     """
     t = F.col(point_time)
     b = lambda c: F.floor(bucket_of(c, length))
@@ -95,15 +97,24 @@ def interval_stats(points: DataFrame, values: DataFrame, *, keys: Sequence[str],
     known = p.dropna(subset=[*keys, "_s"])
     heads = known.select(*keys, "_id", (F.col("_s") + length).alias("_t"), b(F.col("_s") + length).alias("_b"), F.lit(1).alias("_kind"))
     tails = known.select(*keys, "_id", F.col("_s").alias("_t"), b(F.col("_s")).alias("_b"), F.lit(2).alias("_kind"))
-    v = values.dropna(subset=[*keys, value_time]).select(*keys, F.col(value_time).alias("_t"), b(F.col(value_time)).alias("_b"), F.lit(0).alias("_kind"), F.col(value).cast("long").alias("_v"), F.col(weight).cast("long").alias("_w"))
-    u = heads.unionByName(tails).unionByName(v, allowMissingColumns=True)
+    v, w = F.col(value).cast("long"), F.col(weight).cast("long")
+    rows = values.dropna(subset=[*keys, value_time]).select(*keys, F.col(value_time).alias("_t"), b(F.col(value_time)).alias("_b"), F.lit(0).alias("_kind"), v.isNotNull().cast("long").alias("n"), w.alias("w"), (v * w).alias("x"), v.alias("hi"), v.alias("lo"))
+    u = sliced(heads.unionByName(tails).unionByName(rows, allowMissingColumns=True), keys=keys, bucket="_b", time="_t", most=burst_rows)
+    how = {"n": F.sum, "w": F.sum, "x": F.sum, "hi": F.max, "lo": F.min}
+    if isinstance(u.schema["_b"].dataType, T.StructType):
+        per = u.where("_kind = 0").groupBy(*keys, "_b").agg(*(f(c).alias(c) for c, f in how.items()))
+        every = u.select(*keys, "_b").distinct().join(per, [*keys, "_b"], "left")
+        order = Window.partitionBy(*keys, F.col("_b.b")).orderBy("_b.s")
+        for kind, side in ((-1, order.rowsBetween(Window.unboundedPreceding, -1)), (3, order.rowsBetween(1, Window.unboundedFollowing))):
+            far = F.lit(-(2**63) if kind < 0 else 2**63 - 1).cast("long")
+            u = u.unionByName(every.select(*keys, "_b", far.alias("_t"), F.lit(kind).alias("_kind"), *(f(c).over(side).alias(c) for c, f in how.items())).where("n is not null"), allowMissingColumns=True)
     up = Window.partitionBy(*keys, "_b").orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # Going down, values at a point's own time are still ahead of it: kind 2 comes before kind 0.
     down = Window.partitionBy(*keys, "_b").orderBy(F.col("_t").desc(), F.col("_kind").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    aggs = lambda w: F.struct(F.count("_v").over(w).alias("n"), F.sum("_w").over(w).alias("w"), F.sum(F.col("_v") * F.col("_w")).over(w).alias("x"), F.max("_v").over(w).alias("hi"), F.min("_v").over(w).alias("lo"))
-    x = u.withColumn("_u", aggs(up)).withColumn("_d", aggs(down)).where("_kind > 0")
-    x = x.select("_id", F.when(F.col("_kind") == 1, F.col("_u")).otherwise(F.col("_d")).alias("_a"))
-    got = x.groupBy("_id").agg(F.sum("_a.n").alias("n"), F.sum("_a.w").alias("weight"), F.sum("_a.x").alias("notional"), F.max("_a.hi").alias("high"), F.min("_a.lo").alias("low"))
+    aggs = lambda over: F.struct(*(f(c).over(over).alias(c) for c, f in how.items()))
+    y = u.withColumn("_u", aggs(up)).withColumn("_d", aggs(down)).where("_kind in (1, 2)")
+    y = y.select("_id", F.when(F.col("_kind") == 1, F.col("_u")).otherwise(F.col("_d")).alias("_a"))
+    got = y.groupBy("_id").agg(F.sum("_a.n").alias("n"), F.sum("_a.w").alias("weight"), F.sum("_a.x").alias("notional"), F.max("_a.hi").alias("high"), F.min("_a.lo").alias("low"))
     out = p.select("_id").join(got, "_id", "left")
     return out.select(F.col("_id").alias(point_id), F.coalesce("n", F.lit(0)).alias("n"), "weight", "notional", "high", "low")
 

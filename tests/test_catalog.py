@@ -138,7 +138,9 @@ def test_bursts_are_cut(spark, monkeypatch):
         assert plain(f(df, name="x", **args, burst_rows=20)) == plain(f(df, name="x", **args))
     joined = lambda most: plain(ordered.asof_join(df, df, keys=["k"], left_time="t", right_time="t", take={"i": "j"}, tie=["i"], width=100, burst_rows=most))
     assert joined(30) == joined(None)
-    assert len(sizes) == 3 and max(sizes) <= 60
+    per = lambda most: plain(ordered.interval_stats(df.where("i % 3 = 0"), df, keys=["k"], point_id="i", point_time="t", value_time="t", value="v", weight="i", length=100, burst_rows=most))
+    assert per(25) == per(None)
+    assert len(sizes) == 4 and max(sizes) <= 60
 
 
 def test_statistics_of_null_groups(spark):
