@@ -12,7 +12,7 @@ from newsloom.functions import names, text, times
 from newsloom.operators import book, market
 from newsloom.plans.catalog import DAY, ET, HOUR, MASTER, MIN, S, _master, query
 from newsloom.runtime import cut, scratch, table
-from newsloom.sources import alerts, feeds, journal_files, landing, market_files, polling, reference_files
+from newsloom.sources import alerts, feeds, journal_files, landing, market_files, packets, polling, reference_files
 
 WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 SYMBOL = f"translate(upper(trim({{0}}, {WS})), '-/ ', '...')"
@@ -538,3 +538,19 @@ def alert_lines(spark, d):
 @query("q129_routed", "select tier, count(*) as n from signals where tier in ('ALERT', 'HIGH', 'HALT', 'INFO') group by tier")
 def routed(spark, d):
     return alerts.routed(table(spark, d, "signals"), tier="tier", movers=False).groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "q130_recovered_packets",
+    f"""select ticker, px_e4, shares, kind, count(*) as n from (
+      select ticker, px_e4 + case when n % 2 = 1 then 500 else 0 end as px_e4, shares, 'execution' as kind from {USABLE} where n % 3 <> 0
+      union all select ticker, px_e4 + 7, shares, 'execution' from {USABLE} where n % 3 = 0 and n % 2 = 0
+      union all select ticker, px_e4, shares, 'trade' from {USABLE} where print_id % 5 = 0) group by all""",
+)
+def recovered_packets(spark, d):
+    """The sessions again, as packets of seven messages and, over them, packets of four: every number comes twice, out of order."""
+    m = _messages(spark, d).withColumn("ts_ns", F.pmod("ts_ns", F.lit(24 * HOUR))).withColumn("seq", F.row_number().over(Window.partitionBy("session").orderBy("n", "place", "locate")).cast("bigint"))
+    e = cut(packets.encoded(m))
+    sent = [packets.packed(e.withColumn("p", F.floor(F.col("seq") / k)), packet_of="p") for k in (7, 4)]
+    got = cut(packets.recovered(sent[0].unionByName(sent[1]), packet="packet"))
+    return market_files.with_symbols(market_files.session_prints(got), got).groupBy("ticker", "px_e4", "shares", "kind").agg(F.count(F.lit(1)).alias("n"))

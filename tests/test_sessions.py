@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from newsloom.operators import book
-from newsloom.sources import landing, market_files
+from newsloom.sources import landing, market_files, packets
 
 
 def test_truncated_gzip_gives_all_whole_messages(spark, tmp_path):
@@ -104,3 +104,13 @@ def test_a_folder_of_others_is_not_taken(tmp_path):
 def test_counters_come_with_the_rows(spark):
     df, seen = landing.counted(spark.range(10), "numbers", odd=F.col("id") % 2 == 1)
     assert df.count() == 10 and seen.get == {"rows": 10, "odd": 5}
+
+
+def test_packets_in_any_order_give_each_message_once(spark):
+    m = [market_files.encode_message("D", 1, i, ref=2**60 + i) for i in range(9)]
+    p = packets.encode_packet
+    sent = [p("S1", 5, m[4:7]), p("S1", 1, m[0:3]), p("S1", 3, m[2:6]), p("S1", 1, m[0:3]), p("S1", 8, []), p("S2", 1, m[7:9])[:-1], p("S1", 9, [])[:18] + b"\xff\xff", b"short", None]
+    df = spark.createDataFrame([(x,) for x in sent], "b binary")
+    got = sorted((r.session, r.seq, r.ref) for r in packets.recovered(df, packet="b").collect())
+    assert got == [("S1", i + 1, 2**60 + i) for i in range(7)] + [("S2", 1, 2**60 + 7)]  # the last message of S2 is cut off
+    assert packets.recovered(df.limit(0), packet="b").count() == 0
