@@ -19,6 +19,7 @@ more passes.
 from __future__ import annotations
 
 import functools
+import itertools
 import math
 import re
 from collections import Counter
@@ -42,10 +43,14 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049B
 
 
 class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        if len(self) >= KEPT_WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+    """Hashes of the words of what stands between white space, made when first met: no word runs over white space."""
+
+    def __missing__(self, chunk: str) -> tuple[int, ...]:
+        h = tuple(map(xxhash.xxh3_64_intdigest, WORD.findall(chunk)))
+        if len(chunk) <= 64:
+            if len(self) >= KEPT_WORDS:
+                self.clear()
+            self[chunk] = h
         return h
 
 
@@ -60,7 +65,10 @@ def words(text: str | None) -> list[str]:
 
 
 def word_hashes(text: str | None) -> np.ndarray:
-    return np.fromiter(map(_hashes().__getitem__, words(text)), np.uint64)
+    """64-bit hash of each of ``words(text)``, in order."""
+    if not text:
+        return np.empty(0, np.uint64)
+    return np.fromiter(itertools.chain.from_iterable(map(_hashes().__getitem__, visible(text).casefold().split())), np.uint64)
 
 
 def shingles(w: np.ndarray, size: int) -> np.ndarray:
@@ -289,7 +297,7 @@ def find_leaks(
     out = None
     for block in range(n):
         # The words of one block only; an item's windows are no more than its words.
-        own = [(r["id"], np.array(r["w"], np.int64).view(np.uint64)) for r in i.where(F.pmod(F.xxhash64("id"), F.lit(n)) == block).toLocalIterator()]
+        own = [(r["id"], np.array(r["w"], np.int64).view(np.uint64)) for r in i.where(F.pmod(F.xxhash64("id"), F.lit(n)) == block).collect()]
         shared = sc.broadcast(ItemIndex(own, run_words, radius))
         del own
 
