@@ -23,9 +23,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from newsloom.operators.slices import cuts_before, with_heads
+
 #: Rows that one group may hold before it is cut into slices, about.
 BUCKET_ROWS = 200_000
 #: Buckets that are shuffled together.
@@ -107,23 +109,13 @@ def _hot_spans(l: DataFrame, r: DataFrame, most: int) -> list[tuple]:  # noqa: E
     return [(*k, [cuts[k][round(i * grid / m) - 1] for i in range(1, m)]) for k, m in parts.items()]
 
 
-def _before(time: Column) -> Column:
-    """How many of the sorted ``cuts`` lie before a time: by a coarse list of every ``step``-th, then within its stretch."""
-    step = F.ceil(F.sqrt(F.size("cuts"))).cast("int")
-    coarse = F.size(F.filter(F.col("heads"), lambda c: c < time))
-    from_ = F.greatest(coarse - 1, F.lit(0)) * step
-    return F.when(F.size("cuts") == 0, 0).otherwise(from_ + F.size(F.filter(F.slice("cuts", from_ + 1, step), lambda c: c < time)))
-
-
 def _sliced(l: DataFrame, r: DataFrame, hot: list[tuple]) -> DataFrame:  # noqa: E741
     """Both sides by (e, b, s): s is the slice in a hot span and 0 elsewhere; with the summary rows of the hot slices' neighbours."""
-    plan = l.sparkSession.createDataFrame(hot, "e string, b bigint, cuts array<bigint>")
-    heads = F.transform(F.sequence(F.lit(0), F.size("cuts") - 1, F.ceil(F.sqrt(F.size("cuts"))).cast("int")), lambda i: F.get("cuts", i))
-    plan = plan.withColumn("heads", F.when(F.size("cuts") > 0, heads).otherwise(F.col("cuts")))
+    plan = with_heads(l.sparkSession.createDataFrame(hot, "e string, b bigint, cuts array<bigint>"))
     known = F.broadcast(plan)
-    at = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(_before(F.col("t")))
+    at = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(cuts_before(F.col("t")))
     # Left records of a time that is cut several times over may lie in any slice that ends or begins there.
-    same = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(_before(F.col("t") + 1) - _before(F.col("t")))
+    same = F.when(F.col("cuts").isNull(), F.lit(0)).otherwise(cuts_before(F.col("t") + 1) - cuts_before(F.col("t")))
     spread = F.pmod(F.xxhash64("id"), F.greatest(same, F.lit(1)).cast("long")).cast("int")
     ll = l.join(known, ["e", "b"], "left").select("e", "b", (at + spread).alias("s"), "t", "id", F.lit(1).alias("isl"))
     rr = r.join(known, ["e", "b"], "left").select("e", "b", at.alias("s"), "t", "id", F.col("cuts").isNotNull().alias("hot"))
