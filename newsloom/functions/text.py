@@ -249,3 +249,8 @@ def hex_id(c: Column) -> Column:
 def mixed(c: Column) -> Column:
     """A 64-bit mix of a long, for ids made of ids; only equality is promised."""
     return F.xxhash64(c)
+
+
+def json_value(c: Column, path: str, kind: str = "string") -> Column:
+    """The value at ``path`` (``$.a.b[0]``) of a JSON text as ``kind``; null if the text does not read, the path is absent, or the value is no such kind. 64-bit integers stay exact."""
+    return F.try_variant_get(F.try_parse_json(F.regexp_replace(c, "^\\ufeff", "")), path, kind)

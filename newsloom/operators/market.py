@@ -16,17 +16,24 @@ def prints(tape: DataFrame) -> DataFrame:
     return tape.where("ticker is not null and ts_ns is not null and printable and px_e4 > 0 and shares > 0")
 
 
-def session_rollup(t: DataFrame) -> DataFrame:
+def session_rollup(t: DataFrame, *, cross: str | None = None) -> DataFrame:
     """Per ticker and Eastern day: open, high, low, last, pre-market high, volume, notional, prints, VWAP.
 
     The open is the first print from 09:30 to 16:00 and null without one. Ties
-    in time go by print_id.
+    in time go by print_id. With a column ``cross`` (O opening, C closing, else null)
+    the opening cross sets the open, and ``close_e4`` is the price of the closing cross.
     """
     x = t.withColumns({"day": eastern_date(F.col("ts_ns")), "minute": eastern_minute(F.col("ts_ns"))})
     at = F.struct("ts_ns", "print_id")
     rth = F.col("minute").between(570, 959)
+    opening = F.min_by("px_e4", F.when(rth, at))
+    closing = []
+    if cross:
+        opening = F.coalesce(F.max_by("px_e4", F.when(F.col(cross) == "O", at)), opening)
+        closing = [F.max_by("px_e4", F.when(F.col(cross) == "C", at)).alias("close_e4")]
     return x.groupBy("ticker", "day").agg(
-        F.min_by("px_e4", F.when(rth, at)).alias("open_e4"),
+        opening.alias("open_e4"),
+        *closing,
         F.max("px_e4").alias("high_e4"),
         F.min("px_e4").alias("low_e4"),
         F.max_by("px_e4", at).alias("last_e4"),
@@ -81,13 +88,18 @@ def best_levels(levels: DataFrame, *, book: str, side: str, price: str) -> DataF
     )
 
 
+def closing_price(sessions: DataFrame) -> Column:
+    """Price of the closing cross, else the last of regular hours, else the last; 0 counts as none."""
+    return F.coalesce(*(F.nullif(F.col(c), F.lit(0)) for c in ("close_e4", "rth_last_e4") if c in sessions.columns), F.col("last_e4"))
+
+
 def baseline(sessions: DataFrame, n: int = 20) -> DataFrame:
     """Per ticker over the last ``n`` distinct days of all: mean volume over the days present, last close, days.
 
     The distinct days are few (one row per day), so ranking them is one small window.
     """
     days = sessions.select("day").distinct().withColumn("rank", F.row_number().over(Window.orderBy(F.desc("day")))).where(F.col("rank") <= n)
-    close = F.coalesce(F.nullif(F.col("rth_last_e4"), F.lit(0)), F.col("last_e4"))
+    close = closing_price(sessions)
     return sessions.join(days, "day").groupBy("ticker").agg(F.round(F.avg("volume"), 4).alias("adv"), F.max_by(close, F.col("day")).alias("prev_close_e4"), F.count(F.lit(1)).alias("days"))
 
 

@@ -419,13 +419,13 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(directory, allowMissingColumns=True)
 
 
-def _session(spark: SparkSession, d: str) -> DataFrame:
+def _session(spark: SparkSession, d: str, **options) -> DataFrame:
     """Recorded and read again. Times are since midnight, so ``ts_ns`` here is the time modulo a day."""
     spark.dataSource.register(market_files.SessionSource)
     m = _messages(spark, d).withColumn("ts_ns", F.pmod("ts_ns", F.lit(24 * HOUR))).withColumn("seq", F.row_number().over(Window.partitionBy("session").orderBy("n", "place", "locate")))
     at = scratch(spark, "itch")
     landing.land_sessions(m, at).collect()  # one row per file
-    return cut(spark.read.format("exchange_session").load(at))
+    return cut(spark.read.format("exchange_session").options(**options).load(at))
 
 
 @query(
@@ -486,7 +486,7 @@ def tops_of_book(spark, d):
 
 @query("q90_directory_symbols", f"select distinct ticker, 'Q' as category, 'N' as status from {USABLE} where ticker not in (select ticker from symbol_info where ticker < 'N')")
 def directory_symbols(spark, d):
-    return market_files.missing_symbols(_session(spark, d), table(spark, d, "symbol_info").where("ticker < 'N'"))
+    return market_files.missing_symbols(_session(spark, d, directoryOnly="true"), table(spark, d, "symbol_info").where("ticker < 'N'"))
 
 
 # ---- polling, tapes and alerts -----------------------------------------------------------------

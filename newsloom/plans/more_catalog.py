@@ -123,6 +123,16 @@ def names_of_files(spark, d):
     return o.select("o_orderkey", urls.accession(F.concat(F.lit("edgar/data/7/0001-"), k, F.lit(".txt"))).alias("accession"), urls.session_name_date(path).alias("day"), urls.date_session_name(urls.session_name_date(path)).alias("stem"))
 
 
+@query("q132_json_values", "select signal_id, signal_id * 1000000007 * 100003 + 1 as big, title as said, case when signal_id % 2 = 0 then score end as maybe, null::bigint as wrong from signals")
+def json_values(spark, d):
+    """Large integers, quoted text, missing and ill-typed values, at nested paths."""
+    s = table(spark, d, "signals")
+    big = F.col("signal_id") * 1000000007 * 100003 + 1
+    doc = F.to_json(F.struct(F.struct(big.alias("n"), F.array("title").alias("s")).alias("a"), F.when(F.col("signal_id") % 2 == 0, F.col("score")).alias("m"), F.lit("x1").alias("w")))
+    get = lambda path, kind="string": text.json_value(doc, path, kind)
+    return s.select("signal_id", get("$.a.n", "bigint").alias("big"), get("$.a.s[0]").alias("said"), get("$.m", "int").alias("maybe"), get("$.w", "bigint").alias("wrong"))
+
+
 @query("q102_mixed_ids", "select count(*) as n, true as apart from signals")
 def mixed_ids(spark, d):
     """Distinct longs have distinct mixes, equal ones equal mixes."""
@@ -182,6 +192,20 @@ def merged_by_time(spark, d):
     return ordered.with_running_sum(x, keys=["ticker"], time="time", tie=["r", "id"], value=(1 - F.col("r")).cast("bigint"), name="stories").drop("r")
 
 
+@query(
+    "q131_crosses",
+    f"""with t as (select *, {DAY} as day, {MIN} as m, case when print_id % 7 = 0 then 'O' when print_id % 11 = 0 then 'C' end as x from {PRINTS}),
+    s as (select ticker, day, coalesce(arg_max(px_e4, (ts_ns, print_id)) filter (x = 'O'), arg_min(px_e4, (ts_ns, print_id)) filter (m between 570 and 959)) as open_e4, arg_max(px_e4, (ts_ns, print_id)) filter (x = 'C') as close_e4, arg_max(px_e4, (ts_ns, print_id)) filter (m between 570 and 959) as r, arg_max(px_e4, (ts_ns, print_id)) as l from t group by all)
+    select ticker, day, open_e4, close_e4, coalesce(close_e4, r, l) as last_price_e4 from s""",
+    dates=("day",),
+)
+def crosses(spark, d):
+    """Some prints taken as opening and closing crosses."""
+    t = tape(spark, d).withColumn("x", F.when(F.col("print_id") % 7 == 0, "O").when(F.col("print_id") % 11 == 0, "C"))
+    s = market.session_rollup(t, cross="x")
+    return s.select("ticker", "day", "open_e4", "close_e4", market.closing_price(s).alias("last_price_e4"))
+
+
 # ---- stories and their securities --------------------------------------------------------------
 
 TAGGED = "(select signal_id, ticker, case signal_id % 4 when 0 then ['NASDAQ: ' || ticker] when 1 then ['NYSE: ' || ticker, 'TSX: ' || ticker] when 2 then ['OTC: ZZZZQ', 'NYSE: ' || lower(ticker)] else [] end as tags from signals where ticker is not null)"

@@ -107,7 +107,7 @@ def _inflated(stream: io.BufferedIOBase) -> tuple[bytes, bool]:
     return b"".join(parts), size == BLOCK
 
 
-def read_messages(stream: io.BufferedIOBase, session: str) -> Iterator:
+def read_messages(stream: io.BufferedIOBase, session: str, directory_only: bool = False) -> Iterator:
     """Record batches of a session; stops cleanly at a message or gzip stream that ends too early. Short and unknown messages are passed over."""
     rest, seq, goes_on = b"", 0, True
     while goes_on:
@@ -117,6 +117,11 @@ def read_messages(stream: io.BufferedIOBase, session: str) -> Iterator:
         buf = np.frombuffer(rest + more, np.uint8)
         table, used, n = decode_block(buf, session, seq)
         rest, seq = buf[used:].tobytes(), seq + n
+        if directory_only:
+            traded = np.isin(table["type"].to_numpy(zero_copy_only=False), ["A", "F", "P"])
+            if traded.any():
+                yield from table.slice(0, int(traded.argmax())).to_batches()
+                return
         yield from table.to_batches()
 
 
@@ -146,7 +151,10 @@ def session_files(paths: str) -> list[str]:
 
 
 class SessionSource(DataSource):
-    """``spark.read.format("exchange_session").load(paths)``: files, folders or patterns on any file system; one task per file, as gzip cannot be split."""
+    """``spark.read.format("exchange_session").load(paths)``: files, folders or patterns on any file system; one task per file, as gzip cannot be split.
+
+    With the option ``directoryOnly`` a file is read up to its first order or trade, before which the directory stands.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -162,6 +170,7 @@ class SessionSource(DataSource):
 class _SessionReader(DataSourceReader):
     def __init__(self, options):
         self.paths = options.get("path", "")
+        self.directory_only = options.get("directoryOnly", "false").lower() == "true"
 
     def partitions(self):
         return [InputPartition(p) for p in session_files(self.paths)]
@@ -172,7 +181,7 @@ class _SessionReader(DataSourceReader):
         with system.open_input_stream(at, compression=None) as raw:
             # Every stream offers read1, which an Arrow file alone does not.
             f = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(_Raw(raw), STEP)
-            yield from read_messages(f, path.rsplit("/", 1)[-1].split(".")[0])
+            yield from read_messages(f, path.rsplit("/", 1)[-1].split(".")[0], self.directory_only)
 
 
 class _Raw(io.RawIOBase):

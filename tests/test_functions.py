@@ -117,3 +117,19 @@ def test_histogram_buckets(spark):
 def test_quotes(spark):
     df = spark.createDataFrame([(1.0, 1.1), (0.0, 1.0), (2.0, 1.0)], "b double, a double")
     assert [round(r[0], 4) for r in df.select(market.spread_pct(F.col("b"), F.col("a"))).collect()] == [9.5238, 0, 0]
+
+
+def test_json_values(spark):
+    docs = ['{"a":{"n":9007199254740993,"s":["x\\"y",null]}}', '﻿{"a":{"n":"7"}}', '{"a":{"n":1.5}}', "{broken", "", None, '{"a":null}', '{"a":{"s":["null"]}}']
+    assert values(spark, lambda c: text.json_value(c, "$.a.n", "bigint"), docs)[:2] == [2**53 + 1, 7]
+    assert values(spark, lambda c: text.json_value(c, "$.a.s[0]"), docs) == ['x"y', None, None, None, None, None, None, "null"]
+    assert values(spark, lambda c: text.json_value(c, "$.a.s[1]"), docs) == [None] * 8
+
+
+def test_ids_and_characters(spark):
+    assert values(spark, text.hex_id, [255, -1, None], "bigint") == ["00000000000000ff", "f" * 16, None]
+    assert values(spark, text.utf8_char, [65, 0xE9, 0x20AC, 0x1F680, 0xD800, 0x110000, -1, None], "int") == ["A", "é", "€", "🚀", None, None, None, None]
+    assert values(spark, text.json_escaped, ['a"b\\\n', "", None]) == ['a\\"b\\\\\\n', "", None]
+    assert values(spark, times.parse_ymd, ["2025-02-28", "20250228", "2025-02-30", "x", None])[2:] == [None, None, None]
+    assert values(spark, lambda c: names.ordinal(c, names.TIERS), ["HIGH", "NONE", "x", None]) == [3, 0, None, None]
+    assert values(spark, names.distressed, ["N", " ", "", None, "D"]) == [False, False, False, False, True]
