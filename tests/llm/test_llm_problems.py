@@ -342,3 +342,18 @@ def test_transducer_survives_pickling():
 def test_words_are_runs_of_letters_and_digits():
     assert words("Don't stop-at 3.5_x") == ["don", "t", "stop", "at", "3", "5", "x"]
     assert re.fullmatch("[a-z]+", words("АВC")[0])
+
+
+def test_small_limits_change_nothing(spark, monkeypatch):
+    """The queries on the tables with limits so small that spans are cut, keys and classes salted and items come in many blocks."""
+    from newsloom.llm import hidden_duplicates, leaks, nearest_time, visible_form
+
+    d = f"{DATA}/sf0.01"
+    names = ("p4_found", "p5_found", "p7_found", "p8_found")
+    plain = lambda name: sorted(map(tuple, queries.queries()[name](spark, d).collect()))
+    want = {name: plain(name) for name in names}
+    for f, limits in ((nearest_time.nearest_in_time, {"bucket_rows": 5}), (leaks.find_leaks, {"block_windows": 4000}), (visible_form.look_alike_pairs, {"hot_rows": 2})):
+        monkeypatch.setattr(f, "__kwdefaults__", {**f.__kwdefaults__, **limits})
+    monkeypatch.setattr(hidden_duplicates.further_copies, "__defaults__", (2,))
+    for name in names:
+        assert plain(name) == want[name] and want[name], name
