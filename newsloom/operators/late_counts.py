@@ -24,8 +24,8 @@ from newsloom.runtime import cut, shuffle_partitions
 
 #: A busy slot's corrections are written in runs of so many, spread over the tasks.
 RUN = 10_000
-#: Stories of several panes up to this number are broadcast (under 100 MB), more are joined by a shuffle.
-LISTED = 500_000
+#: Stories of several panes up to this number are broadcast (under 10 MB), more are joined by a shuffle.
+LISTED = 50_000
 
 
 class Slices:

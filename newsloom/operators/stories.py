@@ -11,12 +11,12 @@ from newsloom.functions.names import normalize_company, normalize_symbol
 from newsloom.operators.ordered import asof_join
 
 
-def resolve_tags(stories: DataFrame, master: DataFrame, *, id_col: str, tags: str = "tags", most: int = 6, most_unresolved: int = 3) -> DataFrame:
+def resolve_tags(stories: DataFrame, master: DataFrame, *, id_col: str, tags: str = "tags", most: int | None = None, most_unresolved: int | None = None) -> DataFrame:
     """(id_col, tickers, unresolved): tags in order, those of US venues that the master knows, and the others.
 
     ``master`` has a distinct ``ticker`` column. Foreign tags never resolve. The
-    order of the tags is kept; only the first ``most`` and ``most_unresolved`` are
-    named, as in a journal row. Stories without tags get empty lists.
+    order of the tags is kept; with ``most`` and ``most_unresolved`` only the first so
+    many are named, as in a journal row. Stories without tags get empty lists.
     """
     t = stories.select(F.col(id_col).alias("_id"), F.posexplode(tags).alias("_at", "_tag")).withColumn("ticker", F.when(F.col("_tag.venue_class") != "Foreign", normalize_symbol(F.col("_tag.symbol"))))
     known = master.select("ticker").where(F.col("ticker").isNotNull()).distinct().withColumn("_known", F.lit(True))
@@ -29,14 +29,19 @@ def resolve_tags(stories: DataFrame, master: DataFrame, *, id_col: str, tags: st
     )
     none = F.array().cast("array<string>")
     out = stories.select(F.col(id_col).alias("_id")).join(lists, "_id", "left")
-    return out.select(F.col("_id").alias(id_col), F.coalesce(F.slice(F.array_distinct(F.col("a.s")), 1, most), none).alias("tickers"), F.coalesce(F.slice(F.array_distinct(F.col("b.s")), 1, most_unresolved), none).alias("unresolved"))
+    return out.select(F.col("_id").alias(id_col), F.coalesce(first_of(F.array_distinct(F.col("a.s")), most), none).alias("tickers"), F.coalesce(first_of(F.array_distinct(F.col("b.s")), most_unresolved), none).alias("unresolved"))
 
 
-def name_candidates(contributors: Column, title: Column, body: Column) -> Column:
-    """Array of company names a story may be about, best first: up to four contributors, the subject of the lead sentence, that of the headline."""
+def first_of(c: Column, most: int | None) -> Column:
+    """The first ``most`` of an array; all if it is None."""
+    return c if most is None else F.slice(c, 1, most)
+
+
+def name_candidates(contributors: Column, title: Column, body: Column, most: int | None = None) -> Column:
+    """Array of company names a story may be about, best first: the contributors (``most`` of them), the subject of the lead sentence, that of the headline."""
     lead = F.nullif(F.regexp_extract(F.coalesce(body, F.lit("")), r"--\s*(.{2,80}?)(?:,? \(| today| announced)", 1), F.lit(""))
     head = F.nullif(F.regexp_extract(F.coalesce(title, F.lit("")), r"^(.{2,80}?)(?: (?:Announces|Reports|Signs|Receives|Enters|Completes|Wins|Launches|Opens|Regains|Begins)\b|:)", 1), F.lit(""))
-    some = F.slice(F.coalesce(contributors, F.array().cast("array<string>")), 1, 4)
+    some = first_of(F.coalesce(contributors, F.array().cast("array<string>")), most)
     return F.array_compact(F.concat(some, F.array(lead, head)))
 
 

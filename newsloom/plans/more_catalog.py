@@ -298,7 +298,7 @@ def replayed(spark, d):
 
 @query("q113_issuer_tickers", f"""with m as (select ticker, cik, first_id, coalesce(exchange <> 'OTC', false) as listed, coalesce(regexp_matches(security_name, '(?i)(^|[^A-Za-z])(warrants?|units?|rights?)([^A-Za-z]|$)'), false) as derived from {MASTER} where cik is not null),
     r as (select *, row_number() over (partition by cik order by listed desc, derived, length(ticker), first_id, ticker) as r from m), o as (select *, row_number() over (partition by cik order by r > 1, first_id, ticker) as k from r)
-    select f.cik, coalesce(string_agg(ticker, ',' order by k) filter (k <= 6), '') as tickers from (select distinct cik from m union select distinct -c_custkey from customer) f left join o using (cik) group by 1""")
+    select f.cik, coalesce(string_agg(ticker, ',' order by k), '') as tickers from (select distinct cik from m union select distinct -c_custkey from customer) f left join o using (cik) group by 1""")
 def issuer_tickers(spark, d):
     """All securities of an issuer, its primary one first; unknown issuers have none."""
     m = _master(spark, d)

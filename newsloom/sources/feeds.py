@@ -15,6 +15,7 @@ from newsloom.functions.times import parse_any_datetime, parse_eastern
 from newsloom.functions.urls import resolve_url
 from newsloom.operators.phrases import ticker_tags
 from newsloom.operators.reference import primary_security
+from newsloom.operators.stories import first_of
 
 RSS = "guid string, id string, link array<struct<_text:string,_href:string,_rel:string>>, title string, description string, pubDate string, `content:encoded` string, summary string, content string, `dc:date` string, published string, updated string, `a10:updated` string, `dc:contributor` array<string>, category array<struct<_text:string,_term:string>>"
 ATOM = "id string, title string, updated string, published string, summary string, content string, link array<struct<_href:string,_rel:string>>"
@@ -88,8 +89,8 @@ def filing_entries(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def with_issuer_tickers(filings: DataFrame, master: DataFrame, *, most: int = 6) -> DataFrame:
-    """``filings`` with ``tickers``: the issuer's securities, the primary one first, then in load order, ``most`` at most; [] for unknown issuers.
+def with_issuer_tickers(filings: DataFrame, master: DataFrame, *, most: int | None = None) -> DataFrame:
+    """``filings`` with ``tickers``: the issuer's securities, the primary one first, then in load order, ``most`` at most if given; [] for unknown issuers.
 
     ``master`` has (cik, ticker, security_name, listed, load_order).
     """
@@ -97,7 +98,7 @@ def with_issuer_tickers(filings: DataFrame, master: DataFrame, *, most: int = 6)
     m = master.where("cik is not null and ticker is not null").join(primary, "cik")
     per = m.groupBy("cik").agg(F.array_sort(F.collect_set(F.struct((F.col("ticker") != F.col("_p")).alias("a"), F.col("load_order").alias("b"), F.col("ticker").alias("ticker"))))["ticker"].alias("tickers"))
     out = filings.join(per, "cik", "left")
-    return out.withColumn("tickers", F.coalesce(F.slice(F.array_distinct("tickers"), 1, most), F.array().cast("array<string>")))
+    return out.withColumn("tickers", F.coalesce(first_of(F.array_distinct("tickers"), most), F.array().cast("array<string>")))
 
 
 def halt_items(spark: SparkSession, path: str) -> DataFrame:

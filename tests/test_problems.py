@@ -114,3 +114,20 @@ def test_late_counts_of_stories_in_several_panes(spark):
     got = late(spark, rows, slide_ns=5, corrections_only=False)
     # window -5: a (12, late); 0: a (11, late) and b (16, late); 5: a (11, in time) and b (16, late); 15 and 20: a (33).
     assert got == sorted([("s", -5, 0), ("s", -5, 1), ("s", 0, 0), ("s", 0, 1), ("s", 0, 2), ("s", 5, 1), ("s", 5, 2), ("s", 15, 0), ("s", 15, 1), ("s", 20, 0), ("s", 20, 1)])
+
+
+def test_small_limits_change_nothing(spark, monkeypatch):
+    """Problems 1 and 2 on the tables with limits so small that every large entity is sliced and nothing is broadcast."""
+    from compare import DATA
+
+    from newsloom.operators import asof_attributes as aa
+    from newsloom.operators import late_counts
+    from newsloom.plans import core_problems as c
+
+    d = f"{DATA}/sf0.01"
+    plain = lambda df: sorted(map(tuple, df.collect()))
+    p1, p2 = plain(c.p1_found(spark, d)), plain(c.p2_sliding(spark, d))
+    monkeypatch.setattr(aa.attributes_asof, "__kwdefaults__", {**aa.attributes_asof.__kwdefaults__, "group_rows": 60})
+    monkeypatch.setattr(late_counts, "LISTED", 1)
+    assert plain(c.p1_found(spark, d)) == p1 and len(p1) > 1000
+    assert plain(c.p2_sliding(spark, d)) == p2 and len(p2) > 100

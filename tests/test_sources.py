@@ -69,8 +69,10 @@ def test_tags_are_resolved_before_they_are_capped(spark, tmp_path):
     many = "".join(f"<category>TSX:F{i:02}</category>" for i in range(20))
     x = feeds.rss_items(spark, put(tmp_path / "m.xml", f"<rss><channel><item><guid>1</guid><title>Quill (NASDAQ: QLFK)</title>{many}</item></channel></rss>"))
     assert rows(x, F.size("tags")) == [(21,)]
-    got = stories.resolve_tags(x, spark.createDataFrame([("QLFK",)], "ticker string"), id_col="id").first()
+    got = stories.resolve_tags(x, spark.createDataFrame([("QLFK",)], "ticker string"), id_col="id", most=6, most_unresolved=3).first()
     assert (got.tickers, got.unresolved) == (["QLFK"], ["TSX:F00", "TSX:F01", "TSX:F02"])
+    every = stories.resolve_tags(x, spark.createDataFrame([("QLFK",)], "ticker string"), id_col="id").first()
+    assert len(every.unresolved) == 20
 
 
 def test_pages_and_rebuild(spark):
