@@ -37,18 +37,21 @@ FIELDS = {
 SCHEMA = "session string, seq bigint, type string, locate int, ts_ns bigint, stock string, ref bigint, new_ref bigint, side string, shares bigint, px_e4 bigint, printable string, state string, reason string, code string, category string, status string"
 _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 BLOCK, STEP = 8 << 20, 1 << 20
+_LETTERS = [chr(i).rstrip(" \0") for i in range(256)]
 
 
 def _offsets(buf: np.ndarray) -> tuple[np.ndarray, int]:
     """Starts of the whole messages in a block of length-prefixed messages, and how far they reach."""
-    out, at, n, raw = [], 0, len(buf), buf.tobytes()
-    while at + 2 <= n:
-        size = (raw[at] << 8) | raw[at + 1]
-        if at + 2 + size > n:
+    out, at, n, raw = [], 2, len(buf), buf.tobytes()
+    while at <= n:
+        end = at + ((raw[at - 2] << 8) | raw[at - 1])
+        if end > n:
             break
-        out.append((at + 2, size))
-        at += 2 + size
-    return np.array(out, np.int64).reshape(-1, 2), at
+        out.append(at)
+        at = end + 2
+    starts = np.array(out, np.int64)
+    sizes = (buf[starts - 2].astype(np.int64) << 8) | buf[starts - 1]
+    return np.stack([starts, sizes], 1), at - 2
 
 
 def _number(rows: np.ndarray, at: int, width: int) -> np.ndarray:
@@ -71,14 +74,16 @@ def decode_block(buf: np.ndarray, session: str, first: int):
             if not len(which):
                 continue
             rows = buf[spans[which, 0][:, None] + np.arange(LENGTHS[kind])]
-            cols = {"session": pa.array([session] * len(which)), "seq": pa.array(which + first), "type": pa.array([kind] * len(which)), "locate": pa.array(_number(rows, 1, 2).astype(np.int32)), "ts_ns": pa.array(_number(rows, 5, 6))}
+            cols = {"session": pa.repeat(session, len(which)), "seq": pa.array(which + first), "type": pa.repeat(kind, len(which)), "locate": pa.array(_number(rows, 1, 2).astype(np.int32)), "ts_ns": pa.array(_number(rows, 5, 6))}
             for name, at, width in fields:
                 if isinstance(width, int):
                     cols[name] = pa.array(_number(rows, at, width))
+                elif width == "c":
+                    cols[name] = pa.array(_LETTERS).take(pa.array(rows[:, at]))
                 else:
-                    w = 1 if width == "c" else int(width[1:])
-                    text = np.ascontiguousarray(rows[:, at : at + w]).view(f"S{w}").ravel()
-                    cols[name] = pa.array([x.decode("latin-1").rstrip() for x in text.tolist()])
+                    w = int(width[1:])
+                    distinct, which_one = np.unique(np.ascontiguousarray(rows[:, at : at + w]).view(f"S{w}").ravel(), return_inverse=True)
+                    cols[name] = pa.array([x.decode("latin-1").rstrip() for x in distinct.tolist()], pa.string()).take(pa.array(which_one))
             parts.append(pa.table(cols))
     types = {"locate": pa.int32(), "seq": pa.int64(), "ts_ns": pa.int64(), "ref": pa.int64(), "new_ref": pa.int64(), "shares": pa.int64(), "px_e4": pa.int64()}
     schema = pa.schema([(c, types.get(c, pa.string())) for c in _COLUMNS])
