@@ -127,7 +127,8 @@ def start_corrections(partials: DataFrame, *, store: str, emitted: str, checkpoi
         around = -(-s.window // DAY)
         wanted = sorted({d + k for d in days for k in range(-around, around + 1)})
         # Batches of a later, failed attempt are not there yet: numbers only change by whole batches.
-        kept = spark.read.parquet(f"{store}/days").where(F.col("day").isin(wanted) & (F.col("batch") <= n))
+        # By pattern, so that only these days' folders are listed, however old the stream is.
+        kept = spark.read.option("basePath", f"{store}/days").parquet(f"{store}/days/day={{{','.join(map(str, wanted))}}}").where(F.col("batch") <= n)
         touched = new.select("src", F.explode(F.when(F.col("whole"), F.array("start")).otherwise(s.starts(F.col("start")))).alias("period_ns")).distinct()
         compose(latest_panes(kept), s).join(touched, ["src", "period_ns"], "left_semi").write.mode("overwrite").parquet(f"{emitted}/batch={n}")
 
