@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from newsloom.operators.slices import cuts_before, with_heads
+from newsloom.operators.slices import cuts_before, quantiles, slices_of, with_heads
 from newsloom.runtime import shuffle_partitions
 
 #: Rows of events and changes that one co-group may hold, about.
@@ -89,7 +89,7 @@ def attributes_asof(
     # One row for each entity over the limit, and one (null) for all others: at most total / group_rows + 1 rows.
     sizes = both.groupBy("entity").count().groupBy(F.when(F.col("count") > group_rows, F.col("entity")).alias("entity")).agg(F.sum("count").alias("n")).collect()
     total = sum(r["n"] for r in sizes)
-    big = {r["entity"]: math.ceil(r["n"] / group_rows) for r in sizes if r["entity"] is not None}
+    big = {r["entity"]: slices_of(r["n"], group_rows) for r in sizes if r["entity"] is not None}
     buckets = max(shuffle_partitions(spark), math.ceil(total / group_rows))
     cold = F.pmod(F.xxhash64("entity"), F.lit(buckets)).cast("int")
     if not big:
@@ -117,11 +117,10 @@ def attributes_asof(
 def _slices(spark, both: DataFrame, parts: dict[str, int], first: int) -> DataFrame:
     """(entity, base, cuts): quantiles of the times of each big entity; a few numbers a bucket."""
     most = max(parts.values())
-    at = [i / most for i in range(1, most)]
     rows = (
         both.where(F.col("entity").isin(list(parts)))
         .groupBy("entity")
-        .agg(F.percentile_approx("t", at or [0.5], max(10_000, 20 * most)).alias("cuts"))
+        .agg(quantiles("t", most).alias("cuts"))
         .collect()
     )
     plan, base = [], first

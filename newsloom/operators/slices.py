@@ -10,6 +10,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Slices of one group at most; beyond that they hold more rows, so that a plan and the sketches behind it stay small.
+MOST_SLICES = 10_000
+
+
+def slices_of(rows: int, most: int) -> int:
+    """Into how many slices a group is cut: of ``most`` rows, or more where that would be too many slices."""
+    return min(math.ceil(rows / most), MOST_SLICES)
+
+
+def quantiles(time: str, grid: int) -> Column:
+    """``grid`` - 1 cut points of equal shares, off by a tenth of a share at most."""
+    return F.percentile_approx(time, [i / grid for i in range(1, grid)] or [0.5], max(10_000, 20 * grid))
+
+
 def with_heads(plan: DataFrame) -> DataFrame:
     """``plan`` with ``heads``: every sqrt(n)-th of its sorted ``cuts``."""
     every = F.ceil(F.sqrt(F.size("cuts"))).cast("int")
@@ -40,10 +54,10 @@ def bursts(df: DataFrame, *, keys: Sequence[str], bucket: str, time: str, most:
     sizes = hot.groupBy(*keys, bucket).count().where(F.col("count") > most).collect()
     if not sizes:
         return None
-    parts = {tuple(r)[:-1]: math.ceil(r["count"] / most) for r in sizes}
+    parts = {tuple(r)[:-1]: slices_of(r["count"], most) for r in sizes}
     grid = max(parts.values())
     listed = F.broadcast(spark.createDataFrame(list(parts), schema)).alias("r")
-    q = hot.alias("l").join(listed, same("l", "r", [*keys, bucket]), "left_semi").groupBy(*keys, bucket).agg(F.percentile_approx(time, [i / grid for i in range(1, grid)], max(10_000, 20 * grid)).alias("q")).collect()
+    q = hot.alias("l").join(listed, same("l", "r", [*keys, bucket]), "left_semi").groupBy(*keys, bucket).agg(quantiles(time, grid).alias("q")).collect()
     rows = [(*tuple(r)[:-1], [r["q"][round(i * grid / parts[tuple(r)[:-1]]) - 1] for i in range(1, parts[tuple(r)[:-1]])]) for r in q]
     return with_heads(spark.createDataFrame(rows, T.StructType([*schema.fields, T.StructField("cuts", T.ArrayType(kinds[time].dataType))])))
 
