@@ -21,12 +21,10 @@ summary row per slice. No group therefore grows with a bucket's share of the row
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from newsloom.operators.slices import cuts_before, with_heads
+from newsloom.operators.slices import cuts_before, quantiles, slices_of, with_heads
 
 #: Rows that one group may hold before it is cut into slices, about.
 BUCKET_ROWS = 200_000
@@ -101,10 +99,10 @@ def _hot_spans(l: DataFrame, r: DataFrame, most: int) -> list[tuple]:  # noqa: E
     spans = both.where(F.col("e").isin(big)).groupBy("e", "b").count().where(F.col("count") > most).collect()
     if not spans:
         return []
-    parts = {(x["e"], x["b"]): math.ceil(x["count"] / most) for x in spans}
+    parts = {(x["e"], x["b"]): slices_of(x["count"], most) for x in spans}
     grid = max(parts.values())
     keys = l.sparkSession.createDataFrame(list(parts), "e string, b bigint")
-    q = both.join(F.broadcast(keys), ["e", "b"]).groupBy("e", "b").agg(F.percentile_approx("t", [i / grid for i in range(1, grid)], max(10_000, 20 * grid)).alias("q")).collect()
+    q = both.join(F.broadcast(keys), ["e", "b"]).groupBy("e", "b").agg(quantiles("t", grid).alias("q")).collect()
     cuts = {(x["e"], x["b"]): x["q"] for x in q}
     return [(*k, [cuts[k][round(i * grid / m) - 1] for i in range(1, m)]) for k, m in parts.items()]
 
