@@ -371,12 +371,13 @@ def bad_lines(spark, d):
 
 # ---- exchange sessions -------------------------------------------------------------------------
 #
-# A session of each ticker's initial holds the prints of its tickers, in time. Each usable print n of a ticker comes as six
+# A session of each ticker's initial (or more, each of at most LOCATES tickers) holds the prints of its tickers, in time. Each usable print n of a ticker comes as six
 # messages: an add of 3 * shares (a bid, or an ask 5 cents above), an execution of one share count at its own or a given price,
 # a cancel of half a share count, every third time a replacement 1 cent lower at the same size; five prints later the order is
 # deleted. Every fifth print also comes as a trade that names its symbol. References lie beyond 2**53, beside nulls.
 
 BIG = 2**53 + 1
+LOCATES = 2**16 - 1
 USABLE = "(select print_id, ticker, ts_ns, px_e4, shares, row_number() over (partition by ticker order by ts_ns, print_id) as n from tape where ticker is not null and ts_ns is not null and px_e4 > 10000 and shares > 1)"
 
 
@@ -385,8 +386,10 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "tape").where("ticker is not null and ts_ns is not null and px_e4 > 10000 and shares > 1")
     # A ticker's prints in order: for fixtures only, so one window over a ticker will do.
     t = t.withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy("ts_ns", "print_id")))
-    locates = t.select("ticker").distinct().withColumn("locate", F.row_number().over(Window.orderBy("ticker")).cast("int"))
-    t = t.join(locates, "ticker").withColumn("session", F.substring("ticker", 1, 1))
+    # Locates are numbers of one session and have two bytes: the tickers of an initial that are left over go to further sessions.
+    k = F.row_number().over(Window.partitionBy(F.substring("ticker", 1, 1)).orderBy("ticker")) - 1
+    locates = t.select("ticker").distinct().withColumn("k", k).select("ticker", F.concat_ws("_", F.substring("ticker", 1, 1), F.when(F.col("k") >= LOCATES, F.expr(f"string(k div {LOCATES})"))).alias("session"), (F.col("k") % LOCATES + 1).cast("int").alias("locate"))
+    t = t.join(locates, "ticker")
     px, sh = F.col("px_e4").cast("bigint"), F.col("shares").cast("bigint")
     side = F.when(F.col("n") % 2 == 0, "B").otherwise("S")
     price = px + F.when(side == "S", 500).otherwise(0)
@@ -415,7 +418,7 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
         )
     )
     rows = t.select("session", "locate", "ts_ns", F.explode(out).alias("m")).select("session", "locate", "ts_ns", "m.*")
-    directory = locates.withColumn("session", F.substring("ticker", 1, 1)).select("session", "locate", F.lit(0).cast("bigint").alias("ts_ns"), F.lit("R").alias("type"), F.lit(-1).alias("n"), F.lit(0).alias("place"), F.col("ticker").alias("stock"), F.lit("Q").alias("category"), F.lit("N").alias("status"), F.lit(100).cast("bigint").alias("shares"))
+    directory = locates.select("session", "locate", F.lit(0).cast("bigint").alias("ts_ns"), F.lit("R").alias("type"), F.lit(-1).alias("n"), F.lit(0).alias("place"), F.col("ticker").alias("stock"), F.lit("Q").alias("category"), F.lit("N").alias("status"), F.lit(100).cast("bigint").alias("shares"))
     return rows.unionByName(directory, allowMissingColumns=True)
 
 
@@ -447,7 +450,8 @@ def session_prints(spark, d):
     count(*) * 4 + count(*) filter (n % 3 = 0) + count(*) filter (print_id % 5 = 0) + count(*) filter (print_id % 11 = 0) + count(distinct ticker) as messages from {USABLE} group by 1""",
 )
 def session_counters(spark, d):
-    return market_files.session_counters(_session(spark, d))
+    c = market_files.session_counters(_session(spark, d))
+    return c.groupBy(F.substring("session", 1, 1).alias("session")).agg(*(F.sum(x).alias(x) for x in ("messages", "orders", "unknown_refs", "hidden")))
 
 
 # Each order as the stretches of its life: (from, upto, size) in places of its book, a place being print * 8 + message.
