@@ -127,7 +127,8 @@ def names_of_files(spark, d):
 def json_values(spark, d):
     """Large integers, quoted text, missing and ill-typed values, at nested paths."""
     s = table(spark, d, "signals")
-    big = F.col("signal_id") * 1000000007 * 100003 + 1
+    # Written exactly beyond 64 bits too; such a number is no bigint when read.
+    big = F.col("signal_id").cast("decimal(20,0)") * F.lit(1000000007 * 100003).cast("decimal(17,0)") + 1
     doc = F.to_json(F.struct(F.struct(big.alias("n"), F.array("title").alias("s")).alias("a"), F.when(F.col("signal_id") % 2 == 0, F.col("score")).alias("m"), F.lit("x1").alias("w")))
     get = lambda path, kind="string": text.json_value(doc, path, kind)
     return s.select("signal_id", get("$.a.n", "bigint").alias("big"), get("$.a.s[0]").alias("said"), get("$.m", "int").alias("maybe"), get("$.w", "bigint").alias("wrong"))

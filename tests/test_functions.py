@@ -133,3 +133,12 @@ def test_ids_and_characters(spark):
     assert values(spark, times.parse_ymd, ["2025-02-28", "20250228", "2025-02-30", "x", None])[2:] == [None, None, None]
     assert values(spark, lambda c: names.ordinal(c, names.TIERS), ["HIGH", "NONE", "x", None]) == [3, 0, None, None]
     assert values(spark, names.distressed, ["N", " ", "", None, "D"]) == [False, False, False, False, True]
+
+
+def test_json_values_beyond_64_bits(spark, tmp_path):
+    """The first id whose number is beyond 64 bits: every row comes, that one's number is no bigint."""
+    from newsloom.plans import catalog, more_catalog  # noqa: F401
+
+    spark.createDataFrame([(92230, "a", 1), (92231, "b", 2)], "signal_id long, title string, score int").write.parquet(f"{tmp_path}/signals.parquet")
+    got = sorted((r.signal_id, r.big, r.said) for r in catalog.queries()["q132_json_values"](spark, str(tmp_path)).collect())
+    assert got == [(92230, 92230 * 1000000007 * 100003 + 1, "a"), (92231, None, "b")]
