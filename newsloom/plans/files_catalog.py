@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from newsloom.functions import names, text, times
 from newsloom.operators import book, market
 from newsloom.plans.catalog import DAY, ET, HOUR, MASTER, MIN, S, _master, query
-from newsloom.runtime import cut, scratch, table
+from newsloom.runtime import scratch, shuffle_partitions, stored, table
 from newsloom.sources import alerts, feeds, journal_files, landing, market_files, packets, polling, reference_files
 
 WS = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -396,39 +396,33 @@ def _messages(spark: SparkSession, d: str) -> DataFrame:
     ref, new = F.col("print_id") * 2 + BIG, F.col("print_id") * 2 + BIG + 1
     third = F.col("n") % 3 == 0
 
-    def m(kind, place, when=None, step=0, **cols):
-        return F.when(F.lit(True) if when is None else when, F.struct(F.lit(kind).alias("type"), (F.col("n") + step).alias("n"), F.lit(place).alias("place"), *(v.alias(c) for c, v in cols.items())))
-
-    every = ["ref", "new_ref", "side", "shares", "px_e4", "printable", "stock", "code", "category", "status", "state", "reason"]
-    kinds = {"ref": "bigint", "new_ref": "bigint", "shares": "bigint", "px_e4": "bigint"}
-
-    def full(kind, place, when=None, step=0, **cols):
-        return m(kind, place, when, step, **{c: cols.get(c, F.lit(None)).cast(kinds.get(c, "string")) for c in every})
-
-    out = F.array_compact(
-        F.array(
-            full("A", 1, ref=ref, side=side, shares=sh * 3, px_e4=price, stock=F.col("ticker")),
-            full("E", 2, ~third, ref=ref, shares=sh),
-            full("C", 2, third, ref=ref, shares=sh, px_e4=price + 7, printable=F.when(F.col("n") % 2 == 0, "Y").otherwise("N")),
-            full("X", 3, ref=ref, shares=F.floor(sh / 2)),
-            full("U", 4, third, ref=ref, new_ref=new, shares=sh, px_e4=price - 100),
-            full("P", 5, F.col("print_id") % 5 == 0, side=side, shares=sh, px_e4=px, stock=F.col("ticker")),
-            full("D", 0, None, 5, ref=F.when(third, new).otherwise(ref)),
-            full("E", 6, F.col("print_id") % 11 == 0, ref=F.lit(7).cast("bigint"), shares=sh),
-        )
-    )
-    rows = t.select("session", "locate", "ts_ns", F.explode(out).alias("m")).select("session", "locate", "ts_ns", "m.*")
+    # Kinds of messages: the k-th letter of DAECXUPE; D stands five prints later.
+    kinds = F.array_compact(F.array(F.lit(0), F.lit(1), F.when(third, 3).otherwise(2), F.lit(4), F.when(third, 5), F.when(F.col("print_id") % 5 == 0, 6), F.when(F.col("print_id") % 11 == 0, 7)))
+    # Spread before they multiply: one ticker may have a tenth of all prints.
+    spread = t.repartition(shuffle_partitions(spark), "print_id")
+    k = F.col("k")
+    rows = spread.select("*", F.explode(kinds).alias("k")).select(
+        "session", "locate", "ts_ns", F.substring(F.lit("DAECXUPE"), k + 1, F.lit(1)).alias("type"), (F.col("n") + F.when(k == 0, 5).otherwise(0)).alias("n"), (k - F.when(k > 2, 1).otherwise(0)).alias("place"),
+        F.when(k == 7, F.lit(7).cast("bigint")).when((k == 0) & third, new).when(k != 6, ref).alias("ref"), F.when(k == 5, new).alias("new_ref"), F.when(k.isin(1, 6), side).alias("side"),
+        F.when(k == 1, sh * 3).when(k == 4, F.floor(sh / 2)).when(k != 0, sh).alias("shares"), F.when(k == 1, price).when(k == 3, price + 7).when(k == 5, price - 100).when(k == 6, px).alias("px_e4"),
+        F.when(k == 3, F.when(F.col("n") % 2 == 0, "Y").otherwise("N")).alias("printable"), F.when(k.isin(1, 6), F.col("ticker")).alias("stock"),
+    )
     directory = locates.select("session", "locate", F.lit(0).cast("bigint").alias("ts_ns"), F.lit("R").alias("type"), F.lit(-1).alias("n"), F.lit(0).alias("place"), F.col("ticker").alias("stock"), F.lit("Q").alias("category"), F.lit("N").alias("status"), F.lit(100).cast("bigint").alias("shares"))
     return rows.unionByName(directory, allowMissingColumns=True)
 
 
+def _ordered(spark: SparkSession, d: str) -> DataFrame:
+    """Messages whose ``seq`` has their order only, (n, place, locate) in one number. Times are since midnight, so ``ts_ns`` here is the time modulo a day."""
+    seq = ((F.col("n") + 1).cast("bigint") * 8 + F.col("place")) * (LOCATES + 1) + F.col("locate")
+    return _messages(spark, d).withColumns({"ts_ns": F.pmod("ts_ns", F.lit(24 * HOUR)), "seq": seq})
+
+
 def _session(spark: SparkSession, d: str, **options) -> DataFrame:
-    """Recorded and read again. Times are since midnight, so ``ts_ns`` here is the time modulo a day."""
+    """Recorded and read again."""
     spark.dataSource.register(market_files.SessionSource)
-    m = _messages(spark, d).withColumn("ts_ns", F.pmod("ts_ns", F.lit(24 * HOUR))).withColumn("seq", F.row_number().over(Window.partitionBy("session").orderBy("n", "place", "locate")))
     at = scratch(spark, "itch")
-    landing.land_sessions(m, at).collect()  # one row per file
-    return cut(spark.read.format("exchange_session").options(**options).load(at))
+    landing.land_sessions(_ordered(spark, d), at).collect()  # one row per file
+    return stored(spark.read.format("exchange_session").options(**options).load(at))
 
 
 @query(
@@ -553,8 +547,8 @@ def routed(spark, d):
 )
 def recovered_packets(spark, d):
     """The sessions again, as packets of seven messages and, over them, packets of four: every number comes twice, out of order."""
-    m = _messages(spark, d).withColumn("ts_ns", F.pmod("ts_ns", F.lit(24 * HOUR))).withColumn("seq", F.row_number().over(Window.partitionBy("session").orderBy("n", "place", "locate")).cast("bigint"))
-    e = cut(packets.encoded(m))
+    e = packets.encoded(_ordered(spark, d))
+    e = stored(e.withColumn("seq", F.row_number().over(Window.partitionBy("session").orderBy("seq")).cast("bigint")))
     sent = [packets.packed(e.withColumn("p", F.floor(F.col("seq") / k)), packet_of="p") for k in (7, 4)]
-    got = cut(packets.recovered(sent[0].unionByName(sent[1]), packet="packet"))
+    got = stored(packets.recovered(sent[0].unionByName(sent[1]), packet="packet"))
     return market_files.with_symbols(market_files.session_prints(got), got).groupBy("ticker", "px_e4", "shares", "kind").agg(F.count(F.lit(1)).alias("n"))

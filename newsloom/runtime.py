@@ -68,5 +68,12 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as Parquet files in the shared folder: for large rows of which later steps read a few columns each. They stay as long as the folder."""
+    at = scratch(df.sparkSession, "stored")
+    df.write.option("parquet.block.size", 32 << 20).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -9,7 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.sources.market_files import FIELDS, _opened, encode_message
+from newsloom.sources.market_files import _opened
+from newsloom.sources.packets import encoded
 
 
 def land_lines(lines: DataFrame, path: str, compression: str = "none") -> str:
@@ -44,9 +45,9 @@ def land_sessions(messages: DataFrame, folder: str) -> DataFrame:
     A file takes its name when it is whole, so that a task that is run again, or
     twice at once, leaves one whole file. Messages have the columns of the session source.
     """
-    cols = ["session", "type", "locate", "ts_ns", *sorted({name for fields in FIELDS.values() for name, _, _ in fields} & set(messages.columns))]
 
     def run(batches: Iterator) -> Iterator:
+        import numpy as np
         import pyarrow as pa
 
         system, at = _opened(folder)
@@ -61,19 +62,22 @@ def land_sessions(messages: DataFrame, folder: str) -> DataFrame:
                 done.append((now, n))
 
         for b in batches:
-            for row in b.to_pylist():
-                if row["session"] != now:
+            runs = b.column(0).dictionary_encode()
+            which = runs.indices.to_numpy(zero_copy_only=False)
+            starts = np.flatnonzero(np.diff(which, prepend=-1)).tolist()
+            for start, end in zip(starts, [*starts[1:], len(which)], strict=True):
+                session = runs.dictionary[int(which[start])].as_py()
+                if session != now:
                     close()
-                    now, n, part = row["session"], 0, f"{at}/.{uuid.uuid4().hex}"
+                    now, n, part = session, 0, f"{at}/.{uuid.uuid4().hex}"
                     raw = system.open_output_stream(part, compression=None)
-                    out = raw, gzip.GzipFile(fileobj=raw, mode="wb")
-                out[1].write(encode_message(row["type"], row["locate"], row["ts_ns"], **{c: row[c] for c in cols[4:]}))
-                n += 1
+                    out = raw, gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=6)
+                out[1].write(b"".join(b.column(2).slice(start, end - start).to_pylist()))
+                n += end - start
         close()
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], ["session", "messages"])
 
-    ordered = messages.repartition("session").sortWithinPartitions("session", "seq").select(*(F.col(c) for c in cols))
-    return ordered.mapInArrow(run, "session string, messages bigint")
+    return encoded(messages).repartition("session").sortWithinPartitions("session", "seq").mapInArrow(run, "session string, messages bigint")
 
 
 MARK = "_newsloom"

@@ -218,6 +218,42 @@ def encode_message(kind: str, locate: int, ts_ns: int, **values) -> bytes:
     return len(m).to_bytes(2, "big") + bytes(m)
 
 
+def encode_block(batch):
+    """The messages of a record batch with columns of the session source, with their length, as one binary array: ``encode_message`` of all rows at once."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    cols = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+    kinds = cols["type"].dictionary_encode()
+    names, kind_at = kinds.dictionary.to_pylist(), kinds.indices.to_numpy(zero_copy_only=False)
+    sizes = np.array([LENGTHS[k] + 2 for k in names], np.int64)[kind_at] if names else np.zeros(0, np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    out = np.zeros(offsets[-1], np.uint8)
+    for i, kind in enumerate(names):
+        which = np.flatnonzero(kind_at == i)
+        at_rows, m = pa.array(which), np.zeros((len(which), LENGTHS[kind] + 2), np.uint8)
+        m[:, 0], m[:, 1], m[:, 2] = LENGTHS[kind] >> 8, LENGTHS[kind] & 255, ord(kind)
+        for name, at, width in [("locate", 1, 2), ("ts_ns", 5, 6), *FIELDS[kind]]:
+            of = cols[name].take(at_rows) if name in cols else None
+            if isinstance(width, int):
+                if of is None:
+                    continue
+                v = pc.fill_null(of.cast(pa.int64()), 0).to_numpy(zero_copy_only=False)
+                if len(v) and (v.min() < 0 or width < 8 and v.max() >= 1 << 8 * width):
+                    raise OverflowError(f"{name} of a message {kind} does not fit {width} bytes")
+                m[:, at + 2 : at + 2 + width] = v.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 8 - width :]
+            else:
+                w = 1 if width == "c" else int(width[1:])
+                if of is None:
+                    m[:, at + 2 : at + 2 + w] = ord(" ")
+                    continue
+                d = pc.fill_null(of, "").dictionary_encode()
+                texts = b"".join(x.ljust(w)[:w].encode("latin-1") for x in d.dictionary.to_pylist())
+                m[:, at + 2 : at + 2 + w] = np.frombuffer(texts, np.uint8).reshape(-1, w)[d.indices.to_numpy(zero_copy_only=False)]
+        out[offsets[which][:, None] + np.arange(LENGTHS[kind] + 2)] = m
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+
+
 def session_prints(messages: DataFrame) -> DataFrame:
     """Prints ``(session, seq, locate, ts_ns, px_e4, shares, kind)`` of a session.
 

@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.sources.market_files import FIELDS, SCHEMA, decode_block, encode_message
+from newsloom.sources.market_files import FIELDS, SCHEMA, _number, decode_block, encode_block
 
 #: Bytes of the header's fields; the count that ends a session.
 SESSION_BYTES, HEADER, END = 10, 20, 0xFFFF
@@ -20,7 +20,11 @@ SESSION_BYTES, HEADER, END = 10, 20, 0xFFFF
 
 def encode_packet(session: str, seq: int, messages: list[bytes]) -> bytes:
     """A packet of messages that carry their length, for fixtures."""
-    return session.ljust(SESSION_BYTES).encode("latin-1") + seq.to_bytes(8, "big") + len(messages).to_bytes(2, "big") + b"".join(messages)
+    return _packet(session, seq, len(messages), b"".join(messages))
+
+
+def _packet(session: str, seq: int, count: int, body: bytes) -> bytes:
+    return session.ljust(SESSION_BYTES).encode("latin-1") + seq.to_bytes(8, "big") + count.to_bytes(2, "big") + body
 
 
 def split_packet(packet: bytes | None) -> tuple[str, int, list[bytes]] | None:
@@ -38,15 +42,48 @@ def split_packet(packet: bytes | None) -> tuple[str, int, list[bytes]] | None:
     return session, seq, out
 
 
+def _buffers(a) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, bytes) of a binary Arrow array without nulls."""
+    _, offsets, data = a.buffers()
+    return np.frombuffer(offsets, np.int32)[a.offset : a.offset + len(a) + 1].astype(np.int64), np.frombuffer(data or b"", np.uint8)
+
+
+def split_packets(packets):
+    """``split_packet`` of a binary Arrow array: a record batch (session, seq, message) of all messages of all packets, in order."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held = packets.filter(pc.greater_equal(pc.binary_length(packets), HEADER))
+    ends, data = _buffers(held) if len(held) else (np.zeros(1, np.int64), np.zeros(0, np.uint8))
+    head = data[ends[:-1, None] + np.arange(HEADER)]
+    at, end, count = ends[:-1] + HEADER, ends[1:], _number(head, SESSION_BYTES + 8, 2)
+    live, k, parts = np.flatnonzero((count > 0) & (count != END)), 0, []
+    while len(live):  # the next message of every packet that has one
+        live = live[at[live] + 2 <= end[live]]
+        size = data[at[live]].astype(np.int64) << 8 | data[at[live] + 1]
+        whole = at[live] + 2 + size <= end[live]
+        live, size = live[whole], size[whole]
+        parts.append((live, np.full(len(live), k), at[live] + 2, size))
+        at[live] += 2 + size
+        k += 1
+        live = live[count[live] > k]
+    of, number, start, size = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
+    order = np.argsort(of, kind="stable")
+    of, number, start, size = of[order], number[order], start[order], size[order]
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    out = data[np.arange(offsets[-1]) + np.repeat(start - offsets[:-1], size)]
+    names = pa.Array.from_buffers(pa.binary(SESSION_BYTES), len(head), [None, pa.py_buffer(np.ascontiguousarray(head[:, :SESSION_BYTES]))]).dictionary_encode()
+    session = pa.array([x.decode("latin-1").strip() for x in names.dictionary.to_pylist()], pa.string()).take(names.indices.take(pa.array(of)))
+    message = pa.Array.from_buffers(pa.binary(), len(of), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(out)])
+    return pa.RecordBatch.from_arrays([session, pa.array(_number(head, SESSION_BYTES, 8)[of] + number), message], ["session", "seq", "message"])
+
+
 def packet_messages(packets: DataFrame, *, packet: str) -> DataFrame:
     """(session, seq, message): every message of every packet, repeated ones too. Null and short packets give none."""
 
     def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         for b in batches:
-            rows = [(s, q + i, m) for got in map(split_packet, b.column(0).to_pylist()) if got for s, q, ms in [got] for i, m in enumerate(ms)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["session", "seq", "message"])
+            yield split_packets(b.column(0))
 
     return packets.select(packet).mapInArrow(run, "session string, seq bigint, message binary")
 
@@ -62,8 +99,12 @@ def recovered(packets: DataFrame, *, packet: str) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            raw = [m.to_bytes() if hasattr(m, "to_bytes") else m for m in b.column(2).to_pylist()]
-            table, _, _ = decode_block(np.frombuffer(b"".join(len(m).to_bytes(2, "big") + m for m in raw), np.uint8), "", 0)
+            offsets, data = _buffers(b.column(2))
+            size = np.diff(offsets)
+            raw, at = np.zeros(int(offsets[-1] - offsets[0]) + 2 * len(size), np.uint8), offsets[:-1] - offsets[0] + 2 * np.arange(len(size))
+            raw[at], raw[at + 1] = size >> 8, size & 255
+            raw[np.arange(offsets[-1] - offsets[0]) + 2 * np.repeat(np.arange(1, len(size) + 1), size)] = data[offsets[0] : offsets[-1]]
+            table, _, _ = decode_block(raw, "", 0)
             at = table["seq"]
             table = table.set_column(0, "session", b.column(0).take(at.combine_chunks())).set_column(1, "seq", b.column(1).take(at.combine_chunks()))
             yield from table.to_batches()
@@ -80,8 +121,7 @@ def encoded(messages: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            out = [encode_message(r["type"], r["locate"], r["ts_ns"], **{c: r[c] for c in values}) for r in b.to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["session", "seq", "message"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), encode_block(b)], ["session", "seq", "message"])
 
     return messages.select("session", "seq", "type", "locate", "ts_ns", *values).mapInArrow(run, "session string, seq bigint, message binary")
 
@@ -93,7 +133,11 @@ def packed(messages: DataFrame, *, packet_of: str) -> DataFrame:
         import pyarrow as pa
 
         for b in batches:
-            out = [encode_packet(s, ms[0]["seq"], [m["message"] for m in ms]) for s, ms in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            seq, message = b.column(1).flatten().flatten()
+            ends, (offsets, data) = b.column(1).offsets.to_numpy(), _buffers(message)
+            ends, raw, first = (ends - ends[0]).tolist(), data.tobytes(), seq.to_pylist()
+            at = offsets[ends].tolist()
+            out = [_packet(s, first[f], e - f, raw[x:y]) for s, f, e, x, y in zip(b.column(0).to_pylist(), ends, ends[1:], at, at[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["session", "packet"])
 
     g = messages.groupBy("session", packet_of).agg(F.array_sort(F.collect_list(F.struct("seq", "message"))).alias("ms")).select("session", "ms")

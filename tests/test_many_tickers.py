@@ -5,7 +5,7 @@ from compare import assert_same
 
 from newsloom.plans import catalog, files_catalog
 
-EXCHANGE = ["q130_recovered_packets"]
+EXCHANGE = ["q130_recovered_packets", "q86_session_prints"]
 
 
 @pytest.fixture(scope="module")
