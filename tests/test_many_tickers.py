@@ -5,7 +5,7 @@ from compare import assert_same
 
 from newsloom.plans import catalog, files_catalog
 
-EXCHANGE = ["q130_recovered_packets", "q86_session_prints", "q90_directory_symbols", "q87_session_counters", "q88_depth_after"]
+EXCHANGE = ["q130_recovered_packets", "q86_session_prints", "q90_directory_symbols", "q87_session_counters", "q88_depth_after", "q89_tops_of_book"]
 
 
 @pytest.fixture(scope="module")
