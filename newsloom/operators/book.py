@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from newsloom.operators.ordered import fold_sorted
 
 TOP = "session string, locate int, seq bigint, ts_ns bigint, bid_e4 bigint, bid_size bigint, ask_e4 bigint, ask_size bigint"
-CHANGES = "session string, locate int, seq bigint, side string, px_a bigint, shares_a bigint, px_b bigint, shares_b bigint"
+LEVELS = "session string, locate int, side string, px_e4 bigint, shares bigint"
 USED = "type in ('A', 'F', 'E', 'C', 'X', 'D', 'U')"
 
 
@@ -100,30 +100,24 @@ def depth_after(messages: DataFrame) -> DataFrame:
     """Standing shares per (session, locate, side, price) after all messages.
 
     An order may be replaced any number of times, so the books are folded in
-    message order as in ``tops_of_book``. A message changes one level, or two of a
-    side; of each level the state after its last change counts.
+    message order as in ``tops_of_book``; the levels that then stand are the result.
     """
     cols = ["session", "locate", "seq", "type", "ref", "new_ref", "side", "shares", "px_e4"]
 
     def step(book: _Book, row):
-        session, locate, seq, kind, ref, new_ref, side, shares, px = row
-        prices = (px, None)
+        _, _, _, kind, ref, new_ref, side, shares, px = row
         if kind in "AF":
-            if side not in ("B", "S"):
-                return book, None
-            book.put(ref, side, px, shares)
+            if side in ("B", "S"):
+                book.put(ref, side, px, shares)
+        elif kind == "U":
+            old = book.take(ref, None)
+            if old:
+                book.put(new_ref, old[0], px, shares)
         else:
-            old = book.take(ref, None if kind in "DU" else shares)
-            if old is None:
-                return book, None
-            side, prices = old[0], (old[1], None)
-            if kind == "U":
-                book.put(new_ref, side, px, shares)
-                prices = (old[1], px)
-        level = book.levels[side]
-        return book, (session, locate, seq, side, *(x for p in prices for x in (p, None if p is None else level.get(p, 0))))
-
-    changes = fold_sorted(messages.where(USED).select(*cols), keys=["session", "locate"], order=["seq"], step=step, start=_Book, out=CHANGES)
-    both = F.array(F.struct(F.col("px_a").alias("px_e4"), F.col("shares_a").alias("shares")), F.struct(F.col("px_b").alias("px_e4"), F.col("shares_b").alias("shares")))
-    levels = changes.select("session", "locate", "seq", "side", F.explode(both).alias("l")).select("session", "locate", "seq", "side", "l.*").where("px_e4 is not null")
-    return levels.groupBy("session", "locate", "side", "px_e4").agg(F.max(F.struct("seq", "shares"))["shares"].alias("shares")).where("shares > 0")
+            book.take(ref, None if kind == "D" else shares)
+        return book, None
+
+    def standing(key: tuple, book: _Book) -> list[tuple]:
+        return [(*key, side, px, shares) for side, level in book.levels.items() for px, shares in level.items() if px is not None and shares > 0]
+
+    return fold_sorted(messages.where(USED).select(*cols), keys=["session", "locate"], order=["seq"], step=step, start=_Book, out=LEVELS, finish=standing)

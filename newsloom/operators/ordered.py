@@ -119,12 +119,45 @@ def interval_stats(points: DataFrame, values: DataFrame, *, keys: Sequence[str],
     return out.select(F.col("_id").alias(point_id), F.coalesce("n", F.lit(0)).alias("n"), "weight", "notional", "high", "low")
 
 
-def fold_sorted(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], step: Callable, start: Callable, out: T.StructType | str) -> DataFrame:
+def _values(column) -> list:
+    """``to_pylist`` of an Arrow column of numbers or texts, ten times as fast: Arrow makes a scalar of each value."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    if pa.types.is_integer(column.type) and not column.null_count:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if pa.types.is_integer(column.type):
+        out = pc.fill_null(column, 0).to_numpy(zero_copy_only=False).astype(object)
+        out[column.is_null().to_numpy(zero_copy_only=False)] = None
+        return out.tolist()
+    if pa.types.is_string(column.type):
+        d = column.dictionary_encode()
+        texts = np.array([*d.dictionary.to_pylist(), None], object)
+        return texts[pc.fill_null(d.indices, len(texts) - 1).to_numpy(zero_copy_only=False)].tolist()
+    return column.to_pylist()
+
+
+def _run_starts(columns: list) -> list[int]:
+    """First rows of the runs of equal values of Arrow columns."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    new = np.zeros(len(columns[0]), bool)
+    new[:1] = True
+    for c in columns:
+        codes = pc.fill_null(c.dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        new[1:] |= codes[1:] != codes[:-1]
+    return np.flatnonzero(new).tolist()
+
+
+def fold_sorted(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], step: Callable, start: Callable, out: T.StructType | str, finish: Callable | None = None) -> DataFrame:
     """Sequential fold per key in constant memory.
 
     Rows are partitioned by ``keys`` and sorted; one pass carries the state
     across batches, so no key is ever held whole. ``step(state, row)`` gives
-    ``(state, result tuple or None)``; ``start()`` the state of a new key.
+    ``(state, result tuple or None)``; ``start()`` the state of a new key;
+    ``finish(key, state)`` the result tuples that come after a key's last row.
     """
     schema = T._parse_datatype_string(out) if isinstance(out, str) else out
     cols = df.columns
@@ -137,19 +170,29 @@ def fold_sorted(df: DataFrame, *, keys: Sequence[str], order: Sequence[str], ste
 
         kind = to_arrow_schema(schema)
         key, state = None, None
+
+        def batch(rows):
+            columns = zip(*rows, strict=True) if rows else [()] * len(kind)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
+
         for b in batches:
-            rows = []
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                k = tuple(row[i] for i in at)
+            rows, starts, columns = [], _run_starts([b.column(i) for i in at]), [_values(c) for c in b.columns]
+            for first, end in zip(starts, [*starts[1:], len(b)], strict=True):
+                k = tuple(columns[i][first] for i in at)
                 if k != key:
+                    if finish and key is not None:
+                        rows.extend(finish(key, state))
                     key, state = k, start()
-                state, got = step(state, row)
-                if got is not None:
-                    rows.append(got)
-            columns = zip(*rows, strict=True) if rows else [()] * len(kind)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], schema=kind)
-
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+                for row in zip(*(c[first:end] for c in columns), strict=True):
+                    state, got = step(state, row)
+                    if got is not None:
+                        rows.append(got)
+            yield batch(rows)
+        if finish and key is not None:
+            yield batch(finish(key, state))
+
+    # Any order of the keys keeps a key's rows together; the last one tells most rows apart.
+    return df.repartition(*keys).sortWithinPartitions(*reversed(keys), *order).mapInArrow(run, schema)
 
 
 def runs_apart(df: DataFrame, *, keys: Sequence[str], time: str, tie: Sequence[str], gap: int, name: str = "run", width: int = HOUR) -> DataFrame:

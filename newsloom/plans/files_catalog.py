@@ -381,48 +381,60 @@ LOCATES = 2**16 - 1
 USABLE = "(select print_id, ticker, ts_ns, px_e4, shares, row_number() over (partition by ticker order by ts_ns, print_id) as n from tape where ticker is not null and ts_ns is not null and px_e4 > 10000 and shares > 1)"
 
 
-def _messages(spark: SparkSession, d: str) -> DataFrame:
-    """Messages without ``seq``, ordered by (session, place)."""
+def _messages(spark: SparkSession, d: str, in_order: bool = False) -> DataFrame:
+    """Messages without ``seq``, ordered by (session, n, place); with ``in_order`` parted by session and sorted."""
     t = table(spark, d, "tape").where("ticker is not null and ts_ns is not null and px_e4 > 10000 and shares > 1")
-    # A ticker's prints in order: for fixtures only, so one window over a ticker will do.
-    t = t.withColumn("n", F.row_number().over(Window.partitionBy("ticker").orderBy("ts_ns", "print_id")))
+    # A ticker's prints in order: for fixtures only, so one window over a ticker will do. Each comes with the print whose order is deleted then.
+    w = Window.partitionBy("ticker").orderBy("ts_ns", "print_id")
+    t = t.withColumns({"n": F.row_number().over(w), "gone": F.lag("print_id", 5).over(w), "gone_ns": F.lag("ts_ns", 5).over(w), "late": F.lead("print_id", 5).over(w).isNull()})
     # Locates are numbers of one session and have two bytes: the tickers of an initial that are left over go to further sessions.
     k = F.row_number().over(Window.partitionBy(F.substring("ticker", 1, 1)).orderBy("ticker")) - 1
     locates = t.select("ticker").distinct().withColumn("k", k).select("ticker", F.concat_ws("_", F.substring("ticker", 1, 1), F.when(F.col("k") >= LOCATES, F.expr(f"string(k div {LOCATES})"))).alias("session"), (F.col("k") % LOCATES + 1).cast("int").alias("locate"))
-    t = t.join(locates, "ticker")
-    px, sh = F.col("px_e4").cast("bigint"), F.col("shares").cast("bigint")
-    side = F.when(F.col("n") % 2 == 0, "B").otherwise("S")
+    # Five more places follow the last print of a ticker, with deletes only.
+    extra = F.col("extra")
+    t = t.join(locates, "ticker").withColumn("extra", F.explode(F.when(F.col("late"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    t = t.select(
+        "session", "locate", "ticker", "ts_ns", F.when(~extra, F.col("print_id")).alias("print_id"), F.col("px_e4").cast("bigint").alias("px"), F.col("shares").cast("bigint").alias("sh"), (F.col("n") + F.when(extra, 5).otherwise(0)).alias("n"),
+        F.when(extra, F.col("print_id")).otherwise(F.col("gone")).alias("gone"), F.when(extra, F.col("ts_ns")).otherwise(F.col("gone_ns")).alias("gone_ns"),
+    ).unionByName(locates.withColumn("n", F.lit(-1)), allowMissingColumns=True)
+    # Moved before they multiply: one ticker may have a tenth of all prints.
+    t = t.repartition("session").sortWithinPartitions("session", "n", "locate") if in_order else t.repartition(shuffle_partitions(spark), "ticker", "n")
+
+    n, px, sh = F.col("n"), F.col("px"), F.col("sh")
+    side = F.when(n % 2 == 0, "B").otherwise("S")
     price = px + F.when(side == "S", 500).otherwise(0)
-    ref, new = F.col("print_id") * 2 + BIG, F.col("print_id") * 2 + BIG + 1
-    third = F.col("n") % 3 == 0
-
-    # Kinds of messages: the k-th letter of DAECXUPE; D stands five prints later.
-    kinds = F.array_compact(F.array(F.lit(0), F.lit(1), F.when(third, 3).otherwise(2), F.lit(4), F.when(third, 5), F.when(F.col("print_id") % 5 == 0, 6), F.when(F.col("print_id") % 11 == 0, 7)))
-    # Spread before they multiply: one ticker may have a tenth of all prints.
-    spread = t.repartition(shuffle_partitions(spark), "print_id")
+    ref = lambda c: F.col(c) * 2 + BIG
+    third, here = n % 3 == 0, F.col("print_id").isNotNull()
+    # Kinds of messages: the k-th letter of DAECXUPER; D is of the order five prints before.
+    kinds = F.array_compact(F.array(
+        F.when(F.col("gone").isNotNull(), 0), F.when(here, 1), F.when(here, F.when(third, 3).otherwise(2)), F.when(here, 4), F.when(here & third, 5), F.when(F.col("print_id") % 5 == 0, 6), F.when(F.col("print_id") % 11 == 0, 7), F.when(n < 0, 8)
+    ))
     k = F.col("k")
-    rows = spread.select("*", F.explode(kinds).alias("k")).select(
-        "session", "locate", "ts_ns", F.substring(F.lit("DAECXUPE"), k + 1, F.lit(1)).alias("type"), (F.col("n") + F.when(k == 0, 5).otherwise(0)).alias("n"), (k - F.when(k > 2, 1).otherwise(0)).alias("place"),
-        F.when(k == 7, F.lit(7).cast("bigint")).when((k == 0) & third, new).when(k != 6, ref).alias("ref"), F.when(k == 5, new).alias("new_ref"), F.when(k.isin(1, 6), side).alias("side"),
-        F.when(k == 1, sh * 3).when(k == 4, F.floor(sh / 2)).when(k != 0, sh).alias("shares"), F.when(k == 1, price).when(k == 3, price + 7).when(k == 5, price - 100).when(k == 6, px).alias("px_e4"),
-        F.when(k == 3, F.when(F.col("n") % 2 == 0, "Y").otherwise("N")).alias("printable"), F.when(k.isin(1, 6), F.col("ticker")).alias("stock"),
+    return t.select("*", F.explode(kinds).alias("k")).select(
+        "session", "locate", F.when(k == 0, F.col("gone_ns")).when(k == 8, F.lit(0)).otherwise(F.col("ts_ns")).alias("ts_ns"), F.substring(F.lit("DAECXUPER"), k + 1, F.lit(1)).alias("type"), "n", F.when(k < 8, k - F.when(k > 2, 1).otherwise(0)).otherwise(0).alias("place"),
+        F.when(k == 7, F.lit(7).cast("bigint")).when(k == 0, ref("gone") + F.when((n - 5) % 3 == 0, 1).otherwise(0)).when(k < 6, ref("print_id")).alias("ref"), F.when(k == 5, ref("print_id") + 1).alias("new_ref"), F.when(k.isin(1, 6), side).alias("side"),
+        F.when(k == 1, sh * 3).when(k == 4, F.floor(sh / 2)).when(k == 8, F.lit(100).cast("bigint")).when(k != 0, sh).alias("shares"), F.when(k == 1, price).when(k == 3, price + 7).when(k == 5, price - 100).when(k == 6, px).alias("px_e4"),
+        F.when(k == 3, F.when(n % 2 == 0, "Y").otherwise("N")).alias("printable"), F.when(k.isin(1, 6, 8), F.col("ticker")).alias("stock"), F.when(k == 8, "Q").alias("category"), F.when(k == 8, "N").alias("status"),
     )
-    directory = locates.select("session", "locate", F.lit(0).cast("bigint").alias("ts_ns"), F.lit("R").alias("type"), F.lit(-1).alias("n"), F.lit(0).alias("place"), F.col("ticker").alias("stock"), F.lit("Q").alias("category"), F.lit("N").alias("status"), F.lit(100).cast("bigint").alias("shares"))
-    return rows.unionByName(directory, allowMissingColumns=True)
+
+
+def _of_day(messages: DataFrame) -> DataFrame:
+    """Times are since midnight, so ``ts_ns`` here is the time modulo a day."""
+    return messages.withColumn("ts_ns", F.pmod("ts_ns", F.lit(24 * HOUR)))
 
 
 def _ordered(spark: SparkSession, d: str) -> DataFrame:
-    """Messages whose ``seq`` has their order only, (n, place, locate) in one number. Times are since midnight, so ``ts_ns`` here is the time modulo a day."""
+    """Messages whose ``seq`` has their order only, (n, place, locate) in one number."""
     seq = ((F.col("n") + 1).cast("bigint") * 8 + F.col("place")) * (LOCATES + 1) + F.col("locate")
-    return _messages(spark, d).withColumns({"ts_ns": F.pmod("ts_ns", F.lit(24 * HOUR)), "seq": seq})
+    return _of_day(_messages(spark, d)).withColumn("seq", seq)
 
 
-def _session(spark: SparkSession, d: str, **options) -> DataFrame:
-    """Recorded and read again."""
+def _session(spark: SparkSession, d: str, *columns: str, **options) -> DataFrame:
+    """Recorded and read again, the given columns."""
     spark.dataSource.register(market_files.SessionSource)
     at = scratch(spark, "itch")
-    landing.land_sessions(_ordered(spark, d), at).collect()  # one row per file
-    return stored(spark.read.format("exchange_session").options(**options).load(at))
+    landing.land_sessions(_of_day(_messages(spark, d, in_order=True)), at, in_order=True).collect()  # one row per file
+    return stored(spark.read.format("exchange_session").options(**options).load(at).select(*(columns or "*")))
 
 
 @query(
@@ -444,7 +456,7 @@ def session_prints(spark, d):
     count(*) * 4 + count(*) filter (n % 3 = 0) + count(*) filter (print_id % 5 = 0) + count(*) filter (print_id % 11 = 0) + count(distinct ticker) as messages from {USABLE} group by 1""",
 )
 def session_counters(spark, d):
-    c = market_files.session_counters(_session(spark, d))
+    c = market_files.session_counters(_session(spark, d, "session", "type", "ref", "new_ref", "printable"))
     return c.groupBy(F.substring("session", 1, 1).alias("session")).agg(*(F.sum(x).alias(x) for x in ("messages", "orders", "unknown_refs", "hidden")))
 
 
@@ -462,10 +474,10 @@ LAST = f"(select ticker, max(n) + 6 as upto from {USABLE} group by 1)"
 )
 def depth_after(spark, d):
     """Standing shares before the deletes of the last five prints."""
-    m = _session(spark, d)
+    m = _session(spark, d, "session", "seq", "type", "locate", "stock", "ref", "new_ref", "side", "shares", "px_e4")
     # The deletes that come after a book's last print: those whose order is among its last five.
     last = m.where("type = 'A'").groupBy("session", "locate").agg(F.max("seq").alias("last_seq"))
-    late = m.join(last, ["session", "locate"]).where("type <> 'D' or seq < last_seq").drop("last_seq")
+    late = m.join(last.hint("shuffle_hash"), ["session", "locate"]).where("type <> 'D' or seq < last_seq").drop("last_seq")
     return market_files.with_symbols(book.depth_after(late), m).select("ticker", "side", "px_e4", "shares")
 
 
@@ -478,13 +490,13 @@ def depth_after(spark, d):
     select ticker, bid_e4, bid_size, ask_e4, ask_size, count(*) as n from c where before is null or top is distinct from previous group by all""",
 )
 def tops_of_book(spark, d):
-    m = _session(spark, d)
+    m = _session(spark, d, "session", "seq", "type", "locate", "ts_ns", "stock", "ref", "new_ref", "side", "shares", "px_e4")
     return market_files.with_symbols(book.tops_of_book(m), m).groupBy("ticker", "bid_e4", "bid_size", "ask_e4", "ask_size").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q90_directory_symbols", f"select distinct ticker, 'Q' as category, 'N' as status from {USABLE} where ticker not in (select ticker from symbol_info where ticker < 'N')")
 def directory_symbols(spark, d):
-    return market_files.missing_symbols(_session(spark, d, directoryOnly="true"), table(spark, d, "symbol_info").where("ticker < 'N'"))
+    return market_files.missing_symbols(_session(spark, d, "type", "stock", "category", "status", directoryOnly="true"), table(spark, d, "symbol_info").where("ticker < 'N'"))
 
 
 # ---- polling, tapes and alerts -----------------------------------------------------------------

@@ -9,8 +9,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from newsloom.sources.market_files import _opened
-from newsloom.sources.packets import encoded
+from newsloom.sources.market_files import _opened, encode_block
+from newsloom.sources.packets import _buffers, encoded, values_of
 
 
 def land_lines(lines: DataFrame, path: str, compression: str = "none") -> str:
@@ -39,10 +39,11 @@ def land_table(df: DataFrame, path: str, sep: str, header: bool = True) -> str:
     return path
 
 
-def land_sessions(messages: DataFrame, folder: str) -> DataFrame:
+def land_sessions(messages: DataFrame, folder: str, in_order: bool = False) -> DataFrame:
     """Record messages to ``folder/SESSION.gz``, one file per session, in the order of ``seq``; rows (session, messages).
 
-    A file takes its name when it is whole, so that a task that is run again, or
+    With ``in_order`` they are parted by session and stand in order already; then nothing is moved or sorted here, and
+    they need no ``seq``. A file takes its name when it is whole, so that a task that is run again, or
     twice at once, leaves one whole file. Messages have the columns of the session source.
     """
 
@@ -62,6 +63,7 @@ def land_sessions(messages: DataFrame, folder: str) -> DataFrame:
                 done.append((now, n))
 
         for b in batches:
+            offsets, data = _buffers(encode_block(b) if in_order else b.column(2))
             runs = b.column(0).dictionary_encode()
             which = runs.indices.to_numpy(zero_copy_only=False)
             starts = np.flatnonzero(np.diff(which, prepend=-1)).tolist()
@@ -72,12 +74,13 @@ def land_sessions(messages: DataFrame, folder: str) -> DataFrame:
                     now, n, part = session, 0, f"{at}/.{uuid.uuid4().hex}"
                     raw = system.open_output_stream(part, compression=None)
                     out = raw, gzip.GzipFile(fileobj=raw, mode="wb", compresslevel=6)
-                out[1].write(b"".join(b.column(2).slice(start, end - start).to_pylist()))
+                out[1].write(data[offsets[start] : offsets[end]])
                 n += end - start
         close()
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], ["session", "messages"])
 
-    return encoded(messages).repartition("session").sortWithinPartitions("session", "seq").mapInArrow(run, "session string, messages bigint")
+    rows = messages.select("session", "type", "locate", "ts_ns", *values_of(messages)) if in_order else encoded(messages).repartition("session").sortWithinPartitions("session", "seq")
+    return rows.mapInArrow(run, "session string, messages bigint")
 
 
 MARK = "_newsloom"

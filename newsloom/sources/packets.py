@@ -113,9 +113,13 @@ def recovered(packets: DataFrame, *, packet: str) -> DataFrame:
     return one.mapInArrow(run, SCHEMA)
 
 
+def values_of(messages: DataFrame) -> list[str]:
+    """The columns that hold fields of some type of message."""
+    return sorted({name for fields in FIELDS.values() for name, _, _ in fields} & set(messages.columns))
+
+
 def encoded(messages: DataFrame) -> DataFrame:
     """(session, seq, message) of rows with the columns of the session source; messages carry their length. For fixtures and recorders."""
-    values = sorted({name for fields in FIELDS.values() for name, _, _ in fields} & set(messages.columns))
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -123,7 +127,7 @@ def encoded(messages: DataFrame) -> DataFrame:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), encode_block(b)], ["session", "seq", "message"])
 
-    return messages.select("session", "seq", "type", "locate", "ts_ns", *values).mapInArrow(run, "session string, seq bigint, message binary")
+    return messages.select("session", "seq", "type", "locate", "ts_ns", *values_of(messages)).mapInArrow(run, "session string, seq bigint, message binary")
 
 
 def packed(messages: DataFrame, *, packet_of: str) -> DataFrame:

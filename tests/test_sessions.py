@@ -114,3 +114,28 @@ def test_packets_in_any_order_give_each_message_once(spark):
     got = sorted((r.session, r.seq, r.ref) for r in packets.recovered(df, packet="b").collect())
     assert got == [("S1", i + 1, 2**60 + i) for i in range(7)] + [("S2", 1, 2**60 + 7)]  # the last message of S2 is cut off
     assert packets.recovered(df.limit(0), packet="b").count() == 0
+
+
+def test_a_depth_moves_messages_once_and_no_changes(spark):
+    """The fold gives the levels that stand at its end: one shuffle, and no aggregation of what each message changed."""
+    rows = [("s", x % 3, x, 0, "A", x, None, "BS"[x % 2], 10, 500 + x % 5) for x in range(60)] + [("s", 0, 99, 0, "U", 0, 100, None, 4, 77), ("s", 1, 98, 0, "E", 1, None, None, 10, None), ("t", 0, 1, 0, "A", 5, None, "B", 3, 9)]
+    m = spark.createDataFrame(rows, "session string, locate int, seq long, ts_ns long, type string, ref long, new_ref long, side string, shares long, px_e4 long")
+    got = book.depth_after(m)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+    want = {}
+    for s, loc, _, _, kind, ref, _, side, shares, px in rows[:60] + rows[-1:]:
+        want[s, loc, side, px] = want.get((s, loc, side, px), 0) + shares * (ref not in (0, 1) or s == "t")
+    want["s", 0, "B", 77] = 4
+    assert {(r.session, r.locate, r.side, r.px_e4): r.shares for r in got.collect()} == {k: v for k, v in want.items() if v}
+
+
+def test_sessions_in_order_are_written_as_they_stand(spark, tmp_path):
+    rows = [(f"s{i % 2}", i, 1, i, "A", 2**60 + i, "B", 10, 500, None) for i in range(50)]
+    m = spark.createDataFrame(rows, "session string, seq long, locate int, ts_ns long, type string, ref long, side string, shares long, px_e4 long, stock string")
+    assert sorted(map(tuple, landing.land_sessions(m, f"{tmp_path}/a").collect())) == [("s0", 25), ("s1", 25)]
+    parted = m.repartition("session").sortWithinPartitions("session", "seq").drop("seq")
+    written = landing.land_sessions(parted, f"{tmp_path}/b", in_order=True)
+    assert written._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the caller's own
+    written.collect()
+    assert all(gzip.decompress((tmp_path / "a" / n).read_bytes()) == gzip.decompress((tmp_path / "b" / n).read_bytes()) for n in ("s0.gz", "s1.gz"))
