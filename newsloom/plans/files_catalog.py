@@ -429,12 +429,13 @@ def _ordered(spark: SparkSession, d: str) -> DataFrame:
     return _of_day(_messages(spark, d)).withColumn("seq", seq)
 
 
-def _session(spark: SparkSession, d: str, *columns: str, **options) -> DataFrame:
-    """Recorded and read again, the given columns."""
+def _session(spark: SparkSession, d: str, *columns: str, keep: bool = True, **options) -> DataFrame:
+    """Recorded and read again, the given columns; kept for several reads unless ``keep`` is off."""
     spark.dataSource.register(market_files.SessionSource)
     at = scratch(spark, "itch")
     landing.land_sessions(_of_day(_messages(spark, d, in_order=True)), at, in_order=True).collect()  # one row per file
-    return stored(spark.read.format("exchange_session").options(**options).load(at).select(*(columns or "*")))
+    m = spark.read.format("exchange_session").options(**options).load(at).select(*(columns or "*"))
+    return stored(m) if keep else m
 
 
 @query(
@@ -456,7 +457,7 @@ def session_prints(spark, d):
     count(*) * 4 + count(*) filter (n % 3 = 0) + count(*) filter (print_id % 5 = 0) + count(*) filter (print_id % 11 = 0) + count(distinct ticker) as messages from {USABLE} group by 1""",
 )
 def session_counters(spark, d):
-    c = market_files.session_counters(_session(spark, d, "session", "type", "ref", "new_ref", "printable"))
+    c = market_files.session_counters(_session(spark, d, "session", "type", "ref", "new_ref", "printable", keep=False))
     return c.groupBy(F.substring("session", 1, 1).alias("session")).agg(*(F.sum(x).alias(x) for x in ("messages", "orders", "unknown_refs", "hidden")))
 
 

@@ -318,10 +318,14 @@ def with_symbols(rows: DataFrame, messages: DataFrame) -> DataFrame:
 
 def session_counters(messages: DataFrame) -> DataFrame:
     """(session, messages, orders, unknown_refs, hidden): messages that name an order which no earlier kind of message of the session brought in count as unknown."""
-    born = messages.where("type in ('A', 'F')").select("session", "ref").unionByName(messages.where("type = 'U'").select("session", F.col("new_ref").alias("ref"))).distinct()
-    lost = messages.where("type in ('E', 'C', 'X', 'D', 'U')").join(born, ["session", "ref"], "left_anti").groupBy("session").agg(F.count(F.lit(1)).alias("unknown_refs"))
-    all_ = messages.groupBy("session").agg(F.count(F.lit(1)).alias("messages"), F.count_if(F.col("type").isin("A", "F")).alias("orders"), F.count_if((F.col("type") == "C") & (F.col("printable") != "Y")).alias("hidden"))
-    return all_.join(lost, "session", "left").withColumn("unknown_refs", F.coalesce("unknown_refs", F.lit(0)))
+    # One pass; one row per reference and task is moved, as a reference's messages stand near each other. Nothing brings in a null reference.
+    kind, yes = F.col("type"), lambda c: F.coalesce(c, F.lit(False)).cast("int")
+    counts = {"messages": F.lit(1), "orders": yes(kind.isin("A", "F")), "hidden": yes((kind == "C") & (F.col("printable") != "Y")), "named": yes(kind.isin("E", "C", "X", "D", "U")), "born": yes(kind.isin("A", "F"))}
+    own = F.struct(F.when(kind.isin(*"AFECXDU"), F.col("ref")).alias("ref"), *(c.alias(k) for k, c in counts.items()))
+    new = F.struct(F.col("new_ref").alias("ref"), *(F.lit(int(k == "born")).alias(k) for k in counts))
+    r = messages.select("session", F.explode(F.when(kind == "U", F.array(own, new)).otherwise(F.array(own))).alias("r")).select("session", "r.*").groupBy("session", "ref").agg(*(F.sum(k).alias(k) for k in counts))
+    unknown = F.when((F.col("born") == 0) | F.col("ref").isNull(), F.col("named")).otherwise(0)
+    return r.groupBy("session").agg(*(F.sum(k).alias(k) for k in ("messages", "orders", "hidden")), F.sum(unknown).alias("unknown_refs"))
 
 
 def tape_lines(rows: DataFrame) -> DataFrame:

@@ -139,3 +139,10 @@ def test_sessions_in_order_are_written_as_they_stand(spark, tmp_path):
     assert written._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1  # the caller's own
     written.collect()
     assert all(gzip.decompress((tmp_path / "a" / n).read_bytes()) == gzip.decompress((tmp_path / "b" / n).read_bytes()) for n in ("s0.gz", "s1.gz"))
+
+
+def test_counters_take_one_pass_without_joins(spark):
+    rows = [("s", "A", 1, None, None), ("s", "E", 1, None, None), ("s", "U", 1, 2, None), ("s", "C", 2, None, "N"), ("s", "C", 3, None, "Y"), ("s", "C", 3, None, None), ("s", "D", None, None, None), ("s", "A", None, None, None), ("s", "P", None, None, None), ("s", "U", 8, None, None), ("t", "X", 1, None, None), ("u", "R", None, None, None)]
+    c = market_files.session_counters(spark.createDataFrame(rows, "session string, type string, ref long, new_ref long, printable string"))
+    assert "Join" not in c._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, c.select("session", "messages", "orders", "unknown_refs", "hidden").collect())) == [("s", 10, 2, 4, 1), ("t", 1, 0, 1, 0), ("u", 1, 0, 0, 0)]
