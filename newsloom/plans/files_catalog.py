@@ -497,7 +497,7 @@ def tops_of_book(spark, d):
 
 @query("q90_directory_symbols", f"select distinct ticker, 'Q' as category, 'N' as status from {USABLE} where ticker not in (select ticker from symbol_info where ticker < 'N')")
 def directory_symbols(spark, d):
-    return market_files.missing_symbols(_session(spark, d, "type", "stock", "category", "status", directoryOnly="true"), table(spark, d, "symbol_info").where("ticker < 'N'"))
+    return market_files.missing_symbols(_session(spark, d, "type", "stock", "category", "status", keep=False, directoryOnly="true"), table(spark, d, "symbol_info").where("ticker < 'N'"))
 
 
 # ---- polling, tapes and alerts -----------------------------------------------------------------

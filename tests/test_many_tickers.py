@@ -33,3 +33,8 @@ def test_an_initial_of_more_sessions(spark, many, monkeypatch):
     got = [(x.session, x.locate, x.stock) for x in r.select("session", "locate", "stock").collect()]
     assert len(got) == len({x[:2] for x in got}) == 66000 and max(x[1] for x in got) == 1000
     assert {x[0] for x in got if x[2][0] == "Q"} == {"Q", "Q_1", "Q_2"}
+
+
+@pytest.mark.parametrize("name", ["q87_session_counters", "q90_directory_symbols"])
+def test_a_session_read_once_is_not_stored(spark, many, name):
+    assert "exchange_session" in catalog.queries()[name](spark, many)._jdf.queryExecution().executedPlan().toString()
