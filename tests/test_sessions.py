@@ -8,7 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from newsloom.operators import book
+from newsloom.operators import book, ordered
 from newsloom.sources import landing, market_files, packets
 
 
@@ -146,3 +146,14 @@ def test_counters_take_one_pass_without_joins(spark):
     c = market_files.session_counters(spark.createDataFrame(rows, "session string, type string, ref long, new_ref long, printable string"))
     assert "Join" not in c._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, c.select("session", "messages", "orders", "unknown_refs", "hidden").collect())) == [("s", 10, 2, 4, 1), ("t", 1, 0, 1, 0), ("u", 1, 0, 0, 0)]
+
+
+def test_columns_are_read_as_plain_values():
+    """Beyond 2**53, beside nulls, of slices and empty columns; runs of equal keys begin where they do."""
+    import pyarrow as pa
+
+    big = 2**53 + 1
+    for values, kind in (([big, None, 3], pa.int64()), ([1, 2, 2], pa.int32()), (["a", None, ""], pa.string()), ([None] * 3, pa.string()), ([None] * 3, pa.int64()), ([1.5, None, 2.0], pa.float64()), ([True, None, False], pa.bool_())):
+        for c in (pa.array(values, kind), pa.array([*values, *values], kind).slice(1, 4), pa.array([], kind)):
+            assert ordered._values(c) == c.to_pylist()
+    assert ordered._run_starts([pa.array(["a", "a", None, None, "b"]), pa.array([1, 1, 1, 2, 2])]) == [0, 2, 3, 4] and ordered._run_starts([pa.array([], pa.string())]) == []
