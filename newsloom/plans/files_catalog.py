@@ -381,8 +381,8 @@ LOCATES = 2**16 - 1
 USABLE = "(select print_id, ticker, ts_ns, px_e4, shares, row_number() over (partition by ticker order by ts_ns, print_id) as n from tape where ticker is not null and ts_ns is not null and px_e4 > 10000 and shares > 1)"
 
 
-def _messages(spark: SparkSession, d: str, in_order: bool = False) -> DataFrame:
-    """Messages without ``seq``, ordered by (session, n, place); with ``in_order`` parted by session and sorted."""
+def _messages(spark: SparkSession, d: str) -> DataFrame:
+    """Messages without ``seq``, ordered by (session, n, place)."""
     t = table(spark, d, "tape").where("ticker is not null and ts_ns is not null and px_e4 > 10000 and shares > 1")
     # A ticker's prints in order: for fixtures only, so one window over a ticker will do. Each comes with the print whose order is deleted then.
     w = Window.partitionBy("ticker").orderBy("ts_ns", "print_id")
@@ -398,7 +398,7 @@ def _messages(spark: SparkSession, d: str, in_order: bool = False) -> DataFrame:
         F.when(extra, F.col("print_id")).otherwise(F.col("gone")).alias("gone"), F.when(extra, F.col("ts_ns")).otherwise(F.col("gone_ns")).alias("gone_ns"),
     ).unionByName(locates.withColumn("n", F.lit(-1)), allowMissingColumns=True)
     # Moved before they multiply: one ticker may have a tenth of all prints.
-    t = t.repartition("session").sortWithinPartitions("session", "n", "locate") if in_order else t.repartition(shuffle_partitions(spark), "ticker", "n")
+    t = t.repartition(shuffle_partitions(spark), "ticker", "n")
 
     n, px, sh = F.col("n"), F.col("px"), F.col("sh")
     side = F.when(n % 2 == 0, "B").otherwise("S")
@@ -429,12 +429,64 @@ def _ordered(spark: SparkSession, d: str) -> DataFrame:
     return _of_day(_messages(spark, d)).withColumn("seq", seq)
 
 
+def _places(spark: SparkSession, d: str) -> DataFrame:
+    """What ``_made`` makes the messages of ``_messages`` of, parted by initial and in the sessions' order: a place for each print (what 0), five for the deletes after a ticker's last print (1) and one for its directory entry (2)."""
+    t = table(spark, d, "tape").where("ticker is not null and ts_ns is not null and px_e4 > 10000 and shares > 1").select(F.substring("ticker", 1, 1).alias("initial"), "ticker", "ts_ns", "print_id", "px_e4", "shares")
+    # Moved once: an initial's tickers are numbered, and its sessions ordered, where they are.
+    w, of_day = Window.partitionBy("initial", "ticker").orderBy("ts_ns", "print_id"), lambda c: F.pmod(c, F.lit(24 * HOUR))
+    t = t.repartition("initial").withColumns({"n": F.row_number().over(w).cast("bigint"), "gone": F.lag("print_id", 5).over(w), "gone_ns": F.lag("ts_ns", 5).over(w), "late": F.lead("print_id", 5).over(w).isNull()})
+    t = t.withColumn("k", F.dense_rank().over(Window.partitionBy("initial").orderBy("ticker")) - 1)
+    t = t.withColumn("what", F.explode(F.array_compact(F.array(F.lit(0), F.when(F.col("late"), 1), F.when(F.col("n") == 1, 2)))))
+    tail = F.col("what") == 1
+    return t.select(
+        F.concat_ws("_", "initial", F.when(F.col("k") >= LOCATES, F.expr(f"string(k div {LOCATES})"))).alias("session"), (F.col("k") % LOCATES + 1).cast("int").alias("locate"), "ticker", "what", F.when(F.col("what") == 2, -1).otherwise(F.col("n") + F.when(tail, 5).otherwise(0)).alias("n"),
+        of_day("ts_ns").alias("ts_ns"), "print_id", F.col("px_e4").cast("bigint").alias("px"), F.col("shares").cast("bigint").alias("sh"), F.when(tail, F.col("print_id")).otherwise(F.coalesce("gone", F.lit(0))).alias("gone"), F.when(tail, of_day("ts_ns")).otherwise(of_day(F.coalesce("gone_ns", F.lit(0)))).alias("gone_ns"),
+    ).sortWithinPartitions("session", "n", "locate")
+
+
+def _made(places):
+    """The messages of a record batch of ``_places``, as ``_messages`` has them."""
+    import numpy as np
+    import pyarrow as pa
+
+    names_of, texts = places.schema.names, lambda values: pa.array(values, pa.string())
+    session, ticker = (places.column(names_of.index(c)) for c in ("session", "ticker"))
+    v = {c: places.column(names_of.index(c)).to_numpy() for c in ("locate", "what", "n", "ts_ns", "print_id", "px", "sh", "gone", "gone_ns")}
+    here, third, odd = v["what"] == 0, v["n"] % 3 == 0, v["n"] % 2 != 0
+    # In the order of the letters DAECXUPER; D is of the order five prints before.
+    kinds = [(here & (v["n"] > 5)) | (v["what"] == 1), here, here & ~third, here & third, here, here & third, here & (v["print_id"] % 5 == 0), here & (v["print_id"] % 11 == 0), v["what"] == 2]
+    row, k = np.nonzero(np.stack(kinds, axis=1))
+    ref, price = v["print_id"] * 2 + BIG, v["px"] + np.where(odd, 500, 0)
+    of = lambda at, *values: np.choose(np.array(at)[k], [x[row] if isinstance(x, np.ndarray) else x for x in values])
+    sessions, odd = session.dictionary_encode(), odd[row]
+    return pa.RecordBatch.from_pydict({
+        "session": pa.DictionaryArray.from_arrays(sessions.indices.take(pa.array(row)), sessions.dictionary),
+        "type": texts([*"DAECXUPER"]).take(pa.array(k)),
+        "locate": pa.array(v["locate"][row]),
+        "ts_ns": pa.array(of([1, 0, 0, 0, 0, 0, 0, 0, 2], v["ts_ns"], v["gone_ns"], 0)),
+        "ref": pa.array(of([1, 0, 0, 0, 0, 0, 0, 2, 2], ref, v["gone"] * 2 + BIG + ((v["n"] - 5) % 3 == 0), 7)),
+        "new_ref": pa.array(ref[row] + 1),
+        "side": texts(["B", "S"]).take(pa.array(odd.astype(np.int32))),
+        "shares": pa.array(of([0, 1, 0, 0, 2, 0, 0, 0, 3], v["sh"], v["sh"] * 3, v["sh"] // 2, 100)),
+        "px_e4": pa.array(of([0, 1, 0, 2, 0, 3, 0, 0, 0], v["px"], price, price + 7, price - 100)),
+        "printable": texts(["Y", "N"]).take(pa.array(odd.astype(np.int32))),
+        "stock": ticker.take(pa.array(row)),
+        "category": pa.repeat("Q", len(row)),
+        "status": pa.repeat("N", len(row)),
+    })
+
+
+def _recorded(spark: SparkSession, d: str) -> str:
+    """Folder of the recorded sessions."""
+    at = scratch(spark, "itch")
+    landing.land_sessions(_places(spark, d), at, in_order=True, made=_made).collect()  # one row per file
+    return at
+
+
 def _session(spark: SparkSession, d: str, *columns: str, keep: bool = True, **options) -> DataFrame:
     """Recorded and read again, the given columns; kept for several reads unless ``keep`` is off."""
     spark.dataSource.register(market_files.SessionSource)
-    at = scratch(spark, "itch")
-    landing.land_sessions(_of_day(_messages(spark, d, in_order=True)), at, in_order=True).collect()  # one row per file
-    m = spark.read.format("exchange_session").options(**options).load(at).select(*(columns or "*"))
+    m = spark.read.format("exchange_session").options(**options).load(_recorded(spark, d)).select(*(columns or "*"))
     return stored(m) if keep else m
 
 
@@ -491,8 +543,10 @@ def depth_after(spark, d):
     select ticker, bid_e4, bid_size, ask_e4, ask_size, count(*) as n from c where before is null or top is distinct from previous group by all""",
 )
 def tops_of_book(spark, d):
-    m = _session(spark, d, "session", "seq", "type", "locate", "ts_ns", "stock", "ref", "new_ref", "side", "shares", "px_e4")
-    return market_files.with_symbols(book.tops_of_book(m), m).groupBy("ticker", "bid_e4", "bid_size", "ask_e4", "ask_size").agg(F.count(F.lit(1)).alias("n"))
+    """The sessions' books are folded as they are read: no message is stored or moved."""
+    spark.dataSource.register(book.TopsSource)
+    tops = spark.read.format("exchange_tops").load(_recorded(spark, d)).withColumn("ticker", names.normalize_symbol(F.col("stock")))
+    return tops.groupBy("ticker", "bid_e4", "bid_size", "ask_e4", "ask_size").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("q90_directory_symbols", f"select distinct ticker, 'Q' as category, 'N' as status from {USABLE} where ticker not in (select ticker from symbol_info where ticker < 'N')")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import gzip
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,11 +39,12 @@ def land_table(df: DataFrame, path: str, sep: str, header: bool = True) -> str:
     return path
 
 
-def land_sessions(messages: DataFrame, folder: str, in_order: bool = False) -> DataFrame:
+def land_sessions(messages: DataFrame, folder: str, in_order: bool = False, made: Callable | None = None) -> DataFrame:
     """Record messages to ``folder/SESSION.gz``, one file per session, in the order of ``seq``; rows (session, messages).
 
     With ``in_order`` they are parted by session and stand in order already; then nothing is moved or sorted here, and
-    they need no ``seq``. A file takes its name when it is whole, so that a task that is run again, or
+    they need no ``seq``; ``made`` may make them of other rows here, a record batch of one, so that no
+    message is passed on singly. A file takes its name when it is whole, so that a task that is run again, or
     twice at once, leaves one whole file. Messages have the columns of the session source.
     """
 
@@ -62,7 +63,7 @@ def land_sessions(messages: DataFrame, folder: str, in_order: bool = False) -> D
                 system.move(part, f"{at}/{now}.gz")
                 done.append((now, n))
 
-        for b in batches:
+        for b in map(made, batches) if made else batches:
             offsets, data = _buffers(encode_block(b) if in_order else b.column(2))
             runs = b.column(0).dictionary_encode()
             which = runs.indices.to_numpy(zero_copy_only=False)
@@ -79,7 +80,7 @@ def land_sessions(messages: DataFrame, folder: str, in_order: bool = False) -> D
         close()
         yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in done], pa.string()), pa.array([k for _, k in done], pa.int64())], ["session", "messages"])
 
-    rows = messages.select("session", "type", "locate", "ts_ns", *values_of(messages)) if in_order else encoded(messages).repartition("session").sortWithinPartitions("session", "seq")
+    rows = messages if made else messages.select("session", "type", "locate", "ts_ns", *values_of(messages)) if in_order else encoded(messages).repartition("session").sortWithinPartitions("session", "seq")
     return rows.mapInArrow(run, "session string, messages bigint")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import fnmatch
 import gzip
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -34,6 +35,8 @@ FIELDS = {
     "Q": [("shares", 11, 8), ("stock", 19, "s8"), ("px_e4", 27, 4), ("code", 39, "c")],
     "B": [("ref", 11, 8)],
 }
+#: Types of messages that change books.
+BOOK = "AFECXDU"
 SCHEMA = "session string, seq bigint, type string, locate int, ts_ns bigint, stock string, ref bigint, new_ref bigint, side string, shares bigint, px_e4 bigint, printable string, state string, reason string, code string, category string, status string"
 _COLUMNS = [c.split()[0] for c in SCHEMA.split(", ")]
 BLOCK, STEP = 8 << 20, 1 << 20
@@ -92,6 +95,35 @@ def decode_block(buf: np.ndarray, session: str, first: int):
     return table, used, len(spans)
 
 
+def _book_columns(buf: np.ndarray, first: int) -> tuple[dict[str, np.ndarray], int, int]:
+    """(columns, bytes used, messages seen): the messages of a block that change books, in order. A field that a type of message lacks is 0 or empty."""
+    spans, used = _offsets(buf)
+    kinds, whole = buf[spans[:, 0]], np.zeros(len(spans), bool)
+    for kind in BOOK:
+        whole |= (kinds == ord(kind)) & (spans[:, 1] >= LENGTHS[kind])
+    seen = np.flatnonzero(whole)
+    starts, kinds = spans[seen, 0], kinds[seen]
+    letters = np.array(_LETTERS, object)
+    out = {"seq": seen + first, "type": letters[kinds], "side": np.full(len(seen), "", object)} | {c: np.zeros(len(seen), np.int64) for c in ("locate", "ts_ns", "ref", "new_ref", "shares", "px_e4")}
+    for kind in BOOK:
+        which = np.flatnonzero(kinds == ord(kind))
+        rows = buf[starts[which][:, None] + np.arange(LENGTHS[kind])]
+        for name, offset, width in [("locate", 1, 2), ("ts_ns", 5, 6), *FIELDS[kind]]:
+            if name in out:
+                out[name][which] = letters[rows[:, offset]] if width == "c" else _number(rows, offset, width)
+    return out, used, len(spans)
+
+
+def _last_stocks(buf: np.ndarray, first: int) -> tuple[dict[int, str], int, int]:
+    """(stock by locate, bytes used, messages seen): of a block's last directory or trading-action messages that name one."""
+    spans, used = _offsets(buf)
+    kinds, out = buf[spans[:, 0]], {}
+    for start in spans[(kinds == ord("R")) & (spans[:, 1] >= LENGTHS["R"]) | (kinds == ord("H")) & (spans[:, 1] >= LENGTHS["H"]), 0].tolist():
+        if stock := buf[start + 11 : start + 19].tobytes().rstrip(b"\0").decode("latin-1").rstrip():
+            out[int(buf[start + 1]) << 8 | int(buf[start + 2])] = stock
+    return out, used, len(spans)
+
+
 def _inflated(stream: io.BufferedIOBase) -> tuple[bytes, bool]:
     """A block of bytes, and whether more may follow.
 
@@ -112,16 +144,35 @@ def _inflated(stream: io.BufferedIOBase) -> tuple[bytes, bool]:
     return b"".join(parts), size == BLOCK
 
 
-def read_messages(stream: io.BufferedIOBase, session: str, directory_only: bool = False) -> Iterator:
-    """Record batches of a session; stops cleanly at a message or gzip stream that ends too early. Short and unknown messages are passed over."""
+def _blocks(stream: io.BufferedIOBase, decode: Callable) -> Iterator:
+    """What ``decode(block, number of its first message)`` makes of each block; it also gives the bytes used and the messages seen. Stops cleanly at a message or gzip stream that ends too early."""
     rest, seq, goes_on = b"", 0, True
     while goes_on:
         more, goes_on = _inflated(stream)
         if not more:
             return
         buf = np.frombuffer(rest + more, np.uint8)
-        table, used, n = decode_block(buf, session, seq)
+        got, used, n = decode(buf, seq)
         rest, seq = buf[used:].tobytes(), seq + n
+        yield got
+
+
+def book_blocks(stream: io.BufferedIOBase) -> Iterator[dict[str, np.ndarray]]:
+    """The messages of a session that change books, as numpy columns of a block each."""
+    return _blocks(stream, _book_columns)
+
+
+def last_stocks(stream: io.BufferedIOBase) -> dict[int, str]:
+    """The stock of the session's last directory or trading-action message for each locate."""
+    out: dict[int, str] = {}
+    for got in _blocks(stream, _last_stocks):
+        out |= got
+    return out
+
+
+def read_messages(stream: io.BufferedIOBase, session: str, directory_only: bool = False) -> Iterator:
+    """Record batches of a session; stops cleanly at a message or gzip stream that ends too early. Short and unknown messages are passed over."""
+    for table in _blocks(stream, lambda buf, first: decode_block(buf, session, first)):
         if directory_only:
             traded = np.isin(table["type"].to_numpy(zero_copy_only=False), ["A", "F", "P"])
             if traded.any():
@@ -180,13 +231,20 @@ class _SessionReader(DataSourceReader):
     def partitions(self):
         return [InputPartition(p) for p in session_files(self.paths)]
 
-    def read(self, partition):
+    @contextmanager
+    def opened(self, partition):
         path = partition.value
         system, at = _opened(path)
         with system.open_input_stream(at, compression=None) as raw:
             # Every stream offers read1, which an Arrow file alone does not.
-            f = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(_Raw(raw), STEP)
-            yield from read_messages(f, path.rsplit("/", 1)[-1].split(".")[0], self.directory_only)
+            yield gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(_Raw(raw), STEP)
+
+    def session(self, partition) -> str:
+        return partition.value.rsplit("/", 1)[-1].split(".")[0]
+
+    def read(self, partition):
+        with self.opened(partition) as f:
+            yield from read_messages(f, self.session(partition), self.directory_only)
 
 
 class _Raw(io.RawIOBase):
